@@ -15,22 +15,6 @@ RESULT = f"{ITEM}, success boolean, error_message string, result_metrics {METRIC
 ITEM_COLUMNS = ["id", "content", "content_type", "source", "timestamp", "metadata", "tags", "metrics"]
 RESULT_COLUMNS = [*ITEM_COLUMNS, "success", "error_message", "result_metrics"]
 
-# One <item> / <entry> element of a landed feed file, with the feed it came from and its place in it.
-FEED_ENTRY = """
-    feed string, pos bigint, id string, guid string, title string, author string, published string,
-    pubDate string, updated string, created string, summary string, description string,
-    `content:encoded` string, value string,
-    link array<struct<_VALUE:string,_href:string,_rel:string,_type:string>>,
-    content array<struct<_VALUE:string,_type:string>>,
-    enclosure array<struct<_url:string,_href:string,_type:string>>
-"""
-
-# Head of a landed feed file.
-FEED_HEAD = """
-    feed string, title string, description string, subtitle string, author string,
-    link array<struct<_VALUE:string,_href:string,_rel:string,_type:string>>
-"""
-
 MODEL_RESPONSE = """
     choices array<struct<message:struct<content:string>>>,
     usage struct<prompt_tokens:bigint,completion_tokens:bigint>, model string
