@@ -11,20 +11,17 @@ from contentflow.operators.known import new_parents, unseen
 from contentflow.operators.ranking import first_per_key
 from contentflow.operators.state import State
 from contentflow.sources.items import message_items
-from contentflow.sources.messages import contact_names, message_records, scan_messages
-
-_SCAN_ORDER = [F.col("date").desc(), F.col("message_id"), F.col("chat_id").asc_nulls_last()]
-
+from contentflow.sources.messages import contact_names, message_records, newest_first, scan_messages
 
 def new_messages(records: DataFrame, stored: DataFrame) -> DataFrame:
     """Records that are not stored yet, the first copy of each message in scan order."""
-    return unseen(first_per_key(records, ["message_id"], _SCAN_ORDER), stored, "message_id")
+    return unseen(first_per_key(records, ["message_id"], newest_first()), stored, "message_id")
 
 
 def new_threads(messages: DataFrame, stored: DataFrame) -> DataFrame:
     """Threads of the new messages that are not known yet, named by their first message."""
     candidates = messages.withColumn("name", F.col("thread_name"))
-    return new_parents(candidates, stored, "thread_id", _SCAN_ORDER).select("thread_id", "name", "is_group")
+    return new_parents(candidates, stored, "thread_id", newest_first()).select("thread_id", "name", "is_group")
 
 
 def check_messages(

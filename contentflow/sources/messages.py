@@ -71,11 +71,14 @@ def with_chats(messages: DataFrame, handles: DataFrame, chat_links: DataFrame, c
 # Ids of this many messages are a few megabytes at most.
 _SMALL_LIMIT = 100_000
 
-_NEWEST_FIRST = [F.col("date").desc(), F.col("message_id"), F.col("chat_id").asc_nulls_last()]
+
+def newest_first() -> list[Column]:
+    """The order of the scan; total, since a message is in a chat once."""
+    return [F.col("date").desc(), F.col("message_id"), F.col("chat_id").asc_nulls_last()]
 
 
 def newest(messages: DataFrame, limit: int = V.MAX_MESSAGES) -> DataFrame:
-    return messages.orderBy(*_NEWEST_FIRST).limit(limit)
+    return messages.orderBy(*newest_first()).limit(limit)
 
 
 def scan_messages(
