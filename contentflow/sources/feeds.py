@@ -1,4 +1,4 @@
-"""Feed and podcast sources: landed RSS and Atom files under `feed=<url>` folders."""
+"""Feed and podcast sources: landed RSS and Atom bodies to entries."""
 
 from __future__ import annotations
 
@@ -10,19 +10,26 @@ from contentflow.functions.dates import first_date
 from contentflow.functions.text import entry_guid, entry_url, non_empty, pick_content
 
 _LINK = "array<struct<_VALUE:string,_href:string,_rel:string,_type:string>>"
+_ENTRY = f"""array<struct<
+    guid:struct<_VALUE:string,_isPermaLink:string>, id:string, title:string, author:string, pubDate:string,
+    published:string, updated:string, created:string, summary:string, description:string,
+    `content:encoded`:string, content:array<struct<_VALUE:string,_type:string>>, value:string, link:{_LINK},
+    enclosure:array<struct<_VALUE:string,_url:string,_type:string>>>>"""
+_HEAD = f"title:string, description:string, subtitle:string, author:string, link:{_LINK}"
+# RSS keeps everything under <channel>, RDF the items beside it, Atom under the root.
+_BODY = f"""channel struct<{_HEAD}, item:{_ENTRY}>, item {_ENTRY}, entry {_ENTRY},
+    title string, subtitle string, author string, link {_LINK}"""
 
-_ENTRY = f"""
-    feed string, guid struct<_VALUE:string,_isPermaLink:string>, id string, title string, author string,
-    pubDate string, published string, updated string, created string, summary string, description string,
-    `content:encoded` string, content array<struct<_VALUE:string,_type:string>>, value string,
-    link {_LINK}, enclosure array<struct<_VALUE:string,_url:string,_type:string>>
-"""
-_HEAD = f"feed string, title string, description string, subtitle string, author string, link {_LINK}"
 
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """(feed, page, body) of files landed under `feed=<url>` folders, one fetched body per file."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("feed").cast("string").alias("feed"), F.lit(0).alias("page"), F.col("value").alias("body"))
 
-def _read(spark: SparkSession, path: str, tag: str, ddl: str) -> DataFrame:
-    reader = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE")
-    return reader.option("attributePrefix", "_").option("valueTag", "_VALUE").schema(ddl).load(path)
+
+def _parsed(bodies: DataFrame) -> DataFrame:
+    options = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE"}
+    return bodies.withColumn("doc", F.from_xml("body", _BODY, options)).drop("body")
 
 
 def _main_link(links: Column) -> Column:
@@ -32,50 +39,52 @@ def _main_link(links: Column) -> Column:
     return F.coalesce(non_empty(first["_VALUE"]), first["_href"])
 
 
-def _links(raw: DataFrame) -> Column:
+def _links(entry: Column) -> Column:
     listed = F.transform(
-        F.filter("link", lambda x: x["_href"].isNotNull()),
+        F.filter(entry["link"], lambda x: x["_href"].isNotNull()),
         lambda x: F.struct(x["_type"].alias("type"), x["_href"].alias("href"), x["_rel"].alias("rel")),
     )
     enclosed = F.transform(
-        "enclosure",
+        entry["enclosure"],
         lambda x: F.struct(x["_type"].alias("type"), x["_url"].alias("href"), F.lit("enclosure").alias("rel")),
     )
     empty = F.array().cast(schema.LINKS)
-    return F.concat(
-        F.coalesce(listed.cast(schema.LINKS), empty), F.coalesce(enclosed.cast(schema.LINKS), empty)
-    )
+    return F.concat(F.coalesce(listed.cast(schema.LINKS), empty), F.coalesce(enclosed.cast(schema.LINKS), empty))
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """One row per entry of the landed files: raw texts, links and the place inside its file.
+def raw_entries(bodies: DataFrame) -> DataFrame:
+    """One row per entry of (feed, page, body): raw texts, links, and its place in the feed.
 
-    A file is read by one task from start to end, so the row number of the task keeps file order.
+    `page` orders several bodies of one feed. A body that is no XML has no entries.
     """
-    raw = _read(spark, path, "item", _ENTRY).unionByName(_read(spark, path, "entry", _ENTRY))
-    enclosures = F.transform(
-        "enclosure", lambda x: F.struct(x["_type"].alias("type"), x["_url"].alias("href"))
-    ).cast(schema.ENCLOSURES)
+    doc = F.col("doc")
+    entries = F.concat(
+        *[F.coalesce(e, F.array().cast(_ENTRY)) for e in (doc["channel"]["item"], doc["item"], doc["entry"])]
+    )
+    exploded = _parsed(bodies).select("feed", "page", F.posexplode(entries).alias("at", "entry"))
+    e = F.col("entry")
     contents = F.concat(
-        F.filter(F.array("content:encoded"), lambda v: v.isNotNull()),
-        F.coalesce(F.transform("content", lambda x: x["_VALUE"]), F.array().cast("array<string>")),
+        F.filter(F.array(e["content:encoded"]), lambda v: v.isNotNull()),
+        F.coalesce(F.transform(e["content"], lambda x: x["_VALUE"]), F.array().cast("array<string>")),
     )
-    return raw.select(
+    enclosures = F.transform(e["enclosure"], lambda x: F.struct(x["_type"].alias("type"), x["_url"].alias("href")))
+    return exploded.select(
         "feed",
-        F.monotonically_increasing_id().alias("pos"),
-        F.coalesce(F.col("guid._VALUE"), F.col("id")).alias("entry_id"),
-        _main_link(F.col("link")).alias("link"),
-        "title",
-        "author",
-        F.coalesce("pubDate", "published").alias("published"),
-        "updated",
-        "created",
-        F.coalesce("summary", "description").alias("summary"),
-        "description",
+        (F.shiftleft(F.col("page").cast("bigint"), 32) + F.col("at")).alias("pos"),
+        # An empty guid element is a blank id, not a missing one.
+        F.when(e["guid"].isNotNull(), F.coalesce(e["guid"]["_VALUE"], F.lit(""))).otherwise(e["id"]).alias("entry_id"),
+        _main_link(e["link"]).alias("link"),
+        e["title"].alias("title"),
+        e["author"].alias("author"),
+        F.coalesce(e["pubDate"], e["published"]).alias("published"),
+        e["updated"].alias("updated"),
+        e["created"].alias("created"),
+        F.coalesce(e["summary"], e["description"]).alias("summary"),
+        F.coalesce(e["description"], e["summary"]).alias("description"),
         contents.alias("contents"),
-        "value",
-        _links(raw).alias("links"),
-        enclosures.alias("enclosures"),
+        e["value"].alias("value"),
+        _links(e).alias("links"),
+        F.coalesce(enclosures.cast(schema.ENCLOSURES), F.array().cast(schema.ENCLOSURES)).alias("enclosures"),
     )
 
 
@@ -110,16 +119,16 @@ def podcast_entries(entries: DataFrame) -> DataFrame:
     )
 
 
-def read_heads(spark: SparkSession, path: str) -> DataFrame:
-    """Title, description, author and site of each landed feed, with the defaults for missing ones."""
-    raw = _read(spark, path, "channel", _HEAD).unionByName(_read(spark, path, "feed", _HEAD))
-    heads = raw.select(
+def feed_heads(bodies: DataFrame) -> DataFrame:
+    """Title, description, author and site of each feed, with the defaults for missing ones."""
+    doc = F.col("doc")
+    heads = _parsed(bodies).select(
         "feed",
-        F.coalesce("title", "feed").alias("title"),
-        F.coalesce("description", "subtitle", F.lit("")).alias("description"),
-        F.coalesce("author", F.lit("")).alias("author"),
-        F.coalesce(_main_link(F.col("link")), F.lit("")).alias("website_url"),
+        F.coalesce(doc["channel"]["title"], doc["title"], F.col("feed")).alias("title"),
+        F.coalesce(doc["channel"]["description"], doc["subtitle"], F.lit("")).alias("description"),
+        F.coalesce(doc["channel"]["author"], doc["author"], F.lit("")).alias("author"),
+        F.coalesce(_main_link(doc["channel"]["link"]), _main_link(doc["link"]), F.lit("")).alias("website_url"),
     )
-    # Several landed files of one feed carry the same head: keep one of them, always the same.
+    # Several bodies of one feed carry the same head: keep one of them, always the same.
     fields = ("title", "description", "author", "website_url")
     return heads.groupBy("feed").agg(F.min(F.struct(*fields)).alias("head")).select("feed", "head.*")
