@@ -33,24 +33,32 @@ def _runs(df: DataFrame, feed: str, order: list[str], counts: Column, resets: Co
     )
 
 
-def _carried(chunks: DataFrame, feed: str) -> DataFrame:
-    """Chunk summaries with the run that the feed's earlier chunks hand over."""
+def _carried(chunks: DataFrame, feed: str, before_log: DataFrame | None, count: str) -> DataFrame:
+    """Chunk summaries with the run that the feed's earlier chunks, and its stored count, hand over."""
+    if before_log is None:
+        stored = F.lit(0).cast("bigint")
+    else:
+        counts = before_log.select(feed, F.col(count).cast("bigint").alias("stored"))
+        chunks = chunks.join(counts, feed, "left")
+        stored = F.coalesce("stored", F.lit(0))
     by_chunk = Window.partitionBy(feed).orderBy("chunk")
     before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     up_to = by_chunk.rowsBetween(Window.unboundedPreceding, 0)
     sums = chunks.withColumn("tails", F.sum("tail").over(up_to))
     base = F.when(F.col("has_reset"), F.col("tails") - F.col("tail"))
     carry = F.coalesce(F.sum("tail").over(before), F.lit(0)) - F.coalesce(F.max(base).over(before), F.lit(0))
-    return sums.withColumn("carry", carry)
+    reset_before = F.coalesce(F.max("has_reset").over(before), F.lit(False))
+    return sums.withColumn("carry", carry + F.when(reset_before, 0).otherwise(stored))
 
 
 def error_runs(
-    attempts: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id", mute_after: int = V.MUTE_AFTER_ERRORS
+    attempts: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id",
+    mute_after: int = V.MUTE_AFTER_ERRORS, before: DataFrame | None = None,
 ) -> DataFrame:
     """Per feed: consecutive errors at the end, and where the run reached the mute limit.
 
     An `error` adds one, an `ok` starts over, an `empty` check changes nothing. A muted feed keeps the
-    count it was muted with.
+    count it was muted with. `before` (feed, error_count) holds the counts from which the log goes on.
     """
     error, ok = F.col("outcome") == "error", F.col("outcome") == "ok"
     text = F.col("error") if "error" in attempts.columns else F.lit(None).cast("string")
@@ -69,7 +77,7 @@ def error_runs(
         F.min(F.when(error & ~before_reset & (F.col("run") >= mute_after), place)).alias("inside"),
         F.max(F.when(error, place)).alias("last_error"),
     )
-    carried = _carried(chunks, feed)
+    carried = _carried(chunks, feed, before, "error_count")
     needed = (F.lit(mute_after) - F.col("carry")).cast("int")
     reached = F.when(F.col("carry") < mute_after, F.get("leading", needed - 1)["at"])
     ends = carried.withColumns(
@@ -114,9 +122,13 @@ def attempts_made(
 
 
 def empty_runs(
-    attempts: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id", warn_after: int = V.WARN_AFTER_EMPTY
+    attempts: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id",
+    warn_after: int = V.WARN_AFTER_EMPTY, before: DataFrame | None = None,
 ) -> DataFrame:
-    """Per feed: consecutive empty checks at the end, the longest run, and checks over the warning limit."""
+    """Per feed: consecutive empty checks at the end, the longest run, and checks over the warning limit.
+
+    `before` (feed, no_entries_count) holds the counts from which the log goes on.
+    """
     empty = F.col("outcome") == "empty"
     log = attempts.select(feed, ts, seq, "outcome")
     rows = _runs(_chunked(log, [feed, ts, seq]), feed, [ts, seq], empty, ~empty)
@@ -130,7 +142,7 @@ def empty_runs(
     )
     carry, leading = F.col("carry"), F.col("leading")
     over = F.greatest(carry + leading - warn_after, F.lit(0)) - F.greatest(carry - warn_after, F.lit(0))
-    ends = _carried(chunks, feed).withColumns(
+    ends = _carried(chunks, feed, before, "no_entries_count").withColumns(
         {
             "warned": F.col("warned_inside") + over,
             "run_end": F.when(F.col("has_reset"), F.col("tail")).otherwise(carry + F.col("tail")),
@@ -165,3 +177,30 @@ def update_counters(feeds: DataFrame, stats: DataFrame, checked: DataFrame, as_o
             "last_checked": F.when(F.col("tried"), now).otherwise(F.col("last_checked")),
         }
     ).drop("new_items", "tried")
+
+
+def with_health(feeds: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Feeds with error count, empty count and muting after the new attempts.
+
+    The counts go on from the stored ones, so a poll only reads its own attempts. Attempts of feeds that
+    are muted already do not happen.
+    """
+    muted = feeds.filter("muted").select(F.col("url").alias("feed"))
+    stored = feeds.select(F.col("url").alias("feed"), "error_count", "no_entries_count")
+    tried = attempts.join(muted, "feed", "left_anti")
+    runs = error_runs(tried, before=stored)
+    empty = empty_runs(attempts_made(tried, runs), before=stored)
+    told = runs.join(empty.select("feed", F.col("no_entries_count").alias("empty_now")), "feed", "left").select(
+        F.col("feed").alias("url"), F.col("error_count").alias("errors_now"), F.col("muted").alias("muted_now"),
+        F.col("muted_reason").alias("reason_now"), F.col("last_error").alias("error_now"), "empty_now",
+    )
+    now = F.col("errors_now")
+    return feeds.join(told, "url", "left").withColumns(
+        {
+            "error_count": F.coalesce(now, "error_count"),
+            "no_entries_count": F.coalesce("empty_now", "no_entries_count"),
+            "muted": F.coalesce("muted", F.lit(False)) | F.coalesce("muted_now", F.lit(False)),
+            "muted_reason": F.coalesce("muted_reason", "reason_now"),
+            "last_error": F.when(now == 0, None).otherwise(F.coalesce("error_now", "last_error")),
+        }
+    ).drop("errors_now", "muted_now", "reason_now", "error_now", "empty_now")

@@ -40,7 +40,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return _limit(df, keys, order, 1).drop(_RANK)
 
 
-def newest_per_feed(entries: DataFrame, n: int, *, feed: str = "feed", date: str = "published_at", pos: str = "pos"):
+def newest_per_feed(
+    entries: DataFrame, n: int, *, feed: str = "feed", date: str = "published_at", pos: str = "pos"
+) -> DataFrame:
     """The newest n entries of each feed: undated last, ties in feed order."""
     order = [F.col(date).desc_nulls_last(), F.col(pos)]
     return top_per_group(entries, [feed], order, n, rank="rank")

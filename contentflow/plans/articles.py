@@ -22,16 +22,18 @@ def select_entries(
     *,
     as_of: datetime | str,
     lookback_days: float = V.LOOKBACK_DAYS,
-    max_articles: int = V.MAX_ARTICLES_PER_FEED,
+    max_articles: int | None = V.MAX_ARTICLES_PER_FEED,
 ) -> DataFrame:
     """The entries a run stores: of active feeds, recent, newest few per feed, new guids, first of each.
 
-    Old and already stored entries count towards the newest few, because the cut comes first.
+    Old and already stored entries count towards the newest few, because the cut comes first. Without a
+    cut (None) the copies of a guid are ordered by date and place in the feed, as the ranks would be.
     """
     parents = active(feeds).select("feed", *[c for c in ("peer_through",) if c in feeds.columns])
     recent = within_lookback(entries, "published_at", as_of, lookback_days).join(parents, "feed")
-    newest = newest_per_feed(recent, max_articles)
-    first = first_per_key(with_required(newest, "guid"), ["guid"], [F.col("feed"), F.col("rank")])
+    order = [F.col("feed"), F.col("published_at").desc_nulls_last(), F.col("pos")]
+    newest = recent if max_articles is None else newest_per_feed(recent, max_articles)
+    first = first_per_key(with_required(newest, "guid"), ["guid"], order)
     return unseen(first, seen, "guid")
 
 

@@ -14,11 +14,9 @@ from contentflow import values as V
 from contentflow.functions.dates import utc
 from contentflow.operators.filters import within_lookback
 from contentflow.operators.health import (
-    attempts_made,
-    empty_runs,
-    error_runs,
     ingest_stats,
     update_counters,
+    with_health,
 )
 from contentflow.operators.known import backlog, new_parents
 from contentflow.operators.models import (
@@ -132,8 +130,7 @@ def poll_feeds(
             "error",
         )
     )
-    state.append("attempts", log, _ATTEMPTS)
-    attempts = state.rows("attempts", _ATTEMPTS)
+    attempts = state.append("attempts", log, _ATTEMPTS)
     stats = ingest_stats(articles, "enriched")
     counted = update_counters(feeds, stats, checked, as_of)
     state.write_snapshot("feeds", with_health(counted, attempts))
@@ -152,26 +149,6 @@ def _feeds_with_recent(entries: DataFrame, as_of: datetime | str, lookback_days:
     return recent.select("feed").distinct().withColumn("has_recent", F.lit(True))
 
 
-def with_health(feeds: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Feeds with error count, empty count and muting as the whole attempt log tells."""
-    runs = error_runs(attempts)
-    empty = empty_runs(attempts_made(attempts, runs)).select("feed", F.col("no_entries_count").alias("empty_now"))
-    told = runs.join(empty, "feed", "left").select(
-        F.col("feed").alias("url"), F.col("error_count").alias("errors_now"), F.col("muted").alias("muted_now"),
-        F.col("muted_reason").alias("reason_now"), F.col("last_error").alias("error_now"), "empty_now",
-    )
-    tried = F.col("errors_now").isNotNull()
-    return feeds.join(told, "url", "left").withColumns(
-        {
-            "error_count": F.coalesce("errors_now", "error_count"),
-            "no_entries_count": F.coalesce("empty_now", "no_entries_count"),
-            "muted": F.coalesce("muted", F.lit(False)) | F.coalesce("muted_now", F.lit(False)),
-            "muted_reason": F.coalesce("muted_reason", "reason_now"),
-            "last_error": F.when(tried, F.col("error_now")).otherwise(F.col("last_error")),
-        }
-    ).drop("errors_now", "muted_now", "reason_now", "error_now", "empty_now")
-
-
 def feeds_to_notes(
     state: State, entries: DataFrame, heads: DataFrame, make_completer: MakeCompleter, vault: str, *,
     as_of: datetime | str, models: Sequence[Model] | None = None, notes: NoteOptions = NoteOptions(), **options,
