@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from contentflow import values as V
 from contentflow.functions.dates import utc
+from contentflow.session import checkpointed
 
 
 def _chunked(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -188,7 +189,8 @@ def with_health(feeds: DataFrame, attempts: DataFrame) -> DataFrame:
     muted = feeds.filter("muted").select(F.col("url").alias("feed"))
     stored = feeds.select(F.col("url").alias("feed"), "error_count", "no_entries_count")
     tried = attempts.join(muted, "feed", "left_anti")
-    runs = error_runs(tried, before=stored)
+    # One row per feed, used three times below.
+    runs = checkpointed(error_runs(tried, before=stored))
     empty = empty_runs(attempts_made(tried, runs), before=stored)
     told = runs.join(empty.select("feed", F.col("no_entries_count").alias("empty_now")), "feed", "left").select(
         F.col("feed").alias("url"), F.col("error_count").alias("errors_now"), F.col("muted").alias("muted_now"),

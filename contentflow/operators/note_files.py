@@ -128,7 +128,7 @@ def _segment_writer(vault: str, stage: str):
             if state["out"] is not None:
                 state["out"].close()
                 files.move(state["temp"], state["final"])
-                done.append((state["path"], part, state["final"], None))
+                done.append((state["path"], part, state["final"]))
             state["path"] = state["out"] = None
 
         def open_segment(path: str) -> None:
@@ -147,7 +147,7 @@ def _segment_writer(vault: str, stage: str):
                     state["out"].write(b"\n\n")
                 state["out"].write(content.encode())
         close()
-        yield pd.DataFrame(done, columns=["path", "part", "file", "error"])
+        yield pd.DataFrame(done, columns=["path", "part", "file"])
 
     return write
 
@@ -173,7 +173,7 @@ def _file_writer(vault: str, create_folders: bool):
                     out.write(block)
                     left = None if left is None else left - len(block)
 
-        def assemble(path: str, action: str, segments: list[str], base: int | None) -> None:
+        def assemble(path: str, action: str, content: str | None, segments: list[str], base: int | None) -> None:
             if ".." in path.split("/"):
                 raise ValueError(f"path leaves the vault: {path}")
             target = f"{root}/{path}"
@@ -187,6 +187,8 @@ def _file_writer(vault: str, create_folders: bool):
                 if action == "append" and base is not None:
                     copy(target, out, 0, base)
                     out.write(b"\n\n")
+                if content is not None:
+                    out.write(content.encode())
                 for number, segment in enumerate(segments):
                     if number:
                         out.write(b"\n\n")
@@ -201,8 +203,9 @@ def _file_writer(vault: str, create_folders: bool):
             rows = []
             for row in batch.itertuples():
                 base = None if pd.isna(row.base_length) else int(row.base_length)
+                segments = [] if row.segments is None else [s["file"] for s in row.segments]
                 try:
-                    assemble(row.path, row.action, [s["file"] for s in row.segments], base)
+                    assemble(row.path, row.action, row.content, segments, base)
                     rows.append((row.path, True, None))
                 except Exception as problem:  # a file that cannot be written is a failed row
                     rows.append((row.path, False, str(problem)))
@@ -211,6 +214,29 @@ def _file_writer(vault: str, create_folders: bool):
     return write
 
 
+_SEGMENTS = "array<struct<part:int,file:string>>"
+
+
+def _files_to_write(
+    spark: SparkSession, pieces: DataFrame, vault: str, options: NoteOptions, run_id: str
+) -> DataFrame:
+    """(path, action, base_length, content, segments) per file: its one text, or the segments of its texts."""
+    if options.mode in ("new", "overwrite"):
+        whole = pieces.withColumn("segments", F.lit(None).cast(_SEGMENTS))
+        return whole.select("path", "action", "base_length", "content", "segments")
+    place = F.col("place").desc() if options.mode == "prepend" else F.col("place")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = pieces.repartitionByRange(parts, F.col("path"), place).sortWithinPartitions("path", place)
+    segments = ordered.select("path", "content").mapInPandas(
+        _segment_writer(vault, f".runs/{run_id}/segments"), "path string, part int, file string"
+    )
+    # A file has at most one segment per partition.
+    per_file = segments.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "file"))).alias("segments"))
+    targets = pieces.groupBy("path").agg(F.min("action").alias("action"), F.min("base_length").alias("base_length"))
+    joined = targets.join(per_file.withColumn("segments", F.col("segments").cast(_SEGMENTS)), "path")
+    return joined.select("path", "action", "base_length", F.lit(None).cast("string").alias("content"), "segments")
+
+
 def write_notes(
     spark: SparkSession, notes: DataFrame, vault: str, options: NoteOptions, *, run_id: str, as_of: datetime | str
 ) -> DataFrame:
@@ -231,17 +257,8 @@ def write_notes(
         both.write.mode("overwrite").parquet(f"{home}/plan")
         plan = spark.read.parquet(f"{home}/plan")
 
-    place = F.col("place").desc() if options.mode == "prepend" else F.col("place")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = plan.filter(F.col("content").isNotNull())
-    ordered = pieces.repartitionByRange(parts, F.col("path"), place).sortWithinPartitions("path", place)
-    segments = ordered.select("path", "content").mapInPandas(
-        _segment_writer(vault, f".runs/{run_id}/segments"), "path string, part int, file string, error string"
-    )
-    # A file has at most one segment per partition.
-    per_file = segments.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "file"))).alias("segments"))
-    targets = pieces.groupBy("path").agg(F.min("action").alias("action"), F.min("base_length").alias("base_length"))
-    written = per_file.join(targets, "path").mapInPandas(
+    written = _files_to_write(spark, pieces, vault, options, run_id).mapInPandas(
         _file_writer(vault, options.create_folders), "path string, ok boolean, error string"
     )
     written.write.mode("overwrite").parquet(f"{home}/files")

@@ -8,7 +8,7 @@ Children are only ever added, and what changes about them (being processed) is a
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from contentflow import schema
@@ -55,31 +55,32 @@ class State:
 
     # parents -----------------------------------------------------------------------------------
     def _versions(self, table: str) -> DataFrame:
-        log = self._read(f"{self.root}/_versions", _VERSIONS)
-        return log.filter(F.col("table") == table).groupBy("run_id").agg(F.min("version").alias("version"))
-
-    def _own_version(self, table: str) -> int | None:
-        own = self._versions(table).filter(F.col("run_id") == self.run_id).first()
-        return own["version"] if own else None
-
-    def snapshot(self, table: str, *, before_run: bool = True) -> DataFrame:
-        """The current parents; with `before_run` those that this run started from."""
-        versions = self._versions(table)
-        if before_run:
-            own = self._own_version(table)
-            versions = versions.filter(F.col("run_id") != self.run_id)
-            if own is not None:
-                versions = versions.filter(F.col("version") < own)
-        last = versions.orderBy(F.col("version").desc()).first()
+        return self._read(f"{self.root}/_versions", _VERSIONS).filter(F.col("table") == table)
+
+    def _standing(self, table: str) -> Row:
+        """(own version of this run, newest version, newest run besides this one)."""
+        own = F.col("run_id") == self.run_id
+        return self._versions(table).agg(
+            F.min(F.when(own, F.col("version"))).alias("own"),
+            F.max("version").alias("newest"),
+            F.max_by(F.when(~own, F.col("run_id")), F.when(~own, F.col("version"))).alias("other_run"),
+        ).first()
+
+    def snapshot(self, table: str) -> DataFrame:
+        """The parents that this run starts from: the newest snapshot before its own."""
+        standing = self._standing(table)
+        last = standing["other_run"]
+        if standing["own"] is not None and standing["newest"] > standing["own"]:
+            raise ValueError(f"run {self.run_id} of {table} is older than the current snapshot")
         if last is None:
             return self.spark.createDataFrame([], self._ddl(table, None))
-        return self._read(f"{self.root}/{table}/snapshot={last['run_id']}", self._ddl(table, None))
+        return self._read(f"{self.root}/{table}/snapshot={last}", self._ddl(table, None))
 
     def write_snapshot(self, table: str, rows: DataFrame) -> DataFrame:
         path = f"{self.root}/{table}/snapshot={self.run_id}"
         conform(rows, self._ddl(table, None)).write.mode("overwrite").parquet(path)
-        if self._own_version(table) is None:
-            newest = self._versions(table).agg(F.max("version")).first()[0] or 0
-            entry = self.spark.createDataFrame([(table, self.run_id, newest + 1)], _VERSIONS)
+        standing = self._standing(table)
+        if standing["own"] is None:
+            entry = self.spark.createDataFrame([(table, self.run_id, (standing["newest"] or 0) + 1)], _VERSIONS)
             entry.coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
         return self._read(path, self._ddl(table, None))

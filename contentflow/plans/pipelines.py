@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from datetime import datetime
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ from contentflow.plans.transcription import transcribe_items
 from contentflow.sources.items import article_items, episode_items
 
 MakeCompleter = Callable[[], Completer]
+# Retries, pauses and concurrency of model calls, as `complete` takes them.
+_DEFAULT_CALLS: Mapping[str, Any] = {}
+
 _ANSWERS = "call_key string, response string, call_error string, calls int, elapsed_ms double"
 _ATTEMPTS = "feed string, ts timestamp_ntz, attempt_id string, outcome string, error string"
 
@@ -80,10 +84,10 @@ def to_notes(state: State, results: DataFrame, vault: str, options: NoteOptions,
 
 def text_to_notes(
     state: State, items: DataFrame, make_completer: MakeCompleter, vault: str, *, as_of: datetime | str,
-    model: Model | None = None, notes: NoteOptions = NoteOptions(),
+    model: Model | None = None, notes: NoteOptions = NoteOptions(), calls: Mapping[str, Any] = _DEFAULT_CALLS,
 ) -> DataFrame:
     """Texts through one model into notes."""
-    results = one_model(state, model or catalogue("gpt4o")[0], make_completer)(items)
+    results = one_model(state, model or catalogue("gpt4o")[0], make_completer, **calls)(items)
     return to_notes(state, results, vault, replace(notes, key_order=notes.key_order or V.TEXT_KEYS), as_of)
 
 
@@ -151,12 +155,14 @@ def _feeds_with_recent(entries: DataFrame, as_of: datetime | str, lookback_days:
 
 def feeds_to_notes(
     state: State, entries: DataFrame, heads: DataFrame, make_completer: MakeCompleter, vault: str, *,
-    as_of: datetime | str, models: Sequence[Model] | None = None, notes: NoteOptions = NoteOptions(), **options,
+    as_of: datetime | str, models: Sequence[Model] | None = None, notes: NoteOptions = NoteOptions(),
+    calls: Mapping[str, Any] = _DEFAULT_CALLS, **options,
 ) -> DataFrame:
     """Feeds through several models into notes; written articles leave the backlog."""
     items = poll_feeds(state, entries, heads, as_of=as_of, **options)
     kept = state.append("items", items, f"{schema.ITEM}, guid string")
-    results = compare_models(state, kept.drop("guid"), models or catalogue("gpt4o", "claude", "o3mini"), make_completer)
+    compared = models or catalogue("gpt4o", "claude", "o3mini")
+    results = compare_models(state, kept.drop("guid"), compared, make_completer, **calls)
     done = to_notes(state, results, vault, replace(notes, key_order=notes.key_order or V.ARTICLE_KEYS), as_of)
     state.mark_processed("articles", done.filter("ok").join(kept.select("id", "guid"), "id"), "guid")
     return done
@@ -186,18 +192,18 @@ def poll_podcasts(
 def podcasts_to_notes(
     state: State, entries: DataFrame, heads: DataFrame, transcripts: DataFrame, speech: DataFrame,
     make_completer: MakeCompleter, vault: str, *, as_of: datetime | str, model: Model | None = None,
-    correct: bool = True, notes: NoteOptions = NoteOptions(), **options,
+    correct: bool = True, notes: NoteOptions = NoteOptions(), calls: Mapping[str, Any] = _DEFAULT_CALLS, **options,
 ) -> DataFrame:
     """Podcasts through transcription and one model into notes; transcribed episodes skip transcription."""
     items = poll_podcasts(state, entries, heads, transcripts, as_of=as_of, **options)
     kept = state.append("episode_items", items, f"{schema.ITEM}, guid string")
     audio = kept.filter(F.col("content_type") == "audio").drop("guid")
     spoken = transcribe_items(audio, speech, lambda step, answers: state.append(step, answers, _ANSWERS),
-                              make_completer if correct else None)
+                              make_completer if correct else None, **calls)
     ready = as_results(kept.filter(F.col("content_type") != "audio"))
     # Stored, because the good and the failed half are both read from it.
     transcribed = state.append("transcripts", conform(spoken, schema.RESULT).unionByName(ready), schema.RESULT)
-    summary = one_model(state, model or catalogue("claude")[0], make_completer, "summaries")
+    summary = one_model(state, model or catalogue("claude")[0], make_completer, "summaries", **calls)
     results = pass_failed(transcribed, summary)
     done = to_notes(state, results, vault, replace(notes, key_order=notes.key_order or V.EPISODE_KEYS), as_of)
     state.mark_processed("episodes", done.filter("ok").join(kept.select("id", "guid"), "id"), "guid")

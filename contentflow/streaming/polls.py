@@ -32,6 +32,8 @@ def poll(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, str], No
     """Process everything that is new, batch by batch, and return; `each` gets the batch and its run id."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        # Streams plan without adaptive execution; the joins inside a batch are ordinary batch joins.
+        batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
         each(batch, f"batch-{batch_id:012d}")
 
     stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(
