@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from checks.text_queries import sql_clean, sql_words
 from checks.views import (
-    AS_OF, CUTOFF_NS, LOOKBACK_HOURS, MESSAGES_AS_OF, attempts, entries, feeds, history, seen, table,
+    AS_OF, CUTOFF_NS, LOOKBACK_HOURS, MESSAGES_AS_OF, attempts, entries, feeds, history, seen, table, wide,
 )
 from contentflow.functions.dates import utc
 from contentflow.functions.text import needs_enrichment
@@ -45,7 +45,7 @@ def _xml(column: str) -> F.Column:
 
 def landed_bodies(spark, sf):
     """Every document as a landed feed body with one entry: RSS, or Atom for two of the feeds."""
-    base = entries(spark, sf).withColumns({"x_title": _xml("title"), "x_content": _xml("content")})
+    base = entries(spark, sf, wide(spark, sf, "documents")).withColumns({"x_title": _xml("title"), "x_content": _xml("content")})
     audio = F.concat(F.lit('<enclosure type="audio/mpeg" url="http://media.example/'), F.col("pos"), F.lit('.mp3"/>'))
     rss = F.concat(
         F.lit("<rss><channel><title>Feed "), F.col("feed"), F.lit("</title><item><title>"), F.col("x_title"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.text_queries import TRIM, sql_text, sql_words
-from checks.views import AS_OF, table
+from checks.views import AS_OF, table, wide
 from contentflow import schema
 from contentflow import values as V
 from contentflow.functions import notes as N
@@ -30,7 +30,7 @@ RECIPIENTS = ["r1@example.com", "r2@example.com"]
 def doc_items(spark, sf, **more):
     """Documents as items with title and language in their metadata."""
     return make_items(
-        table(spark, sf, "documents"), content=F.col("text"), source=F.concat(F.lit("rss:"), F.col("source")),
+        wide(spark, sf, "documents"), content=F.col("text"), source=F.concat(F.lit("rss:"), F.col("source")),
         natural_key=F.col("doc_id"), timestamp=utc(AS_OF),
         metadata={"title": F.concat(F.lit("Title "), F.col("doc_id")), "lang": F.col("lang"), **more}, keep=("doc_id",),
     )
@@ -109,14 +109,14 @@ def parse_response(spark, sf):
     bare = F.to_json(F.struct(choices, F.lit("local").alias("model")))
     odd = F.to_json(F.struct(F.col("text").alias("error")))
     body = F.when(F.col("role") == "system", odd).when(F.col("role") == "user", bare).otherwise(full)
-    chat = table(spark, sf, "conversations").select("conv_id", "turn", P.parse_response(body).alias("r"))
+    chat = wide(spark, sf, "conversations").select("conv_id", "turn", P.parse_response(body).alias("r"))
     return chat.select("conv_id", "turn", "r.*")
 
 
 @query("approx_tokens", f"""SELECT doc_id, 5 + {sql_words('text')} AS tokens_in, {sql_words('text')} AS tokens_out FROM documents""")
 def approx_tokens(spark, sf):
     messages = P.prompt_messages(F.col("text"), "You are a careful reader.")
-    return table(spark, sf, "documents").select("doc_id", P.approx_tokens(messages, F.col("text")).alias("t")).select("doc_id", "t.*")
+    return wide(spark, sf, "documents").select("doc_id", P.approx_tokens(messages, F.col("text")).alias("t")).select("doc_id", "t.*")
 
 
 @query("transcript_prompts", f"""SELECT doc_id, {" || ".join(
@@ -126,7 +126,7 @@ def approx_tokens(spark, sf):
         for part in V.CORRECTION_PROMPT.replace("{domain}", "|{domain}|").replace("{transcript}", "|{transcript}|").split("|"))}
     AS correction_prompt FROM documents""")
 def transcript_prompts(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = wide(spark, sf, "documents")
     title = F.concat(F.lit("Title "), F.col("doc_id"))
     return docs.select(
         "doc_id", P.domain_prompt(title, F.col("text")).alias("domain_prompt"),
@@ -140,7 +140,7 @@ def parse_correction(spark, sf):
     answer = F.concat(F.lit("CORRECTED TRANSCRIPT:\n"), F.col("text"), F.lit("\n\nCHANGES MADE:\n- "), F.col("source"), F.lit("\n"))
     doubled = F.concat(answer, F.lit("\nCHANGES MADE: again"))
     body = F.when(F.col("lang") == "de", doubled).otherwise(answer)
-    docs = table(spark, sf, "documents").select("doc_id", P.parse_correction(body, F.lit("original")).alias("p"))
+    docs = wide(spark, sf, "documents").select("doc_id", P.parse_correction(body, F.lit("original")).alias("p"))
     return docs.select("doc_id", "p.*")
 
 
@@ -169,7 +169,7 @@ def model_catalogue(spark, sf):
 
 def made_results(spark, sf):
     """The same results as the SQL view of this name."""
-    fanned = M.fan_out(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), MODELS)
+    fanned = M.fan_out(wide(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), MODELS)
     failed = (F.col("model_ord") == 2) & (F.length("text") % 11 == 0)
     answer = F.concat("name", F.lit(": "), "text")
     return fanned.select(
@@ -286,7 +286,7 @@ _FIX_SQL = " || ".join(
     SELECT doc_id, domain, CASE WHEN length(q) % 5 = 0 THEN text ELSE 'fixed ' || md5(q) END AS corrected_text,
     CASE WHEN length(q) % 5 = 0 THEN 'Error in correction format' ELSE '- one' END AS corrections FROM f""")
 def corrected(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = wide(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("Title "), F.col("doc_id")).alias("title"), F.col("text").alias("transcript")
     )
     done = correct_transcripts(
@@ -301,7 +301,7 @@ def corrected(spark, sf):
     CASE WHEN lang <> 'fr' THEN 'No domain correction applied' END AS corrections, CASE WHEN lang <> 'fr' THEN text END AS corrected_text
     FROM documents""")
 def transcribed(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = wide(spark, sf, "documents")
     guid = F.concat(F.lit("d"), F.col("doc_id"))
     items = doc_items(spark, sf, guid=guid).withColumn("content_type", F.lit("audio"))
     segment = F.struct(F.lit(0.0).alias("start"), F.lit(75.9).alias("end"), F.col("text").alias("text"))
@@ -346,7 +346,7 @@ _NAME = "regexp_replace(url, '[^\\p{L}\\p{N} \\-_]', '_', 'g')"
 
 def page_notes(spark, sf):
     """Pages as items titled by their address, their language as a tag."""
-    pages = table(spark, sf, "pages")
+    pages = wide(spark, sf, "pages")
     return make_items(
         pages, content=F.col("html"), source="web", natural_key=F.col("page_id"), timestamp=utc(AS_OF),
         metadata={
@@ -437,7 +437,7 @@ def note_appends(spark, sf):
 
 
 def doc_messages(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return wide(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
 _WRAPPED = f"'From the feeds' || {_NL} || {_NL} || text || {_NL} || {_NL} || 'bye'"

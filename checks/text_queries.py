@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.views import AS_OF, table
+from checks.views import AS_OF, table, wide
 from contentflow import values as V
 from contentflow.functions import dates as D
 from contentflow.functions import text as T
@@ -63,9 +63,9 @@ _ALL_TEXTS = """SELECT 'page' AS kind, page_id AS id, html AS t FROM pages
 
 
 def all_texts(spark, sf):
-    pages = table(spark, sf, "pages").selectExpr("'page' AS kind", "page_id AS id", "html AS t")
-    docs = table(spark, sf, "documents").selectExpr("'doc' AS kind", "doc_id AS id", "text AS t")
-    chat = table(spark, sf, "conversations").selectExpr("'chat' AS kind", "conv_id * 100 + turn AS id", "text AS t")
+    pages = wide(spark, sf, "pages").selectExpr("'page' AS kind", "page_id AS id", "html AS t")
+    docs = wide(spark, sf, "documents").selectExpr("'doc' AS kind", "doc_id AS id", "text AS t")
+    chat = wide(spark, sf, "conversations").selectExpr("'chat' AS kind", "conv_id * 100 + turn AS id", "text AS t")
     return pages.unionByName(docs).unionByName(chat)
 
 
@@ -95,7 +95,7 @@ def word_count(spark, sf):
     nullif(ls[len(ls)], ''), nullif(text, ''), nullif(lang, ''), '') AS content
     FROM (SELECT doc_id, text, lang, string_split(text, chr(10)) AS ls FROM documents)""")
 def pick_content(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = wide(spark, sf, "documents")
     values = F.split("text", "\n", -1)
     return docs.select("doc_id", T.pick_content(values, F.col("text"), F.col("lang")).alias("content"))
 
@@ -112,7 +112,7 @@ _DESCRIPTION = """CASE WHEN page_id % 4 = 0 THEN 'see <a class="x" href="' || ur
     nullif(regexp_extract(d, '(?i)https?://[^{V.WHITESPACE}<>"'')]+'), '')) AS origin
     FROM (SELECT page_id, {_DESCRIPTION} AS d FROM pages)""")
 def origin_url(spark, sf):
-    described = table(spark, sf, "pages").selectExpr("page_id", f"{_DESCRIPTION} AS d")
+    described = wide(spark, sf, "pages").selectExpr("page_id", f"{_DESCRIPTION} AS d")
     return described.select("page_id", T.origin_url(F.col("d")).alias("origin"))
 
 
@@ -155,7 +155,7 @@ def parse_dates(spark, sf):
     written = F.lit(None).cast("string")
     for kind, (pattern, _, _) in _DATE_FORMS.items():
         written = F.when(F.col("event_type") == kind, F.date_format("ts", pattern)).otherwise(written)
-    events = table(spark, sf, "events").select("event_id", written.alias("d"))
+    events = wide(spark, sf, "events").select("event_id", written.alias("d"))
     return events.select("event_id", D.first_date(F.lit(None).cast("string"), F.lit("junk"), F.col("d")).alias("published_at"))
 
 
@@ -190,7 +190,7 @@ _PAGE = f"""SELECT page_id, url, html,
 @query("page_text", f"SELECT page_id, title, body FROM ({_PAGE})")
 def page_text(spark, sf):
     html = F.col("html")
-    return table(spark, sf, "pages").select(
+    return wide(spark, sf, "pages").select(
         "page_id", T.page_title(html).alias("title"), T.page_text(html).alias("body")
     )
 
@@ -201,7 +201,7 @@ def page_text(spark, sf):
 def page_items(spark, sf):
     from contentflow.sources.pages import page_items as items
 
-    made = items(table(spark, sf, "pages").select("url", "html"), as_of=AS_OF)
+    made = items(wide(spark, sf, "pages").select("url", "html"), as_of=AS_OF)
     return made.select(
         "id", "content_type", "source", "content", F.col("metadata")["title"].alias("title"),
         F.col("metadata")["status_code"].alias("status_code"), "timestamp",
@@ -221,7 +221,7 @@ _LINK_HREF = "'http://media.example/' || CAST(doc_id AS VARCHAR(20)) || '/' || C
         list_filter(links, lambda x: (lang = 'fr' OR x.type <> 'Audio/MPEG') AND (x.rel = 'transcript'
             OR x.type = 'Text/VTT'))[-1].href AS transcript_url FROM e""")
 def media_links(spark, sf):
-    listed = table(spark, sf, "documents").select("doc_id", "lang", F.expr(f"""transform(split(text, '\\n', -1),
+    listed = wide(spark, sf, "documents").select("doc_id", "lang", F.expr(f"""transform(split(text, '\\n', -1),
         l -> named_struct('type', {_LINK_TYPE}, 'href', {_LINK_HREF}, 'rel', {_LINK_REL}))""").alias("links"))
     # French episodes name their audio only in the enclosures.
     silent = F.transform("links", lambda x: F.struct(
@@ -249,7 +249,7 @@ def transcript_text(spark, sf):
     kind = F.when(F.col("lang") == "de", "text/vtt; charset=utf-8").when(
         F.col("lang").isin("fr", "es") | (F.col("doc_id") % 2 == 0), "application/json"
     ).otherwise("text/plain")
-    docs = table(spark, sf, "documents").select("doc_id", body.alias("body"), kind.alias("kind"))
+    docs = wide(spark, sf, "documents").select("doc_id", body.alias("body"), kind.alias("kind"))
     return docs.select("doc_id", TR.transcript_text(F.col("body"), F.col("kind"), F.lit("http://t.example/x")).alias("transcript"))
 
 
@@ -263,5 +263,5 @@ def segments_markdown(spark, sf):
         F.split("text", "\n", -1),
         lambda line, i: F.struct((i * 37.5).alias("start"), ((i + 1) * 37.5).alias("end"), line.alias("text")),
     )
-    docs = table(spark, sf, "documents")
+    docs = wide(spark, sf, "documents")
     return docs.select("doc_id", TR.format_transcription(F.col("text"), segments).alias("content"))

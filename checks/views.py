@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contentflow.session import spread
+
 AS_OF = "2024-01-31 00:00:00"
 MESSAGES_AS_OF = "2024-01-01 12:00:00"
 LOOKBACK_HOURS = 10
@@ -116,8 +118,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for heavy work per row: the test tables are single files with one row group."""
+    return spread(table(spark, sf_dir, name))
+
+
+def entries(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    documents = table(spark, sf_dir, "documents") if documents is None else documents
+    return documents.selectExpr(
         "source AS feed", "doc_id AS pos", f"{_GUID} AS guid", f"{_URL} AS url",
         f"""CASE WHEN doc_id % 25 = 3 THEN NULL
             ELSE timestampadd(MINUTE, 30 * ({_HALF_HOURS}), timestamp_ntz'2024-01-01 00:00:00') END AS published_at""",

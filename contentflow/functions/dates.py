@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contentflow import values as V
-from contentflow.functions.text import non_empty, strip
+from contentflow.functions.text import let, non_empty, strip
 
 
 def utc(moment: datetime | str) -> Column:
@@ -55,23 +55,38 @@ _ASCTIME = r"^[A-Za-z]{3} +([A-Za-z]{3}) +(\d{1,2}) +(\d{2}):(\d{2}):(\d{2}) +(\
 _LONG = r"^([A-Za-z]{3})[a-z]* +(\d{1,2}), +(\d{4})(?: +(\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
 
 
+# Each pattern rewrites a date it matches to one form: mark, then year, month, day, hour, minute, second, zone.
+_MARK = "\x1f"
+_FORMS = (
+    (_ISO, "$1 $2 $3 $4 $5 $6 $7"),
+    (_RFC, "$3 $2 $1 $4 $5 $6 $7"),
+    (_ASCTIME, "$6 $1 $2 $3 $4 $5 "),
+    (_LONG, "$3 $1 $2 $4 $5 $6 "),
+)
+
+
 def _month(name: Column) -> Column:
     at = F.instr(F.lit(V.MONTHS), F.lower(name))
-    return F.when((name != "") & (at % 3 == 1), F.floor((at + 2) / 3).cast("string"))
+    by_name = F.when((F.length(name) == 3) & (at % 3 == 1), F.floor((at + 2) / 3).cast("string"))
+    return F.when(name.rlike("^[0-9]"), name).otherwise(by_name)
+
 
+def _moment(fields: Column) -> Column:
+    """UTC time of the array (mark, year, month, day, hour, minute, second, zone); NULL for other arrays."""
+    _, year, month, day, hour, minute, second, zone = (F.get(fields, F.lit(n)) for n in range(8))
 
-def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
-    def part(c: Column) -> Column:
+    def two(c: Column) -> Column:
         return F.lpad(F.coalesce(non_empty(c), F.lit("0")), 2, "0")
 
-    whole_second = F.lpad(F.substring_index(F.coalesce(non_empty(second), F.lit("00")), ".", 1), 2, "0")
-    fraction = F.when(F.contains(second, F.lit(".")), F.substring_index(second, ".", -1))
-    stamp = F.concat(
-        year, F.lit("-"), part(month), F.lit("-"), part(day), F.lit(" "),
-        part(hour), F.lit(":"), part(minute), F.lit(":"), whole_second,
-        F.coalesce(F.concat(F.lit("."), fraction), F.lit("")),
+    # Seconds may carry a fraction, which must not be cut.
+    seconds = F.when(F.length(second) < 2, two(second)).otherwise(second)
+    written = F.concat(
+        year, F.lit("-"), two(_month(month)), F.lit("-"), two(day), F.lit(" "), two(hour), F.lit(":"),
+        two(minute), F.lit(":"), seconds,
     )
-    return stamp.try_cast("timestamp_ntz")
+    known_month = _month(month).isNotNull()
+    offset = F.coalesce(_offset_seconds(zone), F.lit(0))
+    return F.when((F.size(fields) == 8) & known_month, _plus_seconds(written.try_cast("timestamp_ntz"), -offset))
 
 
 def _offset_seconds(zone: Column) -> Column:
@@ -92,19 +107,11 @@ def parse_date(text: Column) -> Column:
 
     A time with an unknown zone name is read as UTC.
     """
-    text = strip(text)
-
-    def group(pattern: str, number: int) -> Column:
-        return F.regexp_extract(text, pattern, number)
-
-    iso = _moment(*[group(_ISO, n) for n in range(1, 7)])
-    rfc = _moment(group(_RFC, 3), _month(group(_RFC, 2)), group(_RFC, 1), *[group(_RFC, n) for n in (4, 5, 6)])
-    asctime = _moment(group(_ASCTIME, 6), _month(group(_ASCTIME, 1)), *[group(_ASCTIME, n) for n in (2, 3, 4, 5)])
-    long = _moment(group(_LONG, 3), _month(group(_LONG, 1)), *[group(_LONG, n) for n in (2, 4, 5, 6)])
-    # Only one pattern can match, so at most one of the two zones is non-empty.
-    zone = F.concat(group(_ISO, 7), group(_RFC, 7))
-    seconds = F.coalesce(_offset_seconds(zone), F.lit(0))
-    return _plus_seconds(F.coalesce(iso, rfc, asctime, long), -seconds)
+    rewritten = strip(text)
+    for pattern, form in _FORMS:
+        # A rewritten date starts with the mark, so no later pattern matches it again.
+        rewritten = F.regexp_replace(rewritten, pattern, _MARK + form.replace(" ", _MARK))
+    return let(F.split(rewritten, _MARK, -1), _moment)
 
 
 def first_date(*texts: Column) -> Column:

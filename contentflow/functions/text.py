@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ def non_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sub(c: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(replacement))
 
@@ -60,7 +66,7 @@ def clean_html(c: Column) -> Column:
     for entity, char in V.FEED_ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
     c = sub(c, V.TAG, " ")
-    return strip(sub(c, V.WS + "+", " "))
+    return strip(sub(c, V.WS_RUN, " "))
 
 
 def clean(c: Column, mode: str = "compat") -> Column:

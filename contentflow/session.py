@@ -48,3 +48,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for heavy work per row when the input comes in fewer partitions than there are cores.
+
+    Large inputs have more partitions than that and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

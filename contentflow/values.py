@@ -8,6 +8,9 @@ Word lists, patterns, prompts, constants and key orders, kept as plain text in o
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 WS = r"(?U:[\s\x1c-\x1f])"
 NON_WS = r"(?U:[^\s\x1c-\x1f])"
+# A run of white space that is not just one space: collapsing only these gives the same text as
+# collapsing every run, without touching each gap between two words.
+WS_RUN = r"(?U:[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+)"
 
 # --- content types and item states -------------------------------------------------------------
 CONTENT_TYPES = ("text", "audio", "video", "image", "markdown", "url", "json")
