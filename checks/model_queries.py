@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
 from pyspark.sql import functions as F
 
@@ -36,24 +35,32 @@ def doc_items(spark, sf, **more):
     )
 
 
-def digest_completer():
-    """A stand-in model: tells the length and digest of the whole prompt, and fails for some lengths."""
-    digest, dump = hashlib.md5, json.dumps  # bound here, so that the function travels whole
+def _digest_model():
+    """A stand-in model: tells the length and digest of the whole prompt, and fails for some lengths.
 
-    def complete(messages, params):
-        prompt = messages[-1]["content"]
-        if params["model"] == "vendor_b/beta-1" and len(prompt) % 11 == 0:
-            raise RuntimeError("model is busy")
-        if params["model"] == "vendor_c/gamma-1" and len(prompt) % 13 == 0:
-            return {"model": params["model"]}
-        text = f"{len(prompt)} {digest(prompt.encode()).hexdigest()}"
-        return {
-            "choices": [{"message": {"content": text}}],
-            "usage": {"prompt_tokens": len(prompt.split()), "completion_tokens": 2},
-            "model": params["model"],
-        }
+    Made as a closure, so that executors need not import this module.
+    """
 
-    return complete
+    def make():
+        def complete(messages, params):
+            prompt = messages[-1]["content"]
+            if params["model"] == "vendor_b/beta-1" and len(prompt) % 11 == 0:
+                raise RuntimeError("model is busy")
+            if params["model"] == "vendor_c/gamma-1" and len(prompt) % 13 == 0:
+                return {"model": params["model"]}
+            text = f"{len(prompt)} {hashlib.md5(prompt.encode()).hexdigest()}"
+            return {
+                "choices": [{"message": {"content": text}}],
+                "usage": {"prompt_tokens": len(prompt.split()), "completion_tokens": 2},
+                "model": params["model"],
+            }
+
+        return complete
+
+    return make
+
+
+digest_completer = _digest_model()
 
 
 # --- prompts and responses ---------------------------------------------------------------------
@@ -242,21 +249,24 @@ def token_usage(spark, sf):
     return M.usage(answered(spark, sf), "name").drop("execution_time_ms")
 
 
-def _correcting_completer():
-    digest = hashlib.md5
+def _correcting_model():
+    """A stand-in model for both steps of a correction."""
+
+    def make():
+        def complete(messages, params):
+            prompt = messages[-1]["content"]
+            if prompt.startswith("Given the following podcast title"):
+                if len(prompt) % 7 == 0:
+                    raise RuntimeError("busy")
+                text = f" Field {len(prompt) % 3} "
+            else:
+                code = hashlib.md5(prompt.encode()).hexdigest()
+                text = f"CORRECTED TRANSCRIPT:\nfixed {code}\n\nCHANGES MADE:\n- one" if len(prompt) % 5 else "as it was"
+            return {"choices": [{"message": {"content": text}}], "model": params["model"]}
 
-    def complete(messages, params):
-        prompt = messages[-1]["content"]
-        if prompt.startswith("Given the following podcast title"):
-            if len(prompt) % 7 == 0:
-                raise RuntimeError("busy")
-            text = f" Field {len(prompt) % 3} "
-        else:
-            code = digest(prompt.encode()).hexdigest()
-            text = f"CORRECTED TRANSCRIPT:\nfixed {code}\n\nCHANGES MADE:\n- one" if len(prompt) % 5 else "as it was"
-        return {"choices": [{"message": {"content": text}}], "model": params["model"]}
+        return complete
 
-    return complete
+    return make
 
 
 def keep_in(spark, name):
@@ -290,7 +300,7 @@ def corrected(spark, sf):
         "doc_id", F.concat(F.lit("Title "), F.col("doc_id")).alias("title"), F.col("text").alias("transcript")
     )
     done = correct_transcripts(
-        docs, _correcting_completer, keep_in(spark, "corrections"), retries=1, retry_seconds=0.0
+        docs, _correcting_model(), keep_in(spark, "corrections"), retries=1, retry_seconds=0.0
     )
     return done.select("doc_id", "domain", "corrected_text", "corrections")
 

@@ -76,8 +76,19 @@ def pass_failed(results: DataFrame, processor: Processor) -> DataFrame:
     return conform(again, schema.RESULT).unionByName(conform(bad, schema.RESULT))
 
 
-def deliver(results: DataFrame, output: Output, *, accepts: Sequence[str] = ("text", "markdown")) -> DataFrame:
-    """(id, ok, error) per accepted result; failed results are not handed to the output."""
-    good, bad = split_success(results)
-    done = output(only_types(good, accepts)).select("id", "ok", "error")
-    return done.unionByName(bad.select("id", F.lit(False).alias("ok"), F.col("error_message").alias("error")))
+def deliver(
+    results: DataFrame, output: Output, *, accepts: Sequence[str] = ("text", "markdown"), failed: str = "skip"
+) -> DataFrame:
+    """(id, ok, error) per accepted result.
+
+    Failed results are not handed to the output and come back as not delivered (`skip`), or are put out
+    like the others with the content they kept (`deliver`).
+    """
+    accepted = only_types(results, accepts)
+    if failed == "deliver":
+        return output(accepted).select("id", "ok", "error")
+    if failed != "skip":
+        raise ValueError(f"unknown handling of failed results {failed!r}")
+    good, bad = split_success(accepted)
+    undelivered = bad.select("id", F.lit(False).alias("ok"), F.col("error_message").alias("error"))
+    return output(good).select("id", "ok", "error").unionByName(undelivered)

@@ -72,14 +72,16 @@ def compare_models(state: State, items: DataFrame, models: Sequence[Model], make
     return conform(joined.withColumn("error_message", F.lit(None).cast("string")), schema.RESULT)
 
 
-def to_notes(state: State, results: DataFrame, vault: str, options: NoteOptions, as_of: datetime | str) -> DataFrame:
+def to_notes(
+    state: State, results: DataFrame, vault: str, options: NoteOptions, as_of: datetime | str, failed: str = "deliver"
+) -> DataFrame:
     """(id, ok, error) per result."""
 
     def output(good: DataFrame) -> DataFrame:
         notes = render_notes(good, options, as_of)
         return write_notes(state.spark, notes, vault, options, run_id=state.run_id, as_of=as_of)
 
-    return deliver(results, output)
+    return deliver(results, output, failed=failed)
 
 
 def text_to_notes(
@@ -158,13 +160,14 @@ def feeds_to_notes(
     as_of: datetime | str, models: Sequence[Model] | None = None, notes: NoteOptions = NoteOptions(),
     calls: Mapping[str, Any] = _DEFAULT_CALLS, **options,
 ) -> DataFrame:
-    """Feeds through several models into notes; written articles leave the backlog."""
+    """Feeds through several models into notes. Articles that a model answered leave the backlog once written."""
     items = poll_feeds(state, entries, heads, as_of=as_of, **options)
     kept = state.append("items", items, f"{schema.ITEM}, guid string")
     compared = models or catalogue("gpt4o", "claude", "o3mini")
     results = compare_models(state, kept.drop("guid"), compared, make_completer, **calls)
     done = to_notes(state, results, vault, replace(notes, key_order=notes.key_order or V.ARTICLE_KEYS), as_of)
-    state.mark_processed("articles", done.filter("ok").join(kept.select("id", "guid"), "id"), "guid")
+    finished = done.filter("ok").join(results.filter("success").select("id"), "id", "left_semi")
+    state.mark_processed("articles", finished.join(kept.select("id", "guid"), "id"), "guid")
     return done
 
 
@@ -205,6 +208,7 @@ def podcasts_to_notes(
     transcribed = state.append("transcripts", conform(spoken, schema.RESULT).unionByName(ready), schema.RESULT)
     summary = one_model(state, model or catalogue("claude")[0], make_completer, "summaries", **calls)
     results = pass_failed(transcribed, summary)
-    done = to_notes(state, results, vault, replace(notes, key_order=notes.key_order or V.EPISODE_KEYS), as_of)
+    options_ = replace(notes, key_order=notes.key_order or V.EPISODE_KEYS)
+    done = to_notes(state, results, vault, options_, as_of, failed="skip")
     state.mark_processed("episodes", done.filter("ok").join(kept.select("id", "guid"), "id"), "guid")
     return done

@@ -95,6 +95,8 @@ def test_delivery_reports_every_result(spark):
     bad = good.withColumns({"id": F.lit("bad"), "success": F.lit(False), "error_message": F.lit("boom")})
     done = stages.deliver(good.unionByName(bad), lambda df: df.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")))
     assert sorted((r.ok, r.error or "") for r in done.collect()) == [(False, "boom"), (True, "")]
+    both = stages.deliver(good.unionByName(bad), lambda df: df.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")), failed="deliver")
+    assert both.filter("ok").count() == 2
 
 
 def test_ingestor_interface(spark):
