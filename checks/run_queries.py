@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from checks.ingest_queries import _SELECTED, entries, landed_bodies
 from checks.model_queries import MODELS, digest_completer
 from checks.registry import query
-from checks.text_queries import sql_clean
+from checks.text_queries import TRIM, sql_clean
 from checks.views import AS_OF, LOOKBACK_HOURS, MESSAGES_AS_OF, attempts, feeds, history, seen, table
 from contentflow.operators.models import Model
 from contentflow.operators.note_files import NoteOptions
@@ -194,7 +192,15 @@ def podcast_ingest(spark, sf):
     return chosen.select("guid", "feed", F.shiftright("pos", 32).alias("pos"), "published_at", "audio_url")
 
 
-@query("podcasts_to_notes")
+@query("podcasts_to_notes", f"""WITH a AS (SELECT e.*, lang FROM entries e JOIN documents ON pos = doc_id
+        WHERE (published_at IS NULL OR published_at >= TIMESTAMP '2024-01-24 00:00:00') AND guid <> ''),
+    g AS (SELECT *, row_number() OVER (PARTITION BY guid ORDER BY feed, published_at DESC NULLS LAST, pos) AS k FROM a),
+    t AS (SELECT feed, guid, CASE WHEN g.lang = 'en' THEN content WHEN s.doc_id IS NOT NULL THEN '# Transcription' || chr(10) || chr(10)
+        || '**[00:00 - 01:01]** ' || trim(s.text, {TRIM}) || chr(10) || chr(10) END AS text
+        FROM g LEFT JOIN documents s ON g.guid = 'g' || CAST(s.doc_id AS VARCHAR) AND s.lang <> 'en' WHERE k = 1),
+    p AS (SELECT *, 'Please process the following content:' || chr(10) || chr(10) || text AS prompt FROM t)
+    SELECT sha256('podcast:' || feed || chr(31) || guid) || '.md' AS name, text IS NOT NULL AS ok,
+    CAST(length(prompt) AS VARCHAR) || ' ' || md5(prompt) AS content FROM p""")
 def podcasts_to_notes(spark, sf):
     """Episodes with landed transcripts skip transcription; the others use landed speech where there is some."""
     root = work_folder(spark, "podcasts")
@@ -218,7 +224,7 @@ def podcasts_to_notes(spark, sf):
     done = pipelines.podcasts_to_notes(
         State(spark, f"{root}/state", "run-1"), raw, _heads(spark, sf), transcripts.drop("lang"), speech, digest_completer,
         f"{root}/vault", as_of=AS_OF, model=Model("alpha", "vendor_a/alpha-1"), correct=False, calls=_CALLS_NOW,
-        notes=replace(_PLAIN, add_frontmatter=True),
+        notes=_PLAIN,
     )
     notes = written_notes(spark, f"{root}/vault")
     return done.withColumn("name", F.concat("id", F.lit(".md"))).join(notes, "name", "left").select("name", "ok", "content")

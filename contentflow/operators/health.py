@@ -18,8 +18,9 @@ from contentflow.functions.dates import utc
 from contentflow.session import checkpointed
 
 
-def _chunked(df: DataFrame, columns: list[str]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _chunked(df: DataFrame, columns: list[str], chunks: int | None = None) -> DataFrame:
+    """Contiguous chunks of about equal size; as many as there are shuffle partitions unless told."""
+    parts = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartitionByRange(parts, *columns).withColumn("chunk", F.spark_partition_id())
 
 
@@ -54,7 +55,7 @@ def _carried(chunks: DataFrame, feed: str, before_log: DataFrame | None, count:
 
 def error_runs(
     attempts: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id",
-    mute_after: int = V.MUTE_AFTER_ERRORS, before: DataFrame | None = None,
+    mute_after: int = V.MUTE_AFTER_ERRORS, before: DataFrame | None = None, chunks: int | None = None,
 ) -> DataFrame:
     """Per feed: consecutive errors at the end, and where the run reached the mute limit.
 
@@ -64,21 +65,22 @@ def error_runs(
     error, ok = F.col("outcome") == "error", F.col("outcome") == "ok"
     text = F.col("error") if "error" in attempts.columns else F.lit(None).cast("string")
     log = attempts.select(feed, ts, seq, "outcome", text.alias("error"))
-    rows = _runs(_chunked(log, [feed, ts, seq]), feed, [ts, seq], error, ok)
+    rows = _runs(_chunked(log, [feed, ts, seq], chunks), feed, [ts, seq], error, ok)
     place = F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"), F.col("error").alias("error"))
     before_reset = F.col("at_reset").isNull()
     # The first `mute_after` errors before any reset: where the limit falls depends on what is carried in.
+    # No more than that many are collected per chunk.
     leading = F.collect_list(
         F.when(error & before_reset & (F.col("run") <= mute_after), F.struct(F.col("run").alias("nth"), place.alias("at")))
     )
-    chunks = rows.groupBy(feed, "chunk").agg(
+    summaries = rows.groupBy(feed, "chunk").agg(
         F.max("resets").alias("has_reset"),
         F.max_by("run", F.struct(ts, seq)).alias("tail"),
         F.array_sort(leading).alias("leading"),
         F.min(F.when(error & ~before_reset & (F.col("run") >= mute_after), place)).alias("inside"),
         F.max(F.when(error, place)).alias("last_error"),
     )
-    carried = _carried(chunks, feed, before, "error_count")
+    carried = _carried(summaries, feed, before, "error_count")
     needed = (F.lit(mute_after) - F.col("carry")).cast("int")
     reached = F.when(F.col("carry") < mute_after, F.get("leading", needed - 1)["at"])
     ends = carried.withColumns(
@@ -124,7 +126,7 @@ def attempts_made(
 
 def empty_runs(
     attempts: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id",
-    warn_after: int = V.WARN_AFTER_EMPTY, before: DataFrame | None = None,
+    warn_after: int = V.WARN_AFTER_EMPTY, before: DataFrame | None = None, chunks: int | None = None,
 ) -> DataFrame:
     """Per feed: consecutive empty checks at the end, the longest run, and checks over the warning limit.
 
@@ -132,9 +134,9 @@ def empty_runs(
     """
     empty = F.col("outcome") == "empty"
     log = attempts.select(feed, ts, seq, "outcome")
-    rows = _runs(_chunked(log, [feed, ts, seq]), feed, [ts, seq], empty, ~empty)
+    rows = _runs(_chunked(log, [feed, ts, seq], chunks), feed, [ts, seq], empty, ~empty)
     before_reset = F.col("at_reset").isNull()
-    chunks = rows.groupBy(feed, "chunk").agg(
+    summaries = rows.groupBy(feed, "chunk").agg(
         F.max("resets").alias("has_reset"),
         F.max_by("run", F.struct(ts, seq)).alias("tail"),
         F.coalesce(F.max(F.when(before_reset, F.col("run"))), F.lit(0)).alias("leading"),
@@ -143,7 +145,7 @@ def empty_runs(
     )
     carry, leading = F.col("carry"), F.col("leading")
     over = F.greatest(carry + leading - warn_after, F.lit(0)) - F.greatest(carry - warn_after, F.lit(0))
-    ends = _carried(chunks, feed, before, "no_entries_count").withColumns(
+    ends = _carried(summaries, feed, before, "no_entries_count").withColumns(
         {
             "warned": F.col("warned_inside") + over,
             "run_end": F.when(F.col("has_reset"), F.col("tail")).otherwise(carry + F.col("tail")),

@@ -208,7 +208,7 @@ def _file_writer(vault: str, create_folders: bool):
                     assemble(row.path, row.action, row.content, segments, base)
                     rows.append((row.path, True, None))
                 except Exception as problem:  # a file that cannot be written is a failed row
-                    rows.append((row.path, False, str(problem)))
+                    rows.append((row.path, False, f"{type(problem).__name__}: {problem}"))
             yield pd.DataFrame(rows, columns=["path", "ok", "error"])
 
     return write

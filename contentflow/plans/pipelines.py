@@ -100,7 +100,8 @@ def poll_feeds(
     """One poll of the feeds: stores new articles and feed health, returns the items to work on.
 
     `heads` lists the configured feeds that were landed; `problems` (feed, error) those whose processing
-    failed. `emit` is `backlog` (all unprocessed articles of feeds with news) or `new`.
+    failed. `emit` is `backlog` (all unprocessed articles of feeds with news) or `new`. The entries are read
+    twice, the second time only their feed and date: pass stored ones when they are costly to make.
     """
     known = state.snapshot("feeds")
     candidates = heads.select(F.col("feed").alias("url"), "title", "description", "website_url")

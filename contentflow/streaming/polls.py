@@ -74,11 +74,13 @@ def health_stream(stream: DataFrame, root: str) -> None:
     def each(batch: DataFrame, run_id: str) -> None:
         state = State(batch.sparkSession, root, run_id)
         known = state.snapshot("feeds")
-        heads = batch.select(F.col("feed").cast("string").alias("url")).distinct()
+        tried = batch.withColumn("feed", F.col("feed").cast("string")).persist()  # read several times below
+        heads = tried.select(F.col("feed").alias("url")).distinct()
         fresh = unseen(heads, known, "url").withColumns(
             {"muted": F.lit(False), "error_count": F.lit(0), "no_entries_count": F.lit(0)}
         )
         feeds = known.unionByName(fresh, allowMissingColumns=True)
-        state.write_snapshot("feeds", with_health(feeds, batch.withColumn("feed", F.col("feed").cast("string"))))
+        state.write_snapshot("feeds", with_health(feeds, tried))
+        tried.unpersist()
 
     poll(stream, f"{root}/_checkpoints/feeds", each)
