@@ -14,6 +14,7 @@ from contentflow.functions.text import needs_enrichment
 from contentflow.operators import filters, health, known, ranking
 from contentflow.plans import articles as article_plan
 from contentflow.plans import conversations as chat_plan
+from contentflow.session import checkpointed
 from contentflow.sources import feeds as feed_source
 from contentflow.sources import items as item_source
 from contentflow.sources import messages as message_source
@@ -421,7 +422,7 @@ _RUNS = """WITH r AS (SELECT *, sum(CASE WHEN outcome = 'ok' THEN 1 ELSE 0 END)
     CASE WHEN arg_max(run, ts) > 0 THEN arg_max(error, ts) FILTER (outcome = 'error') END AS last_error FROM k GROUP BY feed""")
 def feed_automute(spark, sf):
     log = attempts(spark, sf)
-    runs = health.error_runs(log)
+    runs = checkpointed(health.error_runs(log))  # one row per feed, used twice
     made = health.attempts_made(log, runs).groupBy("feed").agg(F.count(F.lit(1)).alias("attempts_made"))
     return runs.drop("muted_seq").join(made, "feed")
 
@@ -433,7 +434,8 @@ def feed_automute(spark, sf):
     CAST(count(*) FILTER (n > 5) AS BIGINT) AS warnings FROM t GROUP BY feed""")
 def feed_empty_runs(spark, sf):
     log = attempts(spark, sf)
-    return health.empty_runs(health.attempts_made(log, health.error_runs(log)))
+    runs = checkpointed(health.error_runs(log))  # one row per feed; ranging the attempts reads it again
+    return health.empty_runs(health.attempts_made(log, runs))
 
 
 @query("feed_counters", f"""{_SELECTED}, n AS (SELECT feed, count(*) AS c FROM h GROUP BY feed),
