@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from checks.text_queries import sql_clean, sql_words
 from checks.views import (
-    AS_OF, CUTOFF_NS, LOOKBACK_HOURS, MESSAGES_AS_OF, attempts, entries, feeds, history, seen, table, wide,
+    AS_OF, LOOKBACK_HOURS, MESSAGES_AS_OF, attempts, entries, feeds, history, seen, table, wide,
 )
 from contentflow.functions.dates import utc
 from contentflow.functions.text import needs_enrichment

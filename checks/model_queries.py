@@ -177,7 +177,8 @@ def model_catalogue(spark, sf):
 def made_results(spark, sf):
     """The same results as the SQL view of this name."""
     fanned = M.fan_out(wide(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), MODELS)
-    failed = (F.col("model_ord") == 2) & (F.length("text") % 11 == 0)
+    size = F.length("text")
+    failed = ((F.col("model_ord") == 1) & (size % 7 == 0)) | ((F.col("model_ord") == 2) & (size % 11 == 0))
     answer = F.concat("name", F.lit(": "), "text")
     return fanned.select(
         "id", "model_ord", "name", "model_id", F.col("model_id").alias("model_name"), (~failed).alias("success"),
@@ -199,19 +200,21 @@ def combine_text(spark, sf):
     return M.combine(made_results(spark, sf), "text")
 
 
-# Without the first model, so that failures of the second one matter.
 @query("first_success", """SELECT id, name, content, success FROM (SELECT *, row_number() OVER (PARTITION BY id
-    ORDER BY NOT success, model_ord) AS k FROM results WHERE model_ord > 1) WHERE k = 1""")
+    ORDER BY NOT success, model_ord) AS k FROM results) WHERE k = 1""")
 def first_success(spark, sf):
-    return M.first_success(made_results(spark, sf).filter("model_ord > 1"), ["name", "content", "success"])
+    return M.first_success(made_results(spark, sf), ["name", "content", "success"])
 
 
-@query("no_results", """SELECT d.doc_id AS id, CASE WHEN r.id IS NULL THEN text ELSE r.content END AS content, coalesce(r.success, false) AS success,
-    CASE WHEN r.id IS NULL THEN 'No results from any processor' WHEN NOT r.success THEN 'busy' END AS error_message
-    FROM documents d LEFT JOIN (SELECT * FROM results WHERE model_ord = 2 AND length(content) > 1000) r ON d.doc_id = r.id""")
+# Where the first model failed, no result was kept at all; the others' failures stay rows.
+@query("no_results", """SELECT doc_id AS id, CASE WHEN length(text) % 7 = 0 THEN text ELSE 'alpha: ' || text END AS content,
+    length(text) % 7 <> 0 AS success, CASE WHEN length(text) % 7 = 0 THEN 'No results from any processor' END AS error_message
+    FROM documents""")
 def no_results(spark, sf):
     items = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return M.first_success_of(items, made_results(spark, sf).filter("model_ord = 2 AND length(content) > 1000"))
+    results = made_results(spark, sf)
+    lost = results.filter("model_ord = 1 AND NOT success").select("id")
+    return M.first_success_of(items, results.join(lost, "id", "left_anti"))
 
 
 def answered(spark, sf):

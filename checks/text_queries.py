@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.views import AS_OF, table, wide
+from checks.views import AS_OF, wide
 from contentflow import values as V
 from contentflow.functions import dates as D
 from contentflow.functions import text as T

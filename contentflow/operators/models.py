@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from contentflow import schema
@@ -220,6 +220,19 @@ def first_success_of(items: DataFrame, results: DataFrame, *, key: str = "id") -
     )
 
 
+def observed(results: DataFrame, observation: Observation) -> DataFrame:
+    """The same rows; whoever consumes them gets the run's totals in the observation, without another pass."""
+    m = F.col("result_metrics")
+    return results.observe(
+        observation,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.coalesce("success", F.lit(False))).alias("failures"),
+        F.coalesce(F.sum(m["call_count"]), F.lit(0)).alias("call_count"),
+        F.coalesce(F.sum(m["tokens_in"]), F.lit(0)).alias("tokens_in"),
+        F.coalesce(F.sum(m["tokens_out"]), F.lit(0)).alias("tokens_out"),
+    )
+
+
 def usage(results: DataFrame, *by: str) -> DataFrame:
     """Calls, errors, tokens and time per step."""
     m = F.col("result_metrics")

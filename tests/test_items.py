@@ -4,6 +4,7 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from contentflow import schema
@@ -208,6 +209,9 @@ def test_calls_are_made_once_and_failures_are_rows(spark, tmp_path):
         else:
             assert r.success and r.metadata == {"model": r.model_id, "model_provider": "v"}
             assert r.content == ("SAY X" if r.model_ord == 2 else "PLEASE PROCESS THE FOLLOWING CONTENT:\n\nX")
+    totals = Observation("run")
+    M.observed(M.with_answers(requests, answers), totals).write.format("noop").mode("overwrite").save()
+    assert totals.get["rows"] == 6 and totals.get["failures"] == 2 and totals.get["call_count"] == 4 + 6
     again = M.complete(requests, counting(log), answered=answers.filter("response IS NOT NULL"), **options)
     assert again.count() == 2  # only what failed is asked again
 
