@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.views import AS_OF, wide
+from checks.views import AS_OF, entries, history, wide
 from contentflow import values as V
 from contentflow.functions import dates as D
 from contentflow.functions import text as T
 from contentflow.functions import transcripts as TR
+from contentflow.sources import pages as page_source
 
 # White space for RE2: the same characters, listed.
 WS = f"[{V.WHITESPACE}]"
@@ -124,8 +125,6 @@ _IDS = """SELECT e.pos, CASE WHEN e.feed IN ('src1', 'src2') THEN NULL ELSE e.gu
 @query("resolve_ids", f"""SELECT pos, coalesce(entry_id, link, '') AS guid,
     coalesce(nullif(link, ''), coalesce(entry_id, link, '')) AS url, coalesce(title, 'Untitled') AS title FROM ({_IDS})""")
 def resolve_ids(spark, sf):
-    from checks.views import entries
-
     raw = entries(spark, sf).selectExpr(
         "pos", "CASE WHEN feed IN ('src1', 'src2') THEN NULL ELSE guid END AS entry_id",
         "CASE WHEN feed = 'src2' THEN NULL WHEN feed = 'src4' THEN '' ELSE url END AS link",
@@ -162,8 +161,6 @@ def parse_dates(spark, sf):
 @query("mac_time", """SELECT rowid_ AS message_id, make_timestamp(CAST(date_ns // 1000 + 978307200000000 AS BIGINT)) AS date
     FROM msg""")
 def mac_time(spark, sf):
-    from checks.views import history
-
     return history(spark, sf)["message"].select(
         F.col("rowid").alias("message_id"), D.from_apple_nanos(F.col("date")).alias("date")
     )
@@ -199,9 +196,7 @@ def page_text(spark, sf):
     '# ' || title || chr(10) || chr(10) || body || chr(10) || chr(10) || 'Source: ' || url AS content,
     title, '200' AS status_code, TIMESTAMP '{AS_OF}' AS "timestamp" FROM ({_PAGE})""")
 def page_items(spark, sf):
-    from contentflow.sources.pages import page_items as items
-
-    made = items(wide(spark, sf, "pages").select("url", "html"), as_of=AS_OF)
+    made = page_source.page_items(wide(spark, sf, "pages").select("url", "html"), as_of=AS_OF)
     return made.select(
         "id", "content_type", "source", "content", F.col("metadata")["title"].alias("title"),
         F.col("metadata")["status_code"].alias("status_code"), "timestamp",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contentflow import schema
 from contentflow import values as V
+from contentflow.functions.notes import format_template
 from contentflow.functions.text import strip, word_count
 
 
@@ -73,20 +74,14 @@ def parse_response(response: Column) -> Column:
     )
 
 
-def _fill(template: str, **columns: Column) -> Column:
-    """Fill a template in one pass, so that text of one field is never read as another field."""
-    from contentflow.functions.notes import format_template
-
-    return format_template(template, columns)
-
-
 def domain_prompt(title: Column, transcript: Column, sample_chars: int = V.TOPIC_SAMPLE_CHARS) -> Column:
     sample = F.substring(transcript, 1, sample_chars)
-    return _fill(V.DOMAIN_PROMPT, title=F.coalesce(title, F.lit("None")), sample=sample)
+    # Filled in one pass, so that text of one field is never read as another field.
+    return format_template(V.DOMAIN_PROMPT, {"title": title, "sample": sample})
 
 
 def correction_prompt(domain: Column, transcript: Column) -> Column:
-    return _fill(V.CORRECTION_PROMPT, domain=domain, transcript=transcript)
+    return format_template(V.CORRECTION_PROMPT, {"domain": domain, "transcript": transcript})
 
 
 def parse_correction(answer: Column, transcript: Column) -> Column:

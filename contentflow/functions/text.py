@@ -17,10 +17,6 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(V.WHITESPACE))
 
 
-def lstrip(c: Column) -> Column:
-    return F.ltrim(c, F.lit(V.WHITESPACE))
-
-
 def non_empty(c: Column) -> Column:
     """NULL for the empty string, else the value."""
     return F.nullif(c, F.lit(""))
@@ -35,6 +31,21 @@ def sub(c: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(replacement))
 
 
+def sub_closed(c: Column, pattern: str, end: str, replacement: str) -> Column:
+    """Like `sub`, for a pattern whose matches end with `end`.
+
+    Behind the last `end` nothing can match. Not searching there keeps a text with many openings that are
+    never closed from being read to its end for each of them.
+    """
+
+    def replace(text: Column) -> Column:
+        rest = F.substring_index(text, end, -1)
+        closed = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
+        return F.concat(sub(closed, pattern, replacement), rest)
+
+    return let(c, replace)
+
+
 def contains_any(c: Column, needles: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for needle in needles:
@@ -53,19 +64,19 @@ def text_format(c: Column) -> Column:
 
 
 def clean_markdown(c: Column) -> Column:
-    c = sub(c, V.TAG, " ")
+    c = sub_closed(c, V.TAG, ">", " ")
     c = sub(c, V.EMPTY_LINK, "")
-    c = sub(c, V.EMPTY_HTTP_LINK, "")
+    c = sub_closed(c, V.EMPTY_HTTP_LINK, ")", "")
     c = sub(c, V.MANY_NEWLINES, "\n\n")
     return strip(sub(c, V.WS + "{2,}", " "))
 
 
 def clean_html(c: Column) -> Column:
-    for block in (V.SCRIPT_BLOCK, V.STYLE_BLOCK, V.COMMENT):
-        c = sub(c, block, "")
+    for block, end in ((V.SCRIPT_BLOCK, "</script>"), (V.STYLE_BLOCK, "</style>"), (V.COMMENT, "-->")):
+        c = sub_closed(c, block, end, "")
     for entity, char in V.FEED_ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
-    c = sub(c, V.TAG, " ")
+    c = sub_closed(c, V.TAG, ">", " ")
     return strip(sub(c, V.WS_RUN, " "))
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from datetime import datetime
 
 import pytest
@@ -52,6 +53,15 @@ def test_clean_equals_model(spark):
     assert apply(spark, T.clean, [None]) == [""]
 
 
+def test_unclosed_markup_stays_linear(spark):
+    texts = ["a < b " * 200_000, "x<!-- " * 100_000, "<script>" * 100_000, "<style>- " * 100_000, "<b" * 200_000 + ">"]
+    started = time.time()
+    for mode in ("compat", "html"):
+        cleaned = apply(spark, lambda c, m=mode: T.clean(c, m), texts)
+        assert cleaned[0] == texts[0].strip() and cleaned[4] == ""
+    assert time.time() - started < 60
+
+
 def test_white_space_is_that_of_python(spark):
     chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c <= 0xDFFF]
     assert apply(spark, lambda c: c.rlike(V.WS), chars) == [c.isspace() for c in chars]
