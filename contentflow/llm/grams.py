@@ -6,14 +6,19 @@ pieces of bounded size, so that the memory of a task does not follow the length
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from contentflow.llm.folders import unused
 
 PIECE_BYTES = 2_000_000
+PIECE_ROWS = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -59,8 +64,8 @@ class Texts(NamedTuple):
         return self.last - self.first
 
 
-def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Texts]:
-    """Runs of texts of at most `limit` bytes, or one text; null is empty."""
+def pieces(texts: pa.Array, limit: int = PIECE_BYTES, rows: int = PIECE_ROWS) -> Iterator[Texts]:
+    """Runs of at most `rows` texts and `limit` bytes, or one text; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -70,7 +75,7 @@ def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Texts]:
     first = 0
     while first < len(texts):
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), len(texts))
+        last = min(max(last, first + 1), first + rows, len(texts))
         yield Texts(first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
 
@@ -144,8 +149,46 @@ def distinct_by_text(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray,
     return text[at], hashes[at], np.diff(at, append=len(hashes))
 
 
-def with_columns(batch: pa.RecordBatch, rows: slice, **columns) -> pa.RecordBatch:
-    """Rows of a batch with more columns."""
-    part = batch.slice(rows.start, rows.stop - rows.start)
-    arrays = [*part.columns, *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values())]
-    return pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *columns])
+def byte_grams(texts: Texts, table: np.ndarray, buckets: int, sizes: tuple[int, ...]) -> np.ndarray:
+    """(texts, buckets) counts of hashed n-grams of the mapped bytes, none across two texts. buckets is a power of 2."""
+    low, n = table[texts.data].astype(np.uint32), len(texts.data)
+    text = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(texts.offsets))
+    out = np.zeros(len(texts) * buckets, dtype=np.float64)
+    for size in sizes:
+        if n < size:
+            continue
+        code = low[: n - size + 1].copy()
+        for j in range(1, size):
+            code = (code << np.uint32(8)) | low[j : n - size + 1 + j]
+        code = (code + np.uint32(size)) * np.uint32(2654435761)
+        code ^= code >> np.uint32(15)
+        inside = text[: n - size + 1] == text[size - 1 :]
+        at = text[: n - size + 1] * buckets + (code & np.uint32(buckets - 1))
+        out += np.bincount(at[inside], minlength=len(out))
+    return out.reshape(len(texts), buckets)
+
+
+def mapped(
+    frame: DataFrame, text: str, keep: list[str], new: dict[str, str], work: Callable[[Texts, pa.RecordBatch], tuple],
+) -> DataFrame:
+    """The columns `keep` and, from `work` on each piece of each batch's texts, the columns `new` (name -> Spark type).
+
+    `work` gets a piece and its rows and returns one array per new column.
+    """
+    alias = unused(frame, "the_text")
+    kept = [F.col(f"`{c}`") for c in keep]
+    types = T.StructType([*frame.select(*kept).schema.fields, *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in new.items())).fields])
+    arrow = to_arrow_schema(types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            for piece in pieces(texts):
+                rows = batch.slice(piece.first, len(piece))
+                made = work(piece, rows)
+                arrays = [rows.column(i) for i in range(len(keep))]
+                for array, field in zip(made, list(arrow)[len(keep) :], strict=True):
+                    arrays.append(array.cast(field.type) if isinstance(array, (pa.Array, pa.ChunkedArray)) else pa.array(array, type=field.type))
+                yield pa.RecordBatch.from_arrays(arrays, names=types.names)
+
+    return frame.select(*kept, F.col(f"`{text}`").cast("string").alias(alias)).mapInArrow(run, types)

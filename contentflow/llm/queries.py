@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from contentflow.llm import mixing, sharding
+from contentflow.llm import langid, mixing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,20 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = mixing.source_targets(docs, source_weight(), most=MOST_COPIES)
     mixed = mixing.mix(docs, targets)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op9_quality_ranking")
+def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(documents.select("doc_id", "text"), labels.filter(remainder(5) != 0))
+    docs = documents.select("doc_id", "text", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"))
+    scored = quality.predict(docs, model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+@query("op10_language_codes")
+def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents.filter(remainder(4) != 2).select("doc_id", "text", "lang"))
+    docs = documents.select("doc_id", "text", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
