@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from contentflow.llm import langid, mixing, quality, sharding
+from contentflow.llm import langid, mixing, pii, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,30 @@ def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(documents.filter(remainder(4) != 2).select("doc_id", "text", "lang"))
     docs = documents.select("doc_id", "text", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"))
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
+@query("op1_toxic_neighbours")
+def toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index = toxicity.fit(documents.select("doc_id", "text"), labels.filter(remainder(3) != 1), documents.select("text"))
+    docs = documents.select("doc_id", "text", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"))
+    scored = toxicity.predict(docs, index, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+def listed(spans: Column, kinds: tuple[str, ...]) -> Column:
+    chosen = F.filter(spans, lambda x: x["kind"].isin(*kinds))
+    return F.array_join(F.transform(chosen, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+@query("op2_personal_spans")
+def personal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(documents, keep=["doc_id"])
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(number, pii.BASE_KINDS), F.sha2(listed(F.col("spans"), pii.BASE_KINDS), 256).alias("base_sha256"), listed(F.col("spans"), pii.KINDS).alias("spans")
+    )
