@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from contentflow.llm import langid, mixing, pii, quality, sharding, toxicity
+from contentflow.llm import decontamination, langid, minhash, mixing, pii, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +113,19 @@ def personal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *map(number, pii.BASE_KINDS), F.sha2(listed(F.col("spans"), pii.BASE_KINDS), 256).alias("base_sha256"), listed(F.col("spans"), pii.KINDS).alias("spans")
     )
+
+
+@query("op3_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(documents, shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op4_benchmark_windows")
+def benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontamination.decontaminate(documents.select("doc_id", "text"), benchmark, keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
