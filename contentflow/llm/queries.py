@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from contentflow.llm import decontamination, embeddings, langid, minhash, mixing, pii, quality, sharding, toxicity
+from contentflow.llm import decontamination, embeddings, langid, language_model, minhash, mixing, pii, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,10 @@ def benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return embeddings.embedding_links(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("op7_maxent_scores")
+def maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    docs = documents.select("doc_id", "text", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"))
+    return language_model.score(docs, remainder(7) != 2, keep=["doc_id", "held_out"])
