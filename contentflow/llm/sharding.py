@@ -78,7 +78,7 @@ def shard(
     Splitters are quantiles of a size-weighted sample. The rows' sizes per range are then exact sums: a range far
     above its share is subdivided, by further splitters if it holds several keys, or by a hash of the row if it is one
     key (repeated or null keys). Rows are ordered inside a range only; ranges follow each other by summed sizes, and
-    a shard ends where the running sum passes its share, so shards differ by less than one row's size from it.
+    a shard ends where the running sum passes its share, so shards differ by less than one row's size.
     slot counts from 0 without gaps inside a shard.
 
     The key is a whole number. Nulls in it are first; in `text` they count as empty. Ties of the key are ordered by hash and size of the row;
@@ -137,7 +137,9 @@ def shard(
     b0, n0 = unused(placed, "b0"), unused(placed, "n0")
     sums = sums.withColumnsRenamed({"b0": b0, "n0": n0})
     placed = placed.join(F.broadcast(sums), [span, sub])
-    share = F.expr(f"cast(least({shards - 1}, (`{b0}` + `{before}`) * {shards} div {max(total, 1)}) as int)")
+    # A row belongs to the shard that holds its middle.
+    middle = f"(2 * (`{b0}` + `{before}`) + size)"
+    share = F.expr(f"cast(least({shards - 1}, {middle} * {shards} div {max(2 * total, 1)}) as int)")
     placed = placed.withColumn("shard", share)
     heads = placed.groupBy("shard").agg(F.min(F.col(n0) + F.col(rows)).alias("head"))
     head = unused(placed, "head")
