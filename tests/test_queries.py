@@ -1,8 +1,9 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every query of the checks against its SQL on the smallest tables."""
 
 import pytest
 
 import __spark_entry__ as entry
+from checks import all_queries
 from compare import connect, rows
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def db():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries.QUERIES))
 def test_query_equals_sql(spark, db, name):
     got = entry.queries()[name](spark, SF)
     mine = rows(got.toPandas())
@@ -27,4 +28,4 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries.QUERIES) == set(all_queries.SQL)
