@@ -11,10 +11,11 @@ from checks.views import (
 )
 from contentflow.functions.dates import utc
 from contentflow.functions.text import needs_enrichment
+from contentflow import schema
 from contentflow.operators import filters, health, known, ranking
+from contentflow.operators.stages import as_results, conform, pass_failed
 from contentflow.plans import articles as article_plan
 from contentflow.plans import conversations as chat_plan
-from contentflow.session import checkpointed
 from contentflow.sources import feeds as feed_source
 from contentflow.sources import items as item_source
 from contentflow.sources import messages as message_source
@@ -176,9 +177,9 @@ def scanned(spark, sf, **options):
 
 
 def records(spark, sf, **options):
-    landed = history(spark, sf)
-    names = message_source.contact_names(landed["person"], landed["person_handle"])
-    return message_source.message_records(scanned(spark, sf, **options), names)
+    landed, rows = history(spark, sf), scanned(spark, sf, **options)
+    names = message_source.contact_names(landed["person"], landed["person_handle"], rows)
+    return message_source.message_records(rows, names)
 
 
 _SCAN_COLUMNS = "message_id, text, date_ns, is_from_me, handle, chat_id, chat_name, style"
@@ -244,9 +245,7 @@ def unseen_items(spark, sf):
         FROM msg_chat WHERE display_name = '')
     SELECT thread_id, name FROM known UNION ALL SELECT thread_id, thread_name FROM (SELECT *, row_number() OVER
         (PARTITION BY thread_id ORDER BY date DESC, message_id, chat_id NULLS LAST) AS k FROM fresh) WHERE k = 1
-        AND thread_id IS NOT NULL AND thread_id NOT IN (SELECT thread_id FROM known)
-    UNION ALL SELECT NULL, thread_name FROM (SELECT *, row_number() OVER (ORDER BY date DESC, message_id) AS k FROM fresh
-        WHERE thread_id IS NULL) WHERE k = 1""")
+        AND thread_id NOT IN (SELECT thread_id FROM known)""")
 def upsert_parents(spark, sf):
     chats = history(spark, sf)["chat"].filter("display_name = ''")
     stored = chats.selectExpr("CAST(rowid AS STRING) AS thread_id", "'known' AS name")
@@ -316,9 +315,11 @@ def type_gate(spark, sf):
 @query("success_gate", f"""SELECT doc_id, t IN ('text', 'markdown') AS success, CASE WHEN t IN ('text', 'markdown')
     THEN 'done' ELSE 'passed through' END AS what FROM (SELECT doc_id, {_TYPED} AS t FROM documents)""")
 def success_gate(spark, sf):
-    good, bad = filters.split_success(filters.gate_types(typed(spark, sf), ["text", "markdown"]))
-    whole = good.withColumn("what", F.lit("done")).unionByName(bad.withColumn("what", F.lit("passed through")))
-    return whole.select("doc_id", "success", "what")
+    """The gate as a stage has it: only good results reach the processor, failed ones come back untouched."""
+    gated = filters.gate_types(typed(spark, sf), ["text", "markdown"])
+    results = conform(gated.withColumns({"id": F.col("doc_id").cast("string"), "content": F.lit("passed through")}), schema.RESULT)
+    done = pass_failed(results, lambda good: as_results(good.withColumn("content", F.lit("done"))))
+    return done.select(F.col("id").cast("bigint").alias("doc_id"), "success", F.col("content").alias("what"))
 
 
 @query("union_inputs", """SELECT 'texts' AS input_name, doc_id AS id, text AS content, lang, NULL AS role FROM documents
@@ -422,7 +423,7 @@ _RUNS = """WITH r AS (SELECT *, sum(CASE WHEN outcome = 'ok' THEN 1 ELSE 0 END)
     CASE WHEN arg_max(run, ts) > 0 THEN arg_max(error, ts) FILTER (outcome = 'error') END AS last_error FROM k GROUP BY feed""")
 def feed_automute(spark, sf):
     log = attempts(spark, sf)
-    runs = checkpointed(health.error_runs(log))  # one row per feed, used twice
+    runs = health.error_runs(log)
     made = health.attempts_made(log, runs).groupBy("feed").agg(F.count(F.lit(1)).alias("attempts_made"))
     return runs.drop("muted_seq").join(made, "feed")
 
@@ -434,8 +435,7 @@ def feed_automute(spark, sf):
     CAST(count(*) FILTER (n > 5) AS BIGINT) AS warnings FROM t GROUP BY feed""")
 def feed_empty_runs(spark, sf):
     log = attempts(spark, sf)
-    runs = checkpointed(health.error_runs(log))  # one row per feed; ranging the attempts reads it again
-    return health.empty_runs(health.attempts_made(log, runs))
+    return health.empty_runs(health.attempts_made(log, health.error_runs(log)))
 
 
 @query("feed_counters", f"""{_SELECTED}, n AS (SELECT feed, count(*) AS c FROM h GROUP BY feed),

@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from checks.folders import work_folder
 from checks.registry import query
 from checks.text_queries import TRIM, sql_text, sql_words
 from checks.views import AS_OF, table, wide
@@ -20,7 +21,6 @@ from contentflow.operators import note_files as K
 from contentflow.operators import outbox as O
 from contentflow.operators.stages import conform, process
 from contentflow.plans.transcription import correct_transcripts, transcribe_items
-from contentflow.session import work_folder
 from contentflow.sources.items import item_json, make_items
 
 MODELS = [M.Model("alpha", "vendor_a/alpha-1"), M.Model("beta", "vendor_b/beta-1"), M.Model("gamma", "vendor_c/gamma-1")]

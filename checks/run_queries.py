@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.ingest_queries import _SELECTED, entries, landed_bodies
 from checks.model_queries import MODELS, digest_completer
+from checks.folders import work_folder
 from checks.registry import query
 from checks.text_queries import TRIM, sql_clean
 from checks.views import AS_OF, LOOKBACK_HOURS, MESSAGES_AS_OF, attempts, feeds, history, seen, table
@@ -16,7 +17,6 @@ from contentflow.plans import articles as article_plan
 from contentflow.plans import episodes as episode_plan
 from contentflow.plans import pipelines
 from contentflow.plans.conversations import check_messages
-from contentflow.session import work_folder
 from contentflow.sources import feeds as feed_source
 from contentflow.sources.text_files import text_items
 from contentflow.streaming import polls
@@ -233,7 +233,7 @@ def podcasts_to_notes(spark, sf):
 @query("message_check", """SELECT message_id, content, "timestamp" FROM (SELECT CAST(message_id AS VARCHAR) AS message_id, text AS content,
     make_timestamp(CAST(date_ns // 1000 + 978307200000000 AS BIGINT)) AS "timestamp", chat_id, handle, row_number() OVER (PARTITION BY message_id
     ORDER BY chat_id NULLS LAST) AS k FROM (SELECT * FROM scan ORDER BY date_ns DESC, message_id, chat_id NULLS LAST LIMIT 100))
-    WHERE k = 1 AND (chat_id IS NOT NULL OR handle IS NOT NULL)""")
+    WHERE k = 1""")
 def message_check(spark, sf):
     """Two polls of the same history: the second stores nothing."""
     root = work_folder(spark, "messages")

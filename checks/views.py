@@ -9,8 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contentflow.session import spread
-
+# Partitions of the tables with heavy work per row, see `wide`.
+PARTS = 8
 AS_OF = "2024-01-31 00:00:00"
 MESSAGES_AS_OF = "2024-01-01 12:00:00"
 LOOKBACK_HOURS = 10
@@ -62,7 +62,7 @@ SQL_VIEWS = {
         AND trim(coalesce(first_, '') || ' ' || coalesce(last_, '')) <> ''""",
     "records": """SELECT CAST(message_id AS VARCHAR) AS message_id, text, is_from_me AS from_me,
         CASE WHEN is_from_me THEN 'me' ELSE s.handle END AS sender,
-        coalesce(CAST(chat_id AS VARCHAR), s.handle) AS thread_id,
+        coalesce(CAST(chat_id AS VARCHAR), s.handle, 'None') AS thread_id,
         coalesce(nullif(chat_name, ''), contact_name, s.handle) AS thread_name,
         coalesce(style = 43, false) AS is_group,
         make_timestamp(CAST(date_ns // 1000 + 978307200000000 AS BIGINT)) AS date, chat_id, message_id AS row_no
@@ -119,8 +119,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for heavy work per row: the test tables are single files with one row group."""
-    return spread(table(spark, sf_dir, name))
+    """A table for heavy work per row, in PARTS partitions: the test tables are single files with one row group."""
+    return table(spark, sf_dir, name).repartition(PARTS)
 
 
 def entries(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,8 @@ from contentflow.functions.text import non_empty
 
 
 def thread_id(chat_id: Column, handle: Column) -> Column:
-    return F.coalesce(chat_id.cast("string"), handle)
+    """The chat, else the sender; messages with neither share one thread of a fixed name."""
+    return F.coalesce(chat_id.cast("string"), handle, F.lit(V.NO_THREAD))
 
 
 def thread_name(chat_name: Column, contact_name: Column, handle: Column) -> Column:

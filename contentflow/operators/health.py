@@ -1,13 +1,13 @@
 """Feed health: runs of errors and of empty checks, automatic muting, ingest counters.
 
 Runs depend on the order of a feed's attempts. One feed may hold a large part of the log, so no task
-ever needs a whole feed: the log is range-partitioned by (feed, time, attempt), which cuts a large feed
-into contiguous chunks; each chunk is summarised on its own, and a feed's result follows from its few
-chunk summaries.
+ever needs a whole feed: its attempts are cut into chunks of one day (or hour), one shuffle by (feed, chunk)
+brings each chunk together, and a feed's result follows from its few chunk summaries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,13 +15,19 @@ from pyspark.sql import functions as F
 
 from contentflow import values as V
 from contentflow.functions.dates import utc
-from contentflow.session import checkpointed
 
 
-def _chunked(df: DataFrame, columns: list[str], chunks: int | None = None) -> DataFrame:
-    """Contiguous chunks of about equal size; as many as there are shuffle partitions unless told."""
-    parts = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, *columns).withColumn("chunk", F.spark_partition_id())
+def _chunked(df: DataFrame, ts: str, chunk: str | Column) -> DataFrame:
+    """The day or hour of each attempt, or a given expression that never falls as time rises.
+
+    These are contiguous stretches of a feed's log, the same on every run.
+    """
+    if isinstance(chunk, Column):
+        return df.withColumn("chunk", chunk)
+    if chunk not in ("day", "hour"):
+        raise ValueError(f"unknown chunk {chunk!r}")
+    day = F.to_date(ts)
+    return df.withColumn("chunk", day if chunk == "day" else F.struct(day.alias("day"), F.hour(ts).alias("hour")))
 
 
 def _runs(df: DataFrame, feed: str, order: list[str], counts: Column, resets: Column) -> DataFrame:
@@ -55,7 +61,7 @@ def _carried(chunks: DataFrame, feed: str, before_log: DataFrame | None, count:
 
 def error_runs(
     attempts: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id",
-    mute_after: int = V.MUTE_AFTER_ERRORS, before: DataFrame | None = None, chunks: int | None = None,
+    mute_after: int = V.MUTE_AFTER_ERRORS, before: DataFrame | None = None, chunk: str | Column = "day",
 ) -> DataFrame:
     """Per feed: consecutive errors at the end, and where the run reached the mute limit.
 
@@ -65,7 +71,7 @@ def error_runs(
     error, ok = F.col("outcome") == "error", F.col("outcome") == "ok"
     text = F.col("error") if "error" in attempts.columns else F.lit(None).cast("string")
     log = attempts.select(feed, ts, seq, "outcome", text.alias("error"))
-    rows = _runs(_chunked(log, [feed, ts, seq], chunks), feed, [ts, seq], error, ok)
+    rows = _runs(_chunked(log, ts, chunk), feed, [ts, seq], error, ok)
     place = F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"), F.col("error").alias("error"))
     before_reset = F.col("at_reset").isNull()
     # The first `mute_after` errors before any reset: where the limit falls depends on what is carried in.
@@ -126,7 +132,7 @@ def attempts_made(
 
 def empty_runs(
     attempts: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id",
-    warn_after: int = V.WARN_AFTER_EMPTY, before: DataFrame | None = None, chunks: int | None = None,
+    warn_after: int = V.WARN_AFTER_EMPTY, before: DataFrame | None = None, chunk: str | Column = "day",
 ) -> DataFrame:
     """Per feed: consecutive empty checks at the end, the longest run, and checks over the warning limit.
 
@@ -134,7 +140,7 @@ def empty_runs(
     """
     empty = F.col("outcome") == "empty"
     log = attempts.select(feed, ts, seq, "outcome")
-    rows = _runs(_chunked(log, [feed, ts, seq], chunks), feed, [ts, seq], empty, ~empty)
+    rows = _runs(_chunked(log, ts, chunk), feed, [ts, seq], empty, ~empty)
     before_reset = F.col("at_reset").isNull()
     summaries = rows.groupBy(feed, "chunk").agg(
         F.max("resets").alias("has_reset"),
@@ -182,18 +188,19 @@ def update_counters(feeds: DataFrame, stats: DataFrame, checked: DataFrame, as_o
     ).drop("new_items", "tried")
 
 
-def with_health(feeds: DataFrame, attempts: DataFrame) -> DataFrame:
+def with_health(
+    feeds: DataFrame, attempts: DataFrame, store: Callable[[DataFrame], DataFrame], chunk: str | Column = "day"
+) -> DataFrame:
     """Feeds with error count, empty count and muting after the new attempts.
 
     The counts go on from the stored ones, so a poll only reads its own attempts. Attempts of feeds that
-    are muted already do not happen.
+    are muted already do not happen. `store` keeps the runs, one row per feed, because they are used three times.
     """
     muted = feeds.filter("muted").select(F.col("url").alias("feed"))
     stored = feeds.select(F.col("url").alias("feed"), "error_count", "no_entries_count")
     tried = attempts.join(muted, "feed", "left_anti")
-    # One row per feed, used three times below.
-    runs = checkpointed(error_runs(tried, before=stored))
-    empty = empty_runs(attempts_made(tried, runs), before=stored)
+    runs = store(error_runs(tried, before=stored, chunk=chunk))
+    empty = empty_runs(attempts_made(tried, runs), before=stored, chunk=chunk)
     told = runs.join(empty.select("feed", F.col("no_entries_count").alias("empty_now")), "feed", "left").select(
         F.col("feed").alias("url"), F.col("error_count").alias("errors_now"), F.col("muted").alias("muted_now"),
         F.col("muted_reason").alias("reason_now"), F.col("last_error").alias("error_now"), "empty_now",

@@ -42,7 +42,9 @@ def enrich(entries: DataFrame, external: DataFrame, needed: Column, *, key: str
     key of their own that matches nothing, so they spread over the tasks instead of piling up on NULL.
     """
     length = F.coalesce(F.length("external_text"), F.lit(0))
-    best = external.groupBy("url").agg(F.max(F.struct(length.alias("n"), "external_text")).alias("best"))
+    # Only the pages that some entry needs are compared by length.
+    wanted = entries.filter(needed).select("url").distinct()
+    best = external.join(wanted, "url", "left_semi").groupBy("url").agg(F.max(F.struct(length.alias("n"), "external_text")).alias("best"))
     texts = best.select(F.col("url").alias("lookup_url"), F.col("best.external_text").alias("external_text"))
     lookup = F.when(needed, F.col("url")).otherwise(F.concat(F.lit("\0"), F.col(key)))
     joined = entries.withColumn("lookup_url", lookup).join(texts, "lookup_url", "left")

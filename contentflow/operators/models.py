@@ -88,7 +88,13 @@ def _caller(
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         completer = make_completer()
+        made: set[str] = set()
         for batch in batches:
+            fresh = ~(batch["call_key"].isin(made) | batch["call_key"].duplicated())
+            batch = batch[fresh]
+            made.update(batch["call_key"])
+            if batch.empty:
+                continue
             answers = []
             for messages, model_id, params in zip(batch["messages"], batch["model_id"], batch["params"]):
                 started = time.perf_counter()
@@ -112,22 +118,20 @@ def complete(
     *,
     retries: int = V.MODEL_RETRIES,
     retry_seconds: float = V.MODEL_RETRY_SECONDS,
-    concurrency: int | None = None,
+    concurrency: int = V.MODEL_CONCURRENCY,
     answered: DataFrame | None = None,
 ) -> DataFrame:
     """Call the models for rows with (messages, model_id, params); one row per distinct call.
 
-    Each task makes one client. `concurrency` bounds the calls in flight by the number of tasks. Calls
-    that are already in `answered` are not made again. Write the result before using it twice: whatever
-    is recomputed is called again.
+    Each task makes one client. `concurrency` is the number of tasks, and so of calls in flight: calls wait on the
+    network, so their number says more than the bytes of their prompts. A task has all rows of its calls and
+    makes each once. Calls that are already in `answered` are not made again. Write the result before using it twice:
+    whatever is recomputed is called again.
     """
-    calls = requests.select(
-        call_key().alias("call_key"), "messages", "model_id", "params"
-    ).dropDuplicates(["call_key"])
+    calls = requests.select(call_key().alias("call_key"), "messages", "model_id", "params")
     if answered is not None:
         calls = unseen(calls, answered, "call_key")
-    if concurrency is not None:
-        calls = calls.repartition(concurrency, "call_key")
+    calls = calls.repartition(concurrency, "call_key")
     return calls.mapInPandas(_caller(make_completer, retries, retry_seconds), _ANSWER)
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -59,21 +58,37 @@ def render_notes(items: DataFrame, options: NoteOptions, as_of: datetime | str)
     return rendered.drop("head")
 
 
-def existing_notes(spark: SparkSession, vault: str) -> DataFrame:
-    """(path inside the vault, length in bytes) of the notes that are there; file contents are not read."""
-    try:
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.md")
-            .load(vault)
-        )
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], _EXISTING)
-    inside = F.split_part(F.col("path"), F.lit(f"{urlparse(vault).path.rstrip('/')}/"), F.lit(2))
-    return files.select(inside.alias("path"), F.col("length").alias("base_length"))
+def existing_notes(paths: DataFrame, vault: str) -> DataFrame:
+    """(path, length in bytes) of those of the paths inside the vault that are there.
+
+    Each task asks for its own paths: the vault is never listed, and file contents are not read.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(vault)
+        for batch in batches:
+            found = files.get_file_info([f"{root}/{path}" for path in batch["path"]]) if len(batch) else []
+            lengths = [info.size if info.type == fs.FileType.File else None for info in found]
+            known = batch.assign(base_length=pd.array(lengths, dtype="Int64"))
+            yield known[known["base_length"].notna()][["path", "base_length"]]
+
+    return paths.select("path").distinct().mapInPandas(look, _EXISTING)
+
+
+def _names(path: Column, id_: Column, as_of: datetime | str) -> list[Column]:
+    """The names that a new note may get, in order."""
+    when = stamp(utc(as_of), "yyyyMMddHHmmss")
+    return [path, _with_suffix(path, when), _with_suffix(path, F.concat(when, F.lit("_"), id_))]
+
+
+def wanted_paths(notes: DataFrame, options: NoteOptions, as_of: datetime | str) -> DataFrame:
+    """(path) of every file that the notes may touch."""
+    good = notes.filter(F.col("content").isNotNull())
+    if options.mode != "new":
+        return good.select("path").distinct()
+    return good.select(F.explode(F.array(*_names(F.col("path"), F.col("id"), as_of))).alias("path")).distinct()
 
 
 def _with_suffix(path: Column, suffix: Column) -> Column:
@@ -83,9 +98,11 @@ def _with_suffix(path: Column, suffix: Column) -> Column:
 def resolve_writes(notes: DataFrame, existing: DataFrame, options: NoteOptions, as_of: datetime | str) -> DataFrame:
     """(id, path, action, place, base_length, content): what each note writes where.
 
-    `new` never touches an existing file: a taken name gets the time stamp, and a third note of the same
-    name in one run gets its id too. `overwrite` keeps the last note of a name. `append` and `prepend`
-    give one row per note, to be joined in the order of `place`.
+    `existing` (path, base_length) has those of `wanted_paths` that are there. `new` never touches an existing file, nor
+    one of another note of the run: a taken name gets the time stamp, and if that name is taken too, or it is the third
+    note of a name in one run, its id as well. A note whose names are all taken has a NULL path and is not written.
+    `overwrite` keeps the last note of a name. `append` and `prepend` give one row per note, to be joined in the order of
+    `place`.
     """
     if options.mode not in MODES:
         raise ValueError(f"unknown note mode {options.mode!r}")
@@ -97,13 +114,23 @@ def resolve_writes(notes: DataFrame, existing: DataFrame, options: NoteOptions,
         taken = F.col("base_length").isNotNull().cast("int")
         numbered = first_two.join(known, "path", "left").select("id", (F.col("nth") + taken).alias("nth"))
         placed = good.join(numbered, "id", "left").withColumn("nth", F.coalesce("nth", F.lit(3)))
-        when = stamp(utc(as_of), "yyyyMMddHHmmss")
+        plain, stamped, with_id = _names(F.col("path"), F.col("id"), as_of)
+        named = placed.withColumns({"stamped": stamped, "with_id": with_id})
+        # The time-stamped name may be a file, or the plain name of another note of this run.
+        claimed = named.filter("nth = 1").select(F.col("path").alias("stamped"))
+        second = named.filter("nth = 2").select("stamped")
+        taken_names = second.join(known.select(F.col("path").alias("stamped")), "stamped", "left_semi").union(
+            second.join(claimed, "stamped", "left_semi")
+        )
+        taken_names = taken_names.distinct().withColumn("stamp_taken", F.lit(True))
+        files = known.select(F.col("path").alias("with_id")).withColumn("id_taken", F.lit(True))
+        named = named.join(taken_names, "stamped", "left").join(files, "with_id", "left")
         path = (
-            F.when(F.col("nth") == 1, F.col("path"))
-            .when(F.col("nth") == 2, _with_suffix(F.col("path"), when))
-            .otherwise(_with_suffix(F.col("path"), F.concat(when, F.lit("_"), F.col("id"))))
+            F.when(F.col("nth") == 1, plain)
+            .when((F.col("nth") == 2) & F.col("stamp_taken").isNull(), F.col("stamped"))
+            .when(F.col("id_taken").isNull(), F.col("with_id"))
         )
-        writes = placed.withColumns({"path": path, "base_length": F.lit(None).cast("bigint")})
+        writes = named.withColumns({"path": path, "base_length": F.lit(None).cast("bigint")})
     elif options.mode == "overwrite":
         last = first_per_key(good, ["path"], [F.col("place").desc()])
         writes = last.withColumn("base_length", F.lit(None).cast("bigint"))
@@ -237,35 +264,45 @@ def _files_to_write(
     return joined.select("path", "action", "base_length", F.lit(None).cast("string").alias("content"), "segments")
 
 
+def _is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a one-row table was stored."""
+    try:
+        return not spark.read.schema("id bigint").parquet(path).isEmpty()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def write_notes(
     spark: SparkSession, notes: DataFrame, vault: str, options: NoteOptions, *, run_id: str, as_of: datetime | str
 ) -> DataFrame:
     """Write rendered notes into a vault folder that all executors share; (id, ok, error) per note.
 
     The plan of a run is stored first. Running the same run again follows the stored plan, with the
-    lengths the files had before it, so nothing is appended twice.
+    lengths the files had before it, so nothing is appended twice. A plan counts once the row that follows it is
+    stored; without that row no file was touched yet, and the plan is made anew.
     """
     home = f"{vault.rstrip('/')}/.runs/{run_id}"
-    try:
-        plan = spark.read.parquet(f"{home}/plan")
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        writes = resolve_writes(notes, existing_notes(spark, vault), options, as_of)
-        skipped = notes.filter(F.col("content").isNull()).select("id")
-        both = writes.unionByName(skipped, allowMissingColumns=True)
+    skipped = notes.filter(F.col("content").isNull()).select("id", F.lit("template names an unknown field").alias("reason"))
+    found = existing_notes(wanted_paths(notes, options, as_of), vault)
+    writes = resolve_writes(notes, found, options, as_of).withColumn(
+        "reason", F.when(F.col("path").isNull(), F.lit("every name of the note is taken"))
+    )
+    both = writes.unionByName(skipped, allowMissingColumns=True)
+    if not _is_whole(spark, f"{home}/plan-done"):
         both.write.mode("overwrite").parquet(f"{home}/plan")
-        plan = spark.read.parquet(f"{home}/plan")
+        spark.range(1).write.mode("overwrite").parquet(f"{home}/plan-done")
+    plan = spark.read.schema(both.schema).parquet(f"{home}/plan")
 
-    pieces = plan.filter(F.col("content").isNotNull())
+    pieces = plan.filter(F.col("path").isNotNull())
     written = _files_to_write(spark, pieces, vault, options, run_id).mapInPandas(
         _file_writer(vault, options.create_folders), "path string, ok boolean, error string"
     )
     written.write.mode("overwrite").parquet(f"{home}/files")
     files = spark.read.parquet(f"{home}/files")
-    outcome = plan.select("id", "path").join(files, "path", "left")
-    template = F.when(F.col("path").isNull(), F.lit("template names an unknown field")).otherwise(F.col("error"))
-    planned = outcome.select("id", F.coalesce("ok", F.lit(False)).alias("ok"), template.alias("error"))
+    outcome = plan.select("id", "path", "reason").join(files, "path", "left")
+    planned = outcome.select("id", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("reason", "error").alias("error"))
     if options.mode != "overwrite":
         return planned
     # Notes that a later one of the same name replaced were written and overwritten.

@@ -1,7 +1,8 @@
 """State tables in plain Parquet: children are appended per run, parents are rewritten as snapshots.
 
 Writing a run twice replaces what it wrote before. Parquet has no MERGE, so a parent table is a chain
-of whole snapshots, and an append-only log names the current one; readers never see a half-written one.
+of whole snapshots, and an append-only log names the current one; readers never see a half-written one. A root
+has one writer at a time: reading the newest version and appending the next is not one step.
 Children are only ever added, and what changes about them (being processed) is a log of keys.
 """
 
@@ -39,6 +40,12 @@ class State:
         conform(rows, self._ddl(table, ddl)).write.mode("overwrite").parquet(path)
         return self._read(path, self._ddl(table, ddl))
 
+    def keep(self, table: str, rows: DataFrame) -> DataFrame:
+        """The rows as a table of this run with the columns they have, to be read several times in it."""
+        path = f"{self.root}/_runs/{table}/run_id={self.run_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def earlier(self, table: str, ddl: str | None = None) -> DataFrame:
         """The rows of all other runs: what was stored before this run."""
         whole = self._read(f"{self.root}/{table}", f"{self._ddl(table, ddl)}, run_id string")

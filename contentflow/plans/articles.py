@@ -30,11 +30,14 @@ def select_entries(
     cut (None) the copies of a guid are ordered by date and place in the feed, as the ranks would be.
     """
     parents = active(feeds).select("feed", *[c for c in ("peer_through",) if c in feeds.columns])
-    recent = within_lookback(entries, "published_at", as_of, lookback_days).join(parents, "feed")
-    order = [F.col("feed"), F.col("published_at").desc_nulls_last(), F.col("pos")]
+    # All choices are made on places, dates and guids; texts are fetched for what is left.
+    narrow = entries.select("feed", "pos", "guid", "published_at")
+    recent = within_lookback(narrow, "published_at", as_of, lookback_days)
     newest = recent if max_articles is None else newest_per_feed(recent, max_articles)
-    first = first_per_key(with_required(newest, "guid"), ["guid"], order)
-    return unseen(first, seen, "guid")
+    order = [F.col("feed"), F.col("published_at").desc_nulls_last(), F.col("pos")]
+    first = first_per_key(with_required(newest.join(parents, "feed"), "guid"), ["guid"], order)
+    chosen = unseen(first, seen, "guid").drop("guid", "published_at")
+    return entries.join(chosen, ["feed", "pos"])
 
 
 def to_articles(

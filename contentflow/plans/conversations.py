@@ -34,7 +34,7 @@ def check_messages(
     scanned = scan_messages(
         landed["message"], landed["handle"], landed["chat_message_join"], landed["chat"], as_of=as_of, **options
     )
-    contacts = contact_names(landed["person"], landed["person_handle"])
+    contacts = contact_names(landed["person"], landed["person_handle"], scanned)
     fresh = new_messages(message_records(scanned, contacts), state.earlier("messages"))
     stored = state.append(
         "messages_found", fresh,

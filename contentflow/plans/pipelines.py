@@ -90,7 +90,7 @@ def text_to_notes(
 ) -> DataFrame:
     """Texts through one model into notes."""
     results = one_model(state, model or catalogue("gpt4o")[0], make_completer, **calls)(items)
-    return to_notes(state, results, vault, replace(notes, key_order=notes.key_order or V.TEXT_KEYS), as_of)
+    return to_notes(state, state.append("results", results, schema.RESULT), vault, replace(notes, key_order=notes.key_order or V.TEXT_KEYS), as_of)
 
 
 def poll_feeds(
@@ -100,9 +100,10 @@ def poll_feeds(
     """One poll of the feeds: stores new articles and feed health, returns the items to work on.
 
     `heads` lists the configured feeds that were landed; `problems` (feed, error) those whose processing
-    failed. `emit` is `backlog` (all unprocessed articles of feeds with news) or `new`. The entries are read
-    twice, the second time only their feed and date: pass stored ones when they are costly to make.
+    failed. `emit` is `backlog` (all unprocessed articles of feeds with news) or `new`. Entries and heads are stored
+    first, so that their XML is parsed once.
     """
+    entries, heads = state.keep("entries", entries), state.keep("heads", heads)
     known = state.snapshot("feeds")
     candidates = heads.select(F.col("feed").alias("url"), "title", "description", "website_url")
     found = new_parents(candidates, known, "url", [F.col("title")])
@@ -140,7 +141,7 @@ def poll_feeds(
     attempts = state.append("attempts", log, _ATTEMPTS)
     stats = ingest_stats(articles, "enriched")
     counted = update_counters(feeds, stats, checked, as_of)
-    state.write_snapshot("feeds", with_health(counted, attempts))
+    state.write_snapshot("feeds", with_health(counted, attempts, lambda runs: state.keep("health_runs", runs)))
 
     if emit == "new":
         emitted = articles
@@ -166,6 +167,8 @@ def feeds_to_notes(
     kept = state.append("items", items, f"{schema.ITEM}, guid string")
     compared = models or catalogue("gpt4o", "claude", "o3mini")
     results = compare_models(state, kept.drop("guid"), compared, make_completer, **calls)
+    # Stored, because the note plan and the backlog read them several times.
+    results = state.append("results", results, schema.RESULT)
     done = to_notes(state, results, vault, replace(notes, key_order=notes.key_order or V.ARTICLE_KEYS), as_of)
     finished = done.filter("ok").join(results.filter("success").select("id"), "id", "left_semi")
     state.mark_processed("articles", finished.join(kept.select("id", "guid"), "id"), "guid")
@@ -177,6 +180,7 @@ def poll_podcasts(
     speech: DataFrame | None = None, transcript_required: bool = False, lookback_days: float = V.LOOKBACK_DAYS,
 ) -> DataFrame:
     """One poll of the podcasts: stores new episodes, returns the items to work on."""
+    entries, heads = state.keep("podcast_entries", entries), state.keep("podcast_heads", heads)
     known = state.snapshot("podcasts")
     candidates = heads.select(F.col("feed").alias("feed_url"), "title", "author")
     fresh = new_parents(candidates, known, "feed_url", [F.col("title")]).withColumns(
@@ -208,7 +212,7 @@ def podcasts_to_notes(
     # Stored, because the good and the failed half are both read from it.
     transcribed = state.append("transcripts", conform(spoken, schema.RESULT).unionByName(ready), schema.RESULT)
     summary = one_model(state, model or catalogue("claude")[0], make_completer, "summaries", **calls)
-    results = pass_failed(transcribed, summary)
+    results = state.append("results", pass_failed(transcribed, summary), schema.RESULT)
     options_ = replace(notes, key_order=notes.key_order or V.EPISODE_KEYS)
     done = to_notes(state, results, vault, options_, as_of, failed="skip")
     state.mark_processed("episodes", done.filter("ok").join(kept.select("id", "guid"), "id"), "guid")

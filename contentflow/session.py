@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings that hold at any size. Shuffle partitions are only the starting point: adaptive execution
 # merges small ones and splits skewed join partitions.
@@ -31,32 +30,8 @@ def build_session(app: str = "contentflow", master: str | None = None, **setting
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
-
-    Only a local session may fall back to a temporary folder: on a cluster, executors do not share one.
-    """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    """A new folder under the cluster's shared checkpoint folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="contentflow-"))
-        root = context.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/contentflow/{name}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Store an intermediate result in the shared checkpoint folder, so that its uses do not recompute it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(work_folder(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for heavy work per row when the input comes in fewer partitions than there are cores.
-
-    Large inputs have more partitions than that and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

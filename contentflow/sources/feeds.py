@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contentflow import schema
@@ -10,21 +10,33 @@ from contentflow.functions.dates import first_date
 from contentflow.functions.text import entry_guid, entry_url, non_empty, pick_content
 
 _LINK = "array<struct<_VALUE:string,_href:string,_rel:string,_type:string>>"
+# RSS names a person in the element itself, Atom in an element below it.
+_PERSON = "struct<_VALUE:string,name:string>"
 _ENTRY = f"""array<struct<
-    guid:struct<_VALUE:string,_isPermaLink:string>, id:string, title:string, author:string, pubDate:string,
-    published:string, updated:string, created:string, summary:string, description:string,
-    `content:encoded`:string, content:array<struct<_VALUE:string,_type:string>>, value:string, link:{_LINK},
+    guid:struct<_VALUE:string,_isPermaLink:string>, id:string, title:string, author:{_PERSON}, `dc:creator`:string,
+    pubDate:string, published:string, updated:string, created:string, `dc:date`:string, summary:string,
+    description:string, `content:encoded`:string, content:array<struct<_VALUE:string,_type:string,div:string>>,
+    value:string, link:{_LINK},
     enclosure:array<struct<_VALUE:string,_url:string,_type:string>>>>"""
-_HEAD = f"title:string, description:string, subtitle:string, author:string, link:{_LINK}"
+_HEAD = f"title:string, description:string, subtitle:string, author:{_PERSON}, link:{_LINK}"
 # RSS keeps everything under <channel>, RDF the items beside it, Atom under the root.
 _BODY = f"""channel struct<{_HEAD}, item:{_ENTRY}>, item {_ENTRY}, entry {_ENTRY},
-    title string, subtitle string, author string, link {_LINK}"""
+    title string, subtitle string, author {_PERSON}, link {_LINK}"""
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """(feed, page, body) of files landed under `feed=<url>` folders, one fetched body per file."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("feed").cast("string").alias("feed"), F.lit(0).alias("page"), F.col("value").alias("body"))
+    """(feed, page, body) of files landed under `feed=<url>` folders, one fetched body per file.
+
+    `page` numbers a feed's files in the order in which they came, then by path, so that entries of several polls keep
+    different places.
+    """
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("feed").cast("string").alias("feed"), F.col("value").alias("body"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("came"),
+    )
+    order = Window.partitionBy("feed").orderBy("came", "file")
+    pages = files.select("file", (F.row_number().over(order) - 1).alias("page"))
+    return files.join(pages, "file").select("feed", "page", "body")
 
 
 def _parsed(bodies: DataFrame) -> DataFrame:
@@ -39,6 +51,10 @@ def _main_link(links: Column) -> Column:
     return F.coalesce(non_empty(first["_VALUE"]), first["_href"])
 
 
+def _person(author: Column) -> Column:
+    return F.coalesce(non_empty(author["name"]), author["_VALUE"])
+
+
 def _links(entry: Column) -> Column:
     listed = F.transform(
         F.filter(entry["link"], lambda x: x["_href"].isNotNull()),
@@ -65,7 +81,10 @@ def raw_entries(bodies: DataFrame) -> DataFrame:
     e = F.col("entry")
     contents = F.concat(
         F.filter(F.array(e["content:encoded"]), lambda v: v.isNotNull()),
-        F.coalesce(F.transform(e["content"], lambda x: x["_VALUE"]), F.array().cast("array<string>")),
+        # The content of an XHTML element is the markup in its div.
+        F.coalesce(
+            F.transform(e["content"], lambda x: F.coalesce(x["div"], x["_VALUE"])), F.array().cast("array<string>")
+        ),
     )
     enclosures = F.transform(e["enclosure"], lambda x: F.struct(x["_type"].alias("type"), x["_url"].alias("href")))
     return exploded.select(
@@ -75,9 +94,9 @@ def raw_entries(bodies: DataFrame) -> DataFrame:
         F.when(e["guid"].isNotNull(), F.coalesce(e["guid"]["_VALUE"], F.lit(""))).otherwise(e["id"]).alias("entry_id"),
         _main_link(e["link"]).alias("link"),
         e["title"].alias("title"),
-        e["author"].alias("author"),
+        F.coalesce(_person(e["author"]), e["dc:creator"]).alias("author"),
         F.coalesce(e["pubDate"], e["published"]).alias("published"),
-        e["updated"].alias("updated"),
+        F.coalesce(e["updated"], e["dc:date"]).alias("updated"),
         e["created"].alias("created"),
         F.coalesce(e["summary"], e["description"]).alias("summary"),
         F.coalesce(e["description"], e["summary"]).alias("description"),
@@ -126,7 +145,7 @@ def feed_heads(bodies: DataFrame) -> DataFrame:
         "feed",
         F.coalesce(doc["channel"]["title"], doc["title"], F.col("feed")).alias("title"),
         F.coalesce(doc["channel"]["description"], doc["subtitle"], F.lit("")).alias("description"),
-        F.coalesce(doc["channel"]["author"], doc["author"], F.lit("")).alias("author"),
+        F.coalesce(_person(doc["channel"]["author"]), _person(doc["author"]), F.lit("")).alias("author"),
         F.coalesce(_main_link(doc["channel"]["link"]), _main_link(doc["link"]), F.lit("")).alias("website_url"),
     )
     # Several bodies of one feed carry the same head: keep one of them, always the same.

@@ -57,19 +57,18 @@ def chat_filter(
 
 def with_chats(messages: DataFrame, handles: DataFrame, chat_links: DataFrame, chats: DataFrame) -> DataFrame:
     """Each message with its sender and chats: a message of several chats gives several rows."""
-    handles = handles.select(F.col("rowid").alias("handle_id"), F.col("id").alias("handle"))
+    handles = handles.select(F.col("rowid").cast("string").alias("by_handle"), F.col("id").alias("handle"))
     links = chat_links.select("message_id", "chat_id")
-    chats = chats.select(F.col("rowid").alias("chat_id"), F.col("display_name").alias("chat_name"), "style")
-    return (
-        messages.withColumnRenamed("rowid", "message_id")
-        .join(handles, "handle_id", "left")
-        .join(links, "message_id", "left")
-        .join(chats, "chat_id", "left")
-    )
+    chats = chats.select(F.col("rowid").cast("string").alias("by_chat"), F.col("display_name").alias("chat_name"), "style")
+    messages = messages.withColumnRenamed("rowid", "message_id")
+    sent = messages.withColumn("by_handle", _own_key("handle_id", "message_id")).join(handles, "by_handle", "left")
+    linked = sent.join(links, "message_id", "left").withColumn("by_chat", _own_key("chat_id", "message_id"))
+    return linked.join(chats, "by_chat", "left").drop("by_handle", "by_chat")
 
 
-# Ids of this many messages are a few megabytes at most.
-_SMALL_LIMIT = 100_000
+def _own_key(key: str, row: str) -> Column:
+    """The key as text; a row without one gets a key of its own that matches nothing, so such rows spread over the tasks."""
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.col(row).cast("string")))
 
 
 def newest_first() -> list[Column]:
@@ -106,18 +105,22 @@ def scan_messages(
     on_chat = chat_filter(include_group_chats, include_unknown_senders, contacts_to_include, contacts_to_exclude)
     if on_chat is None and max_messages is not None:
         wanted = wanted.orderBy(F.col("date").desc(), F.col("rowid")).limit(max_messages)
-        if max_messages <= _SMALL_LIMIT:
-            # At most that many ids: the whole link history is filtered by them where it is read.
-            ids = wanted.select(F.col("rowid").alias("message_id"))
-            chat_links = chat_links.join(F.broadcast(ids), "message_id", "left_semi")
+        ids = wanted.select(F.col("rowid").alias("message_id"))
+        chat_links = chat_links.join(ids, "message_id", "left_semi")
     joined = with_chats(wanted, handles, chat_links, chats)
     if on_chat is not None:
         joined = joined.filter(on_chat)
     return joined if max_messages is None else newest(joined, max_messages)
 
 
-def contact_names(people: DataFrame, person_handles: DataFrame) -> DataFrame:
-    """(handle, contact_name) of the first person of each handle; handles without a name are left out."""
+def contact_names(people: DataFrame, person_handles: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(handle, contact_name) of the first person of each handle; handles without a name are left out.
+
+    `wanted` (handle) limits the address book before it is joined and aggregated.
+    """
+    if wanted is not None:
+        handles = wanted.select("handle").filter(F.col("handle").isNotNull()).distinct()
+        person_handles = person_handles.join(handles, "handle", "left_semi")
     named = person_handles.select("person_id", "handle").join(
         people.select(F.col("rowid").alias("person_id"), "first", "last"), "person_id"
     )
@@ -129,7 +132,8 @@ def contact_names(people: DataFrame, person_handles: DataFrame) -> DataFrame:
 
 def message_records(scanned: DataFrame, contacts: DataFrame) -> DataFrame:
     """Scanned rows as message records with thread and sender."""
-    joined = scanned.join(contacts, "handle", "left")
+    named = contacts.withColumnRenamed("handle", "by_handle")
+    joined = scanned.withColumn("by_handle", _own_key("handle", "message_id")).join(named, "by_handle", "left")
     handle = F.col("handle")
     return joined.select(
         F.col("message_id").cast("string").alias("message_id"),

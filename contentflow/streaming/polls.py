@@ -80,7 +80,7 @@ def health_stream(stream: DataFrame, root: str) -> None:
             {"muted": F.lit(False), "error_count": F.lit(0), "no_entries_count": F.lit(0)}
         )
         feeds = known.unionByName(fresh, allowMissingColumns=True)
-        state.write_snapshot("feeds", with_health(feeds, tried))
+        state.write_snapshot("feeds", with_health(feeds, tried, lambda runs: state.keep("health_runs", runs)))
         tried.unpersist()
 
     poll(stream, f"{root}/_checkpoints/feeds", each)

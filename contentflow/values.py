@@ -136,6 +136,7 @@ MODEL_CATALOGUE = (
     ("deepseek", "deepseek-r1:32b", "format_markdown", {"max_tokens": 2000}),
 )
 CORRECTION_MODEL = "anthropic/claude-3-5-sonnet"
+MODEL_CONCURRENCY = 32
 MODEL_RETRIES = 3
 MODEL_RETRY_SECONDS = 5.0
 BAD_RESPONSE = "Unexpected API response format"
@@ -155,3 +156,6 @@ MESSAGE_KEYS = (
 )
 PAGE_KEYS = ("url", "title", "status_code")
 TEXT_KEYS = ("size", "source")
+
+# The thread of messages that have neither chat nor sender.
+NO_THREAD = "None"

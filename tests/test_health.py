@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from contentflow.operators import health
 
 
@@ -37,6 +39,10 @@ def make_log(seed, feeds=6, count=3000):
     return log
 
 
+def by_hundred():
+    return F.floor(F.col("ts") / 100)
+
+
 DDL = "feed string, ts long, attempt_id long, outcome string, error string"
 
 
@@ -44,10 +50,10 @@ def test_runs_equal_the_loop(spark):
     for seed in (1, 2, 3):
         log = make_log(seed)
         df = spark.createDataFrame(log, DDL).repartition(5)
-        runs = health.error_runs(df)
+        runs = health.error_runs(df, chunk=by_hundred())
         got = {r.feed: r for r in runs.collect()}
         made = {r.feed: r["count"] for r in health.attempts_made(df, runs).groupBy("feed").count().collect()}
-        empty = {r.feed: r for r in health.empty_runs(health.attempts_made(df, runs)).collect()}
+        empty = {r.feed: r for r in health.empty_runs(health.attempts_made(df, runs), chunk=by_hundred()).collect()}
         for feed in {r[0] for r in log}:
             own = sorted((r[1], r[2], r[3], r[4]) for r in log if r[0] == feed)
             errors, muted, last, n, empties, longest, warned = model(own)
@@ -60,27 +66,37 @@ def test_runs_equal_the_loop(spark):
 def test_a_long_run_without_reset_spans_chunks(spark):
     log = [("hot", i, i, "empty", None) for i in range(2000)] + [("hot", 2000 + i, 2000 + i, "error", f"e{i}") for i in range(2000)]
     df = spark.createDataFrame(log, DDL)
-    run = health.error_runs(df, mute_after=1500).first()
+    run = health.error_runs(df, mute_after=1500, chunk=by_hundred()).first()
     assert (run.error_count, run.muted_at, run.last_error) == (1500, 3499, "e1499")
-    empty = health.empty_runs(df.filter("outcome = 'empty'")).first()
+    empty = health.empty_runs(df.filter("outcome = 'empty'"), chunk=by_hundred()).first()
     assert (empty.no_entries_count, empty.longest_empty_run, empty.warnings) == (2000, 2000, 1995)
 
 
 def test_the_hot_feed_is_split(spark):
     df = spark.createDataFrame([("hot", i, i, "ok", None) for i in range(8000)], DDL)
-    sizes = [r["count"] for r in health._chunked(df, ["feed", "ts", "attempt_id"]).groupBy("chunk").count().collect()]
-    assert len(sizes) == 8 and max(sizes) < 3 * 8000 / 8
+    sizes = [r["count"] for r in health._chunked(df, "ts", F.floor(F.col("ts") / 1000)).groupBy("chunk").count().collect()]
+    assert sizes == [1000] * 8
+
+
+def test_the_log_is_shuffled_once(spark):
+    df = spark.createDataFrame([("f", "2024-01-01 00:00:00", i, "ok", None) for i in range(9)], "feed string, ts string, attempt_id long, outcome string, error string")
+    for chunk in ("day", "hour"):
+        runs = health.error_runs(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")), chunk=chunk)
+        plan = runs._jdf.queryExecution().executedPlan().toString()
+        # The log by (feed, chunk), and the chunk summaries by feed.
+        assert plan.count("Exchange hashpartitioning") == 2 and "rangepartitioning" not in plan
+        assert runs.count() == 1
 
 
 def test_counts_go_on_from_stored_ones(spark):
     log = make_log(9)
-    whole = {r.feed: r for r in health.error_runs(spark.createDataFrame(log, DDL)).collect()}
+    whole = {r.feed: r for r in health.error_runs(spark.createDataFrame(log, DDL), chunk=by_hundred()).collect()}
     feeds = spark.createDataFrame(
         [(f, False, 0, 0, None, None) for f in {r[0] for r in log}],
         "url string, muted boolean, error_count long, no_entries_count long, muted_reason string, last_error string",
     )
     for start in range(0, len(log), 700):
-        after = health.with_health(feeds, spark.createDataFrame(log[start : start + 700], DDL))
+        after = health.with_health(feeds, spark.createDataFrame(log[start : start + 700], DDL), lambda runs: runs, by_hundred())
         feeds = spark.createDataFrame(after.select(*feeds.columns).collect(), feeds.schema)
     for r in feeds.collect():
         own = sorted((x[1], x[2], x[3], x[4]) for x in log if x[0] == r.url)
