@@ -82,27 +82,54 @@ class Index:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k most similar examples with a positive cosine, without example `but`.
 
-        Blocks are visited by falling upper bound, the sum of their highest weights; the search ends at the first
-        block whose bound is not above the k-th best cosine, so no other example can be nearer.
+        A block's bound is the sum of its highest weights. The blocks of the highest bounds are scored first; after
+        them, only blocks whose bound is above the k-th best cosine so far, so no other example can be nearer.
         """
         bounds = weight @ self.highest[term]
-        best_id, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            line = best[-1] if len(best) == k else 0.0
-            if bounds[block] <= line + 1e-9:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(term, weight):
-                a, b = self.starts[t, block], self.starts[t, block + 1]
-                if b > a:
-                    sums[self.examples[a:b] - block * BLOCK] += w * self.weights[a:b]
-            if 0 <= but - block * BLOCK < BLOCK:
-                sums[but - block * BLOCK] = 0.0
-            new = np.flatnonzero(sums > line)
-            best_id, best = np.concatenate([best_id, new + block * BLOCK]), np.concatenate([best, sums[new]])
-            order = np.argsort(-best, kind="stable")[:k]
-            best_id, best = best_id[order], best[order]
-        return best_id, best
+        first = np.argsort(-bounds, kind="stable")[:2]
+        near, cosine = self._scored(term, weight, first, but)
+        line = np.partition(cosine, len(cosine) - k)[len(cosine) - k] if len(cosine) >= k else 0.0
+        open_ = bounds > line + 1e-9
+        open_[first] = False
+        more = np.flatnonzero(open_)
+        if len(more):
+            others, cosines = self._scored(term, weight, more, but)
+            better = cosines > line
+            near, cosine = np.concatenate([near, others[better]]), np.concatenate([cosine, cosines[better]])
+        if len(cosine) > k:
+            kept = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k]
+            near, cosine = near[kept], cosine[kept]
+        order = np.lexsort((near, -cosine))[:k]
+        return near[order], cosine[order]
+
+    def _scored(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of some blocks that share a term, and their cosines, from the terms' postings in these blocks."""
+        chosen, parts, weights = None, [], []
+        if len(blocks) > 4:
+            chosen = np.zeros(self.highest.shape[1], dtype=bool)
+            chosen[blocks] = True
+        for t, w in zip(term, weight):
+            if chosen is None:
+                spans = [slice(self.starts[t, b], self.starts[t, b + 1]) for b in blocks]
+            else:
+                spans = [slice(self.starts[t, 0], self.starts[t, -1])]
+            for span in spans:
+                example = self.examples[span]
+                if not len(example):
+                    continue
+                value = w * self.weights[span]
+                if chosen is not None:
+                    inside = chosen[example // BLOCK]
+                    example, value = example[inside], value[inside]
+                parts.append(example)
+                weights.append(value)
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0)
+        sums = np.bincount(np.concatenate(parts), np.concatenate(weights), len(self.keys))
+        if but >= 0:
+            sums[but] = 0.0
+        found = np.flatnonzero(sums)
+        return found, sums[found]
 
     def unit(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         weight = (1.0 + np.log(count)) * self.idf[term]
