@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from contentflow.llm.folders import checkpointed
+from contentflow.llm.folders import stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,8 +14,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the logarithm of the longest way. Equal nodes and repeated edges change nothing; without edges the result is empty.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("near"))
-    both = checkpointed(both.union(edges.select(F.col(b), F.col(a))).distinct())
-    labels = checkpointed(both.groupBy("node").agg(F.min("near").alias("least")).select("node", F.least("node", "least").alias("component")))
+    both = stored(both.union(edges.select(F.col(b), F.col(a))).distinct(), "component-edges")
+    labels = both.groupBy("node").agg(F.min("near").alias("least")).select("node", F.least("node", "least").alias("component"))
+    labels = stored(labels, "component-labels")
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("near"), F.col("component").alias("seen")), "near")
@@ -25,9 +26,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             "node", F.col("component").alias("before"), F.least("component", "seen").alias("component")
         )
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = checkpointed(
-            step.join(jump, "component").select("node", "before", F.least("component", "further").alias("component"))
-        )
+        after = step.join(jump, "component").select("node", "before", F.least("component", "further").alias("component"))
+        after = stored(after, "component-labels")
         labels = after.select("node", "component")
         if after.filter("before <> component").isEmpty():
             return labels

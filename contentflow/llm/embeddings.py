@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contentflow.llm.components import components
-from contentflow.llm.folders import checkpointed, stored, unused
+from contentflow.llm.folders import stored, unused
 
 COSINE = 0.93
 #: Vectors per tile, in expectation; two tiles are what a task holds at once.
@@ -191,7 +191,7 @@ def embedding_links(frame: DataFrame, vector: str = "embedding", label: str = "l
                 yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(root[used]), pa.array(links[used].astype(np.int64))], names=["node", "root", "links"])
 
     met = met.withColumn("same", F.col("tile") == F.col("other")).select("size", "same", *body, *(f"{c}2" for c in body))
-    found = checkpointed(met.mapInArrow(compare, "node long, root long, links long"))
+    found = stored(met.mapInArrow(compare, "node long, root long, links long"), "embedding-links")
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     component = components(found.filter("node <> root"), "node", "root")
 

@@ -22,6 +22,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """The frame as a written table: later uses read it, and its lineage ends there.
 
+    A table also has sizes of its own. A checkpoint keeps the estimate of the plan behind it, and in a loop of joins those
+    estimates multiply without end.
+
     Tables are left in the shared folder, because the frames that read them are lazy; whoever owns the folder
     clears it, as with checkpoints.
     """
@@ -30,14 +33,6 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint; Spark's cleaner removes it if the session asks for that."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(frame.sparkSession, "checkpoints"))
-    return frame.checkpoint()
-
-
 def unused(frame: DataFrame, name: str) -> str:
     """A column name that the frame does not have, so that helper columns never clash with the caller's."""
     taken = {c.lower() for c in frame.columns}

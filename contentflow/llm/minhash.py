@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from contentflow.llm import grams
 from contentflow.llm.components import components
-from contentflow.llm.folders import checkpointed, stored
+from contentflow.llm.folders import stored
 
 #: Bins of the one permutation, and bins per band. Sets of similarity 0.8 share no band once in 200,000 pairs.
 BINS, ROWS = 240, 6
@@ -16,7 +16,7 @@ SHINGLE = 5
 #: In percent; links have at least this similarity.
 SIMILARITY = 80
 #: Rounds of stars around drawn centres before the remaining pairs are taken as they are.
-STARS = 3
+STARS = 1
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -154,8 +154,8 @@ def near_duplicates(frame: DataFrame, text: str = "text", key: str = "doc_id", s
     sets = stored(_sets(frame, wanted, text, key, shingle), "minhash-sets")
 
     tested = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    tested = checkpointed(tested)
-    links = checkpointed(_confirmed(tested, sets, percent))
+    tested = stored(tested, "minhash-pairs")
+    links = stored(_confirmed(tested, sets, percent), "minhash-links")
     found = components(links)
     for turn in range(STARS + 1):
         # Buckets whose nodes are not all in one component.
@@ -164,14 +164,14 @@ def near_duplicates(frame: DataFrame, text: str = "text", key: str = "doc_id", s
         mixed = placed.groupBy("bucket").agg(
             F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.col("node").bitwiseXOR(mask)).alias("drawn"),
         ).filter("least < most").select("bucket", F.col("drawn").bitwiseXOR(mask).alias("centre"))
-        open_ = checkpointed(placed.join(mixed, "bucket"))
+        open_ = stored(placed.join(mixed, "bucket"), "minhash-open")
         centres = open_.filter("node = centre") if turn < STARS else open_
         pairs = open_.join(centres.select("bucket", F.col("node").alias("other"), F.col("component").alias("theirs")), "bucket")
         pairs = pairs.filter("component <> theirs").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
         if pairs.isEmpty() and turn == STARS:
             break
-        more = checkpointed(_confirmed(pairs, sets, percent))
+        more = stored(_confirmed(pairs, sets, percent), "minhash-links")
         tested = tested.union(pairs)
         if not more.isEmpty():
             links = links.union(more)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 
-from contentflow.llm.folders import checkpointed, stored, unused
+from contentflow.llm.folders import stored, unused
 
 #: Rows that one task rounds together. Each such group leaves one undecided row at most for the level above.
 GROUP_ROWS = 500
@@ -146,7 +146,7 @@ def mix(
         ways = F.greatest(F.lit(1), F.ceil(F.col(n_rows) / F.lit(float(group_rows) ** depth))).cast("long")
         dealt = level.withColumn(group, F.pmod(F.xxhash64(F.lit(seed + depth), *identity, luck), ways))
         after = dealt.groupBy(source, group).applyInArrow(rounded, schema)
-        after = stored(after, "mix-level") if depth == 1 else checkpointed(after)
+        after = stored(after, "mix-level")
         whole = (F.col(part) <= 0.0) | (F.col(part) >= 1.0)
         done.append(after.filter(whole).withColumn("copies", F.col("copies") + F.col(part).cast("int")))
         level, largest = after.filter(~whole), groups
