@@ -11,7 +11,8 @@ from checks.registry import query
 from checks.text_queries import TRIM, sql_clean
 from checks.views import AS_OF, LOOKBACK_HOURS, MESSAGES_AS_OF, attempts, feeds, history, seen, table
 from contentflow.operators.models import Model
-from contentflow.operators.note_files import NoteOptions
+from contentflow.operators.note_files import NoteOptions, write_notes
+from contentflow.operators.stages import ingest
 from contentflow.operators.state import State
 from contentflow.plans import articles as article_plan
 from contentflow.plans import episodes as episode_plan
@@ -22,12 +23,42 @@ from contentflow.sources.text_files import text_items
 from contentflow.streaming import polls
 
 
+_PLAIN = NoteOptions(file_template="{id}", add_frontmatter=False, add_timestamp=False)
+
+
 def written_notes(spark, vault):
     """(name, content) of the files in a vault."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(vault, wholetext=True)
     return files.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("value").alias("content"))
 
 
+@query("note_runs", "SELECT text AS content FROM documents")
+def note_runs(spark, sf):
+    """Three runs of notes with the names of their sources, under one clock: no text may be lost."""
+    root = work_folder(spark, "notes")
+    docs = table(spark, sf, "documents")
+    for turn in range(3):
+        rows = docs.filter(F.col("doc_id") % 3 == turn)
+        notes = rows.select(
+            F.col("doc_id").cast("string").alias("id"), F.struct(F.lit(AS_OF).cast("timestamp_ntz").alias("timestamp"), F.col("doc_id").alias("id")).alias("place"),
+            F.concat("source", F.lit(".md")).alias("path"), F.col("text").alias("content"),
+        )
+        write_notes(spark, notes, f"{root}/vault", _PLAIN, run_id=f"run-{turn}", as_of=AS_OF).collect()
+    return written_notes(spark, f"{root}/vault").select("content")
+
+
+@query("ingestor_stage", f"""SELECT sha256('cli' || chr(31) || CAST(doc_id AS VARCHAR)) AS id, trim(text, {TRIM}) AS content, 'text' AS content_type,
+    'cli' AS source, CAST(0 AS BIGINT) AS tags FROM documents WHERE trim(text, {TRIM}) <> ''""")
+def ingestor_stage(spark, sf):
+    """An ingestor as a plain function, run as a stage: whatever it makes comes out as items."""
+
+    def ingestor(spark_, options):
+        return text_items(table(spark_, options["sf"], "documents"), as_of=AS_OF, key="doc_id").drop("tags")
+
+    items = ingest(spark, ingestor, sf=sf)
+    return items.select("id", "content", "content_type", "source", F.coalesce(F.size("tags"), F.lit(0)).cast("bigint").alias("tags"))
+
+
 # --- state -------------------------------------------------------------------------------------
 
 
@@ -125,7 +156,6 @@ def stream_feed_health(spark, sf):
 
 # The stand-in model does not get better by waiting.
 _CALLS_NOW = {"retries": 2, "retry_seconds": 0.0}
-_PLAIN = NoteOptions(file_template="{id}", add_frontmatter=False, add_timestamp=False)
 
 
 @query("text_to_notes", f"""SELECT sha256('cli' || chr(31) || CAST(doc_id AS VARCHAR)) || '.md' AS name,
@@ -192,6 +222,34 @@ def podcast_ingest(spark, sf):
     return chosen.select("guid", "feed", F.shiftright("pos", 32).alias("pos"), "published_at", "audio_url")
 
 
+@query("podcast_stats", """WITH a AS (SELECT e.*, lang FROM entries e JOIN feeds f ON e.feed = f.feed JOIN documents ON pos = doc_id WHERE NOT f.muted
+        AND (published_at IS NULL OR published_at >= TIMESTAMP '2024-01-24 00:00:00') AND guid <> ''),
+    g AS (SELECT *, row_number() OVER (PARTITION BY guid ORDER BY feed, published_at DESC NULLS LAST, pos) AS k FROM a)
+    SELECT feed AS feed_url, CAST(count(*) AS BIGINT) AS new_items, CAST(count(*) FILTER (lang = 'en') AS BIGINT) AS transcribed_items FROM g
+    WHERE k = 1 AND guid NOT IN (SELECT guid FROM seen) GROUP BY feed""")
+def podcast_stats(spark, sf):
+    """New episodes of each podcast, and how many of them came with a transcript."""
+    raw, transcripts = _with_transcript_links(spark, sf)
+    chosen = episode_plan.select_episodes(raw, feeds(spark, sf), seen(spark, sf), as_of=AS_OF)
+    episodes = episode_plan.to_episodes(episode_plan.with_transcripts(chosen, transcripts), as_of=AS_OF)
+    return pipelines.episode_stats(episodes)
+
+
+def _with_transcript_links(spark, sf):
+    """Podcast entries that link a transcript, and the transcripts that were landed: those of English texts."""
+    raw = feed_source.podcast_entries(feed_source.raw_entries(landed_bodies(spark, sf)))
+    transcripts = table(spark, sf, "documents").filter("lang = 'en'").select(
+        F.concat(F.lit("http://media.example/"), F.col("doc_id"), F.lit("/transcript.txt")).alias("url"),
+        F.lit("text/plain").alias("content_type"), F.col("text").alias("body"),
+    )
+    with_link = F.struct(
+        F.lit("text/plain").alias("type"),
+        F.concat(F.lit("http://media.example/"), F.shiftright("pos", 32), F.lit("/transcript.txt")).alias("href"),
+        F.lit("transcript").alias("rel"),
+    )
+    return raw.withColumn("links", F.concat("links", F.array(with_link))), transcripts
+
+
 @query("podcasts_to_notes", f"""WITH a AS (SELECT e.*, lang FROM entries e JOIN documents ON pos = doc_id
         WHERE (published_at IS NULL OR published_at >= TIMESTAMP '2024-01-24 00:00:00') AND guid <> ''),
     g AS (SELECT *, row_number() OVER (PARTITION BY guid ORDER BY feed, published_at DESC NULLS LAST, pos) AS k FROM a),
@@ -204,25 +262,15 @@ def podcast_ingest(spark, sf):
 def podcasts_to_notes(spark, sf):
     """Episodes with landed transcripts skip transcription; the others use landed speech where there is some."""
     root = work_folder(spark, "podcasts")
-    raw = feed_source.podcast_entries(feed_source.raw_entries(landed_bodies(spark, sf)))
     docs = table(spark, sf, "documents")
     guid = F.concat(F.lit("g"), F.col("doc_id").cast("string"))
-    transcripts = docs.select(
-        F.concat(F.lit("http://media.example/"), F.col("doc_id"), F.lit("/transcript.txt")).alias("url"),
-        F.lit("text/plain").alias("content_type"), F.col("text").alias("body"), "lang",
-    ).filter("lang = 'en'")
-    with_link = F.struct(
-        F.lit("text/plain").alias("type"),
-        F.concat(F.lit("http://media.example/"), F.shiftright("pos", 32), F.lit("/transcript.txt")).alias("href"),
-        F.lit("transcript").alias("rel"),
-    )
-    raw = raw.withColumn("links", F.concat("links", F.array(with_link)))
+    raw, transcripts = _with_transcript_links(spark, sf)
     segment = F.struct(F.lit(0.0).alias("start"), F.lit(61.0).alias("end"), F.col("text").alias("text"))
     speech = docs.filter("lang <> 'en'").select(
         guid.alias("guid"), "text", F.array(segment).alias("segments"), F.col("lang").alias("language"), F.lit(61.0).alias("duration")
     )
     done = pipelines.podcasts_to_notes(
-        State(spark, f"{root}/state", "run-1"), raw, _heads(spark, sf), transcripts.drop("lang"), speech, digest_completer,
+        State(spark, f"{root}/state", "run-1"), raw, _heads(spark, sf), transcripts, speech, digest_completer,
         f"{root}/vault", as_of=AS_OF, model=Model("alpha", "vendor_a/alpha-1"), correct=False, calls=_CALLS_NOW,
         notes=_PLAIN,
     )

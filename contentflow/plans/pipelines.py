@@ -175,6 +175,15 @@ def feeds_to_notes(
     return done
 
 
+_EPISODE_STATS = "feed_url string, new_items bigint, transcribed_items bigint"
+
+
+def episode_stats(episodes: DataFrame) -> DataFrame:
+    """Per podcast: new episodes, and how many of them have a transcript."""
+    flagged = episodes.withColumn("transcribed", F.coalesce(F.col("transcript") != "", F.lit(False)))
+    return ingest_stats(flagged, "transcribed", parent="feed_url", flag_as="transcribed_items")
+
+
 def poll_podcasts(
     state: State, entries: DataFrame, heads: DataFrame, transcripts: DataFrame, *, as_of: datetime | str,
     speech: DataFrame | None = None, transcript_required: bool = False, lookback_days: float = V.LOOKBACK_DAYS,
@@ -193,6 +202,7 @@ def poll_podcasts(
     )
     texts = with_transcripts(selected, transcripts, speech, required=transcript_required)
     episodes = state.append("episodes", to_episodes(texts, as_of=as_of))
+    state.append("podcast_stats", episode_stats(episodes), _EPISODE_STATS)
     emitted = backlog(state.rows("episodes"), episodes, "feed_url", processed=state.processed("episodes", "guid"))
     return episode_items(emitted, podcasts)
 
