@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from checks import expected as X
 from checks.folders import work_folder
 from checks.registry import query
 from checks.text_queries import TRIM, sql_text, sql_words
@@ -83,8 +84,8 @@ def prompt_messages(spark, sf):
 
 
 _PRESET_SQL = " UNION ALL ".join(
-    f"SELECT '{name}' AS preset, {sql_text(system)} AS system_message, {sql_text(template.split('{content}')[0])} AS head"
-    for name, (template, system) in V.PROMPT_PRESETS.items()
+    f"SELECT '{name}' AS preset, {sql_text(system)} AS system_message, {sql_text(head)} AS head"
+    for name, head, system in X.PRESETS
 )
 
 
@@ -129,9 +130,9 @@ def approx_tokens(spark, sf):
 
 @query("transcript_prompts", f"""SELECT doc_id, {" || ".join(
         {"{title}": "'Title ' || CAST(doc_id AS VARCHAR)", "{sample}": "substr(text, 1, 4000)"}.get(part, sql_text(part))
-        for part in V.DOMAIN_PROMPT.replace("{title}", "|{title}|").replace("{sample}", "|{sample}|").split("|"))} AS domain_prompt,
+        for part in X.DOMAIN_PROMPT.replace("{title}", "|{title}|").replace("{sample}", "|{sample}|").split("|"))} AS domain_prompt,
     {" || ".join({"{domain}": "lang", "{transcript}": "text"}.get(part, sql_text(part))
-        for part in V.CORRECTION_PROMPT.replace("{domain}", "|{domain}|").replace("{transcript}", "|{transcript}|").split("|"))}
+        for part in X.CORRECTION_PROMPT.replace("{domain}", "|{domain}|").replace("{transcript}", "|{transcript}|").split("|"))}
     AS correction_prompt FROM documents""")
 def transcript_prompts(spark, sf):
     docs = wide(spark, sf, "documents")
@@ -163,8 +164,8 @@ def model_fanout(spark, sf):
 
 @query("model_catalogue", "SELECT doc_id, model_ord, name, model_id, max_tokens, temperature FROM documents CROSS JOIN (VALUES "
     + ", ".join(
-        f"(CAST({i} AS BIGINT), '{name}', '{model}', '{changed.get('max_tokens', 1000)}', '0.7')"
-        for i, (name, model, _, changed) in enumerate(V.MODEL_CATALOGUE, start=1)
+        f"(CAST({i} AS BIGINT), '{name}', '{model}', '{most}', '0.7')"
+        for i, (name, model, most) in enumerate(X.MODELS, start=1)
     ) + ") AS t(model_ord, name, model_id, max_tokens, temperature)")
 def model_catalogue(spark, sf):
     fanned = M.fan_out(table(spark, sf, "documents").select("doc_id"), M.catalogue())
@@ -226,7 +227,7 @@ def answered(spark, sf):
     return M.with_answers(requests, spark.read.parquet(folder))
 
 
-_PROMPT = f"{sql_text(V.DEFAULT_PROMPT.split('{content}')[0])} || text"
+_PROMPT = f"{sql_text(X.DEFAULT_PROMPT_HEAD)} || text"
 _CALLS = f"""SELECT doc_id, CAST(model_ord AS BIGINT) AS model_ord, name, model_id, text, prompt,
     model_ord = 2 AND length(prompt) % 11 = 0 AS busy, model_ord = 3 AND length(prompt) % 13 = 0 AS odd
     FROM (SELECT *, {_PROMPT} AS prompt FROM documents) CROSS JOIN models"""
@@ -286,11 +287,11 @@ def keep_in(spark, name):
 
 _DOMAIN_SQL = " || ".join(
     {"{title}": "'Title ' || CAST(doc_id AS VARCHAR)", "{sample}": "substr(text, 1, 4000)"}.get(part, sql_text(part))
-    for part in V.DOMAIN_PROMPT.replace("{title}", "|{title}|").replace("{sample}", "|{sample}|").split("|")
+    for part in X.DOMAIN_PROMPT.replace("{title}", "|{title}|").replace("{sample}", "|{sample}|").split("|")
 )
 _FIX_SQL = " || ".join(
     {"{domain}": "domain", "{transcript}": "text"}.get(part, sql_text(part))
-    for part in V.CORRECTION_PROMPT.replace("{domain}", "|{domain}|").replace("{transcript}", "|{transcript}|").split("|")
+    for part in X.CORRECTION_PROMPT.replace("{domain}", "|{domain}|").replace("{transcript}", "|{transcript}|").split("|")
 )
 
 

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks import expected as X
 from checks.registry import query
 from checks.views import AS_OF, entries, history, wide
-from contentflow import values as V
 from contentflow.functions import dates as D
 from contentflow.functions import text as T
 from contentflow.functions import transcripts as TR
 from contentflow.sources import pages as page_source
 
 # White space for RE2: the same characters, listed.
-WS = f"[{V.WHITESPACE}]"
-TRIM = f"'{V.WHITESPACE}'"
+WS = f"[{X.WHITESPACE}]"
+TRIM = f"'{X.WHITESPACE}'"
 
 
 def sql_text(text: str) -> str:
@@ -47,7 +47,7 @@ def _clean_markdown(c: str) -> str:
 def _clean_html(c: str) -> str:
     for pattern in ("<script[^>]*>.*?</script>", "<style[^>]*>.*?</style>", "<!--.*?-->"):
         c = f"regexp_replace({c}, '{pattern}', '', 'gs')"
-    for entity, char in V.FEED_ENTITIES:
+    for entity, char in X.FEED_ENTITIES:
         c = f"replace({c}, '{entity}', {sql_text(char)})"
     c = f"regexp_replace({c}, '<[^>]+>', ' ', 'g')"
     return f"trim(regexp_replace({c}, '{WS}+', ' ', 'g'), {TRIM})"
@@ -110,7 +110,7 @@ _DESCRIPTION = """CASE WHEN page_id % 4 = 0 THEN 'see <a class="x" href="' || ur
 @query("origin_url", f"""SELECT page_id, coalesce(
     nullif(regexp_extract(d, '(?i)<a{WS}+(?:[^>]*?{WS}+)?href=("(https?://[^"''>]+)"|''(https?://[^"''>]+)'')', 2), ''),
     nullif(regexp_extract(d, '(?i)<a{WS}+(?:[^>]*?{WS}+)?href=("(https?://[^"''>]+)"|''(https?://[^"''>]+)'')', 3), ''),
-    nullif(regexp_extract(d, '(?i)https?://[^{V.WHITESPACE}<>"'')]+'), '')) AS origin
+    nullif(regexp_extract(d, '(?i)https?://[^{X.WHITESPACE}<>"'')]+'), '')) AS origin
     FROM (SELECT page_id, {_DESCRIPTION} AS d FROM pages)""")
 def origin_url(spark, sf):
     described = wide(spark, sf, "pages").selectExpr("page_id", f"{_DESCRIPTION} AS d")
