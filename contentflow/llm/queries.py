@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from contentflow.llm import decontamination, embeddings, langid, language_model, minhash, mixing, pii, quality, sharding, toxicity
+from contentflow.llm import (
+    decontamination, embeddings, langid, language_model, minhash, mixing, oracles, pii, quality, sharding, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,7 +104,7 @@ def listed(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(chosen, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-@query("op2_personal_spans")
+@query("op2_personal_spans", oracles.PERSONAL_SPANS)
 def personal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_personal_data(documents, keep=["doc_id"])
@@ -115,13 +117,13 @@ def personal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_near_duplicates")
+@query("op3_near_duplicates", oracles.NEAR_DUPLICATES)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(documents, shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-@query("op4_benchmark_windows")
+@query("op4_benchmark_windows", oracles.BENCHMARK_WINDOWS)
 def benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontamination.decontaminate(documents.select("doc_id", "text"), benchmark, keep=["doc_id"])
@@ -131,7 +133,7 @@ def benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_embedding_links")
+@query("op8_embedding_links", oracles.EMBEDDING_LINKS)
 def embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return embeddings.embedding_links(vectors).select("vec_id", "n_links", "component_id", "kept")
