@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from contentflow.functions import messages as M
 from contentflow.operators import outbox as O
+from contentflow.operators.state import State
+from contentflow.plans.conversations import check_messages
 from contentflow.sources import messages as S
+from tests_support import message_tables
 
 
 def model_split(text, limit):
@@ -111,3 +114,18 @@ def test_contact_is_the_first_person(spark):
     people = spark.createDataFrame([(2, "Bo", None), (1, "", " "), (3, "Cy", "Li")], "rowid long, first string, last string")
     handles = spark.createDataFrame([(2, "h"), (3, "h"), (1, "g")], "person_id long, handle string")
     assert [tuple(r) for r in S.contact_names(people, handles).collect()] == [("h", "Bo")]
+
+
+def test_messages_without_chat_and_sender_are_emitted(spark, tmp_path):
+    tables = message_tables(spark)
+    tables["chat_message_join"] = tables["chat_message_join"].filter("message_id = 1")
+    tables["message"] = spark.createDataFrame(
+        [(1, "hi", 10**18, False, 1), (2, "ho", 10**18, True, None), (3, "he", 10**18, True, None)],
+        "rowid long, text string, date long, is_from_me boolean, handle_id long",
+    )
+    for run in ("a", "b"):
+        items = check_messages(State(spark, str(tmp_path), run), tables, as_of="2024-01-01 00:00:00")
+        got = {r.message_id: r.source for r in items.collect()}
+        assert got == ({"1": "imessage:Ann", "2": "imessage:None", "3": "imessage:None"} if run == "a" else {})
+    threads = State(spark, str(tmp_path), "c").snapshot("threads")
+    assert sorted(r.thread_id for r in threads.collect()) == ["7", "None"]

@@ -87,6 +87,33 @@ def test_new_notes_never_touch_existing_files(spark, tmp_path):
     assert done["1"] == (True, None) and done["5"] == (False, "template names an unknown field")
 
 
+def test_runs_under_one_clock_lose_no_note(spark, tmp_path):
+    for run in range(4):
+        done = write(spark, tmp_path, [(f"{run}", "x.md", f"text {run}")], run=f"run-{run}")
+        assert done == {f"{run}": (True, None)}
+    assert sorted(files(tmp_path).values()) == [f"text {run}" for run in range(4)]
+    # The same id again, when all its names are taken, is reported and nothing is overwritten.
+    again = write(spark, tmp_path, [("3", "x.md", "other")], run="run-9")
+    assert again == {"3": (False, "every name of the note is taken")}
+    assert sorted(files(tmp_path).values()) == [f"text {run}" for run in range(4)]
+
+
+def test_a_title_like_a_stamped_name_is_a_name_of_its_own(spark, tmp_path):
+    rows = [("1", "a.md", "one"), ("2", "a.md", "two"), ("3", "a_20240131101112.md", "three")]
+    write(spark, tmp_path, rows)
+    assert files(tmp_path) == {"a.md": "one", "a_20240131101112_2.md": "two", "a_20240131101112.md": "three"}
+
+
+def test_a_run_that_died_before_its_plan_was_whole_can_be_repeated(spark, tmp_path):
+    (tmp_path / ".runs/run-1/plan").mkdir(parents=True)
+    assert write(spark, tmp_path, [("1", "a.md", "one")]) == {"1": (True, None)}
+    assert files(tmp_path) == {"a.md": "one"}
+    # A plan without its done row is made anew, whatever it holds.
+    notes(spark, ("7", "z.md", "stale")).write.parquet(str(tmp_path / ".runs/run-2/plan"))
+    assert write(spark, tmp_path, [("2", "b.md", "two")], run="run-2") == {"2": (True, None)}
+    assert files(tmp_path) == {"a.md": "one", "b.md": "two"}
+
+
 def test_overwrite_keeps_the_last(spark, tmp_path):
     (tmp_path / "a.md").write_text("old")
     done = write(spark, tmp_path, [("1", "a.md", "one"), ("2", "a.md", "two")], mode="overwrite")

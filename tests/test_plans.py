@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from checks import ingest_queries, model_queries, text_queries  # noqa: F401
 from checks.registry import QUERIES
-from contentflow.operators import filters, known
+from contentflow import values as V
+from contentflow.operators import filters, known, models
+from contentflow.plans import articles
 from contentflow.session import work_folder
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +53,36 @@ def test_stored_keys_are_reduced_before_their_shuffle(spark):
 
 def test_work_folder_is_below_the_named_one(spark):
     assert work_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_calls_run_in_the_tasks_asked_for(spark):
+    rows = spark.range(2000).select(
+        F.array(F.struct(F.lit("user").alias("role"), F.col("id").cast("string").alias("content"))).alias("messages"),
+        F.lit("m").alias("model_id"), F.lit("{}").alias("params"),
+    )
+    calls = models.complete(rows.union(rows), lambda: lambda messages, params: {}, concurrency=20, retries=1)
+    found = calls.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(found) == 20 and sum(r["count"] for r in found) == 2000
+    text = plan(models.complete(rows, lambda: None))
+    assert "Sort" not in text and "hashpartitioning(call_key" in text and f", {V.MODEL_CONCURRENCY})" in text
+
+
+def test_articles_are_chosen_without_their_texts(spark):
+    rows = spark.createDataFrame([], "feed string, pos long, guid string, published_at timestamp_ntz, content string, title string")
+    parents = spark.createDataFrame([], "feed string, muted boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(articles.select_entries(rows, parents, rows.select("guid"), as_of="2024-01-31 00:00:00"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    windows = [line for line in text.splitlines() if "WindowGroupLimit" in line or "Window [" in line]
+    assert windows and not any("content" in line for line in windows)
+
+
+def test_pages_are_limited_to_those_needed_before_they_are_compared(spark):
+    entries = spark.createDataFrame([("g", "http://a", "x")], "guid string, url string, content string")
+    pages = spark.createDataFrame([("http://a", "long text"), ("http://b", "no")], "url string, external_text string")
+    made = known.enrich(entries, pages, F.lit(True))
+    text = plan(made)
+    assert text.index("SortAggregate" if "SortAggregate" in text else "HashAggregate") < text.index("LeftSemi")
+    assert made.first().content == "long text"

@@ -268,3 +268,31 @@ def test_counters(spark):
 
 def test_note_options_default():
     assert NoteOptions().mode == "new"
+
+
+def test_landed_files_keep_their_order(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "feed=f"
+    folder.mkdir()
+    item = "<rss><channel><title>t</title><item><guid>{0}</guid><title>{0}</title></item><item><guid>{0}2</guid></item></channel></rss>"
+    for name, when in (("z.xml", 1000), ("a.xml", 2000), ("b.xml", 2000)):
+        (folder / name).write_text(item.format(name[0]))
+        os.utime(folder / name, (when, when))
+    raw = S.raw_entries(S.read_bodies(spark, str(tmp_path)))
+    assert [r.entry_id for r in raw.orderBy("pos").collect()] == ["z", "z2", "a", "a2", "b", "b2"]
+    assert raw.select("pos").distinct().count() == 6
+
+
+def test_persons_dates_and_markup_of_common_feeds(spark):
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom"><title>T</title><author><name>Ann</name><email>a@b.x</email></author>
+        <entry><id>1</id><author><name>Bob</name><email>b@b.x</email></author>
+        <content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml"><p>Hi <b>there</b></p></div></content></entry></feed>"""
+    rss = """<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>R</title>
+        <item><guid>2</guid><dc:creator>Cy</dc:creator><dc:date>2024-01-30T10:00:00Z</dc:date></item>
+        <item><guid>3</guid><author>Di</author></item></channel></rss>"""
+    landed = spark.createDataFrame([("a", 0, atom), ("r", 0, rss)], "feed string, page int, body string")
+    got = {r.guid: r for r in S.feed_entries(S.raw_entries(landed)).collect()}
+    assert {g: r.author for g, r in got.items()} == {"1": "Bob", "2": "Cy", "3": "Di"}
+    assert "<b>there</b>" in got["1"].content and str(got["2"].published_at) == "2024-01-30 10:00:00"
+    assert {r.feed: r.author for r in S.feed_heads(landed).collect()} == {"a": "Ann", "r": ""}
