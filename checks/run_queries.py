@@ -100,6 +100,34 @@ def stream_ingest(spark, sf):
     return State(spark, f"{root}/state", "reader").rows("articles").select("guid")
 
 
+@query("stream_messages", """SELECT message_id, thread_id, text FROM (SELECT *, row_number() OVER (PARTITION BY message_id
+    ORDER BY chat_id NULLS LAST) AS k FROM records) WHERE k = 1""")
+def stream_messages(spark, sf):
+    """The messages land in two parts, one poll after each."""
+    root = work_folder(spark, "stream")
+    landed = history(spark, sf)
+    for late in (False, True):
+        ddl = _land(spark, landed["message"].filter((F.col("rowid") % 2 == 1) == F.lit(late)), f"{root}/landing")
+        polls.message_stream(
+            polls.landed(spark, f"{root}/landing", ddl), landed, f"{root}/state", as_of=MESSAGES_AS_OF,
+            lookback_hours=LOOKBACK_HOURS, max_messages=None,
+        )
+    return State(spark, f"{root}/state", "reader").rows("messages").select("message_id", "thread_id", "text")
+
+
+@query("stream_podcasts", """WITH a AS (SELECT e.*, lang FROM entries e JOIN documents ON pos = doc_id
+        WHERE (published_at IS NULL OR published_at >= TIMESTAMP '2024-01-24 00:00:00') AND guid <> '')
+    SELECT DISTINCT guid FROM a""")
+def stream_podcasts(spark, sf):
+    """The entries of podcasts land by the parity of their place; copies of a guid come in both polls."""
+    root = work_folder(spark, "stream")
+    raw, transcripts = _with_transcript_links(spark, sf)
+    for late in (False, True):
+        ddl = _land(spark, raw.filter((F.shiftright("pos", 32) % 2 == 1) == F.lit(late)), f"{root}/landing")
+        polls.podcast_stream(polls.landed(spark, f"{root}/landing", ddl), _heads(spark, sf), transcripts, f"{root}/state", as_of=AS_OF)
+    return State(spark, f"{root}/state", "reader").rows("episodes").select("guid")
+
+
 @query("stream_dedupe", "SELECT DISTINCT guid FROM entries")
 def stream_dedupe(spark, sf):
     root = work_folder(spark, "stream")

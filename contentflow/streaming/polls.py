@@ -18,6 +18,8 @@ from contentflow.operators.known import unseen
 from contentflow.operators.ranking import first_per_key
 from contentflow.operators.state import State
 from contentflow.plans.articles import ingest_articles
+from contentflow.plans.conversations import check_messages
+from contentflow.plans.pipelines import poll_podcasts
 
 
 def landed(spark: SparkSession, path: str, ddl: str, *, files_per_batch: int | None = None) -> DataFrame:
@@ -51,6 +53,26 @@ def ingest_stream(stream: DataFrame, feeds: DataFrame, root: str, *, as_of: date
     poll(stream, f"{root}/_checkpoints/articles", each)
 
 
+def message_stream(stream: DataFrame, landed: dict[str, DataFrame], root: str, *, as_of: datetime | str, **options) -> None:
+    """Store the new messages and threads of landed messages; `landed` holds the other tables of the history."""
+
+    def each(batch: DataFrame, run_id: str) -> None:
+        check_messages(State(batch.sparkSession, root, run_id), {**landed, "message": batch}, as_of=as_of, **options)
+
+    poll(stream, f"{root}/_checkpoints/messages", each)
+
+
+def podcast_stream(
+    stream: DataFrame, heads: DataFrame, transcripts: DataFrame, root: str, *, as_of: datetime | str, **options
+) -> None:
+    """Store the new podcasts and episodes of landed entries, with the transcripts that are there."""
+
+    def each(batch: DataFrame, run_id: str) -> None:
+        poll_podcasts(State(batch.sparkSession, root, run_id), batch, heads, transcripts, as_of=as_of, **options)
+
+    poll(stream, f"{root}/_checkpoints/episodes", each)
+
+
 def remember_keys(stream: DataFrame, key: str, order: list[str], root: str, table: str, ddl: str) -> None:
     """Exact dedupe without a time limit: store the first row of every key that no earlier batch stored."""
 
