@@ -25,7 +25,7 @@ BEFORE = GROUPS
 #: Hashed buckets of pairs of words before.
 PAIRS = 4096
 #: Counts of so many of the most frequent words are sent to every executor; the others are joined.
-HOT_WORDS = 1_000_000
+HOT_WORDS = 400_000
 #: Rounds of training. Each takes its part of the texts, so that every text is used once.
 ROUNDS, STEP_TOKENS, RATE = 2, 16_384, 0.25
 #: Parameter vectors that one task averages.
@@ -110,20 +110,29 @@ def vocabulary(counts: DataFrame, hot: int = HOT_WORDS) -> Vocabulary:
     """The `hot` most frequent tokens of a table of token counts, and its totals."""
     end = int(END)
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(hot).toPandas()
-    hashes, count = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    ranked = hashes[hashes != end][: HEAD - 1]
-    group = dict(zip(ranked.tolist(), range(1, HEAD)))
-    group[end] = 0
-    if end not in hashes:
-        hashes, count = np.append(hashes, end), np.append(count, 0)
-    head = np.array([group.get(h, -1) for h in hashes.tolist()], dtype=np.int64)
+    # The lowest count from which on no more than `hot` tokens are left: how many tokens have which count is a short table.
+    sizes = counts.groupBy("c").agg(F.count("*").alias("n")).toPandas().sort_values("c", ascending=False)
+    enough = sizes[sizes["n"].cumsum() <= hot]["c"]
+    least = int(enough.min()) if len(enough) else None
+    top = counts.filter(F.col("c") >= least).select("h", "c").toPandas() if least is not None else None
+    hashes, count = (top[c].to_numpy(np.int64) for c in ("h", "c")) if top is not None else (np.zeros(0, np.int64),) * 2
+    ranked = np.array([r.h for r in counts.filter(F.col("h") != end).orderBy(F.desc("c"), "h").limit(HEAD - 1).collect()], np.int64)
+    # Words of a group of their own and the end are always known, with their counts.
+    own = np.append(ranked, end)
+    missing = own[~np.isin(own, hashes)]
+    if len(missing):
+        known = {r.h: r.c for r in counts.filter(F.col("h").isin(missing.tolist())).select("h", "c").collect()}
+        hashes, count = np.append(hashes, missing), np.append(count, [known.get(h, 0) for h in missing.tolist()])
     order = np.argsort(hashes.view(np.uint64), kind="stable")
+    hashes, count = hashes.view(np.uint64)[order], count[order]
+    head = np.full(len(hashes), -1, np.int64)
+    head[np.searchsorted(hashes, ranked.view(np.uint64))] = np.arange(1, len(ranked) + 1)
+    head[np.searchsorted(hashes, END)] = 0
     sums = np.zeros((GROUPS, 2))
-    tail = counts.filter(~F.col("h").isin([int(h) for h in [*ranked, end]]))
+    tail = counts.filter(~F.col("h").isin(own.tolist()))
     for row in tail.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         sums[row.ending] = row.c, row.n
-    return Vocabulary(hashes.view(np.uint64)[order], count[order], head[order], sums, int(tokens), int(words))
+    return Vocabulary(hashes, count, head, sums, int(tokens), int(words))
 
 
 @dataclass
