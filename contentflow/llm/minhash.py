@@ -15,8 +15,8 @@ BINS, ROWS = 240, 6
 SHINGLE = 5
 #: In percent; links have at least this similarity.
 SIMILARITY = 80
-#: Rounds of stars around drawn centres before the remaining pairs are taken as they are.
-STARS = 1
+#: Counters of shingles that make the rarest come first where stars leave pairs untested.
+COUNTERS = 1 << 18
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -123,14 +123,76 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
+def _remaining_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar enough, from (node, component, n, shingles).
+
+    Each set is ordered from its rarest shingle. Two similar sets share one among the first of both, and the place of the first
+    one that they share bounds what they can share in all; pairs below the threshold by that bound are not made. Sets
+    that are all a little alike, as texts around one template, differ in their rarest shingles and do not meet.
+    Rarity is counted in a table of fixed size, where shingles may fall together: any order is right, a better one is faster.
+    In a shingle's group the nodes of its largest component only meet the others.
+    """
+
+    def unpacked(batch: pa.RecordBatch, at: int):
+        return [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(at)]
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for shingles in unpacked(batch, 0):
+                np.add.at(total, (shingles % np.uint64(COUNTERS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "times"])
+
+    counts = nodes.select("shingles").mapInArrow(count, "slot int, times long").groupBy("slot").agg(
+        F.least(F.sum("times"), F.lit(2**31 - 1)).cast("int").alias("times")
+    ).toPandas()
+    table = np.zeros(COUNTERS, np.int32)
+    table[counts["slot"].to_numpy()] = counts["times"].to_numpy()
+    shared = nodes.sparkSession.sparkContext.broadcast(table)
+
+    def prefix(batches):
+        for batch in batches:
+            parts, places, owner = [], [], []
+            for i, shingles in enumerate(unpacked(batch, 3)):
+                rarity = shared.value[(shingles % np.uint64(COUNTERS)).astype(np.int64)]
+                first = np.lexsort((shingles, rarity))[: len(shingles) - -(-len(shingles) * percent // 100) + 1]
+                parts.append(shingles[first])
+                places.append(np.arange(len(first)))
+                owner.append(np.full(len(first), i))
+            if not parts:
+                continue
+            at = pa.array(np.concatenate(owner))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in range(3)), pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(places))],
+                names=["node", "component", "n", "token", "place"],
+            )
+
+    tokens = stored(
+        nodes.select("node", "component", "n", "shingles").mapInArrow(prefix, "node long, component long, n long, token long, place long"), "minhash-prefixes"
+    )
+    sums = tokens.groupBy("token", "component").agg(F.count("*").alias("size"))
+    sums = sums.groupBy("token").agg(F.count("*").alias("components"), F.max_by("component", "size").alias("largest")).filter("components > 1")
+    several = stored(tokens.join(sums.select("token", "largest"), "token"), "minhash-shared")
+    others = several.filter("component <> largest").select(
+        "token", F.col("node").alias("other"), F.col("component").alias("theirs"), F.col("n").alias("m"), F.col("place").alias("at")
+    )
+    bound = f"least(n - place, m - at) * {100 + percent} >= {percent} * (n + m)"
+    size = f"least(n, m) * 100 >= greatest(n, m) * {percent}"
+    # Between two nodes outside the largest component either may be the left one: keep one order.
+    once = "(component = largest or node < other)"
+    pairs = several.join(others, "token").filter(f"component <> theirs and {once} and {size} and {bound}")
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def near_duplicates(frame: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """(key, row1, row2, n_shingles, component_id, kept) for each row of the frame, see `locator` for row1 and row2.
 
     A text is the set of its distinct shingles. Rows with equal sets are one node, so copies never meet in pairs. Nodes
     that share a bucket form a star around its smallest node; its pairs are confirmed on the whole sets, and confirmed
-    pairs are links. Where a bucket then still holds nodes of several components, stars around other drawn nodes follow,
-    only between components, and at last the remaining pairs between components: no link between two nodes
-    of a bucket can change the components after that. A group of near copies costs as many pairs as it has members.
+    pairs are links. A group of near copies so costs as many pairs as it has members. Where a bucket then still holds nodes
+    of several components, links between two nodes that are not its centre may be missing: a prefix join of these
+    nodes' sets finds every such link between components, see `_remaining_pairs`.
 
     component_id is the smallest key reachable over links, kept says whether it is the row's own. Null and empty texts
     have no shingles and no links. Null keys are never the smallest unless all are null. Rows that repeat a key and
@@ -157,25 +219,14 @@ def near_duplicates(frame: DataFrame, text: str = "text", key: str = "doc_id", s
     tested = stored(tested, "minhash-pairs")
     links = stored(_confirmed(tested, sets, percent), "minhash-links")
     found = components(links)
-    for turn in range(STARS + 1):
-        # Buckets whose nodes are not all in one component.
-        placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        mask = F.xxhash64(F.lit(turn), "bucket")
-        mixed = placed.groupBy("bucket").agg(
-            F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.col("node").bitwiseXOR(mask)).alias("drawn"),
-        ).filter("least < most").select("bucket", F.col("drawn").bitwiseXOR(mask).alias("centre"))
-        open_ = stored(placed.join(mixed, "bucket"), "minhash-open")
-        centres = open_.filter("node = centre") if turn < STARS else open_
-        pairs = open_.join(centres.select("bucket", F.col("node").alias("other"), F.col("component").alias("theirs")), "bucket")
-        pairs = pairs.filter("component <> theirs").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        if pairs.isEmpty() and turn == STARS:
-            break
-        more = stored(_confirmed(pairs, sets, percent), "minhash-links")
-        tested = tested.union(pairs)
-        if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
+    # Buckets whose nodes are not all in one component leave pairs that no star has tested.
+    placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+    open_ = stored(placed.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "component").distinct(), "minhash-open")
+    rest = stored(_remaining_pairs(open_.join(sets, "node"), percent), "minhash-pairs")
+    more = stored(_confirmed(rest, sets, percent), "minhash-links")
+    if not more.isEmpty():
+        found = components(links.union(more))
 
     labelled = nodes.select("node", "set", "key").join(found, "node", "left")
     smallest = labelled.filter("component is not null").groupBy("component").agg(F.min("key").alias("smallest"))
