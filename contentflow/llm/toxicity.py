@@ -13,12 +13,14 @@ from contentflow.llm.folders import stored
 
 #: Labelled examples in the index, half of either label.
 EXAMPLES = 8000
-#: Terms that tell the labels apart, the strongest first; a term needs this chi-square.
-TERMS, CHI_SQUARE = 4096, 25.0
+#: Terms whose chi-square in the sample is above this tell the labels apart and weigh more; all terms are in the index.
+CHI_SQUARE = 25.0
 #: Terms are words and the beginnings of longer words, of so many bytes.
 BEGINNINGS = (4, 5)
 #: Examples per block of the index, and neighbours that vote.
 BLOCK, NEIGHBOURS = 64, 15
+#: A term is frequent if more than this share of the examples have it.
+FREQUENT = 1 / 8
 #: A text is toxic from this score on.
 THRESHOLD = 0.7
 
@@ -48,91 +50,98 @@ def sketch(texts: grams.Texts) -> np.ndarray:
     return out.view(np.int64)
 
 
+def counted(texts: grams.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term hash, count), sorted."""
+    hashes, text = terms(texts)
+    order = np.argsort(text, kind="stable")
+    return grams.distinct_by_text(text[order], hashes[order])
+
+
 def vectors(texts: grams.Texts, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term number, count), sorted, for the terms in the sorted vocabulary."""
-    hashes, text = terms(texts)
+    text, hashes, count = counted(texts)
     if not len(vocabulary):
         return (np.zeros(0, np.int64),) * 3
     at = np.searchsorted(vocabulary, hashes).clip(max=len(vocabulary) - 1)
     known = vocabulary[at] == hashes
-    pairs, counts = np.unique(text[known] * len(vocabulary) + at[known], return_counts=True)
-    return pairs // len(vocabulary), pairs % len(vocabulary), counts
+    return text[known], at[known], count[known]
 
 
 @dataclass
 class Index:
-    """Postings by term, cut into blocks of examples, with the largest weight of each term in each block.
+    """Postings of all terms of the examples, and a table of the frequent terms with their largest weight in each block.
 
-    `starts[t, b]` to `starts[t, b + 1]` are the postings of term t in block b: example numbers and TF-IDF
-    weights of unit-length vectors.
+    `starts[t, 0]` to `starts[t, 1]` are the postings of term t: example numbers and TF-IDF weights of unit-length
+    vectors; `worth` is a term's inverse document frequency times its extra weight. `column[t]` is the place of a frequent
+    term in `frequent` (examples, frequent terms) and `highest` (frequent terms, blocks), else -1; `norms` are the lengths
+    of the rows of `frequent`.
     """
 
     vocabulary: np.ndarray
-    idf: np.ndarray
+    worth: np.ndarray
     keys: np.ndarray
     labels: np.ndarray
     votes: np.ndarray
     starts: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
+    column: np.ndarray
+    frequent: np.ndarray
     highest: np.ndarray
+    norms: np.ndarray
     base: float = 0.0
     knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1), np.zeros(1)))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k most similar examples with a positive cosine, without example `but`.
 
-        A block's bound is the sum of its highest weights. The blocks of the highest bounds are scored first; after
-        them, only blocks whose bound is above the k-th best cosine so far, so no other example can be nearer.
+        The postings of the rarer terms are added up. What the frequent terms can add to an example is bounded by the
+        sum of their highest weights in its block and by the product of the lengths. The examples of the highest
+        bounds are scored first; after them, only those whose bound reaches the k-th best cosine so far, so no other can be nearer.
         """
-        bounds = weight @ self.highest[term]
-        first = np.argsort(-bounds, kind="stable")[:2]
-        near, cosine = self._scored(term, weight, first, but)
-        line = np.partition(cosine, len(cosine) - k)[len(cosine) - k] if len(cosine) >= k else 0.0
-        open_ = bounds > line + 1e-9
-        open_[first] = False
-        more = np.flatnonzero(open_)
+        column = self.column[term]
+        sums = self._rare(term[column < 0], weight[column < 0])
+        often, column = weight[column >= 0], column[column >= 0]
+        if not len(column):
+            if but >= 0:
+                sums[but] = 0.0
+            return self._best(np.flatnonzero(sums > 0), sums[sums > 0], k)
+        block = (often @ self.highest[column]).repeat(BLOCK)[: len(sums)]
+        bounds = sums + np.minimum(block, np.sqrt((often**2).sum()) * self.norms)
+        if but >= 0:
+            bounds[but] = -1.0
+        whole = np.zeros(self.frequent.shape[1], np.float32)
+        whole[column] = often
+        near = np.argpartition(-bounds, BLOCK)[:BLOCK] if len(bounds) > BLOCK else np.flatnonzero(bounds >= 0)
+        cosine = sums[near] + self.frequent[near] @ whole
+        line = max(np.partition(cosine, len(cosine) - k)[len(cosine) - k], 0.0) if len(cosine) >= k else 0.0
+        bounds[near] = -1.0
+        # The margin is far above the rounding of single precision.
+        more = np.flatnonzero(bounds > line - 1e-5) if line > 1e-5 else np.flatnonzero(bounds > 0)
         if len(more):
-            others, cosines = self._scored(term, weight, more, but)
-            better = cosines > line
-            near, cosine = np.concatenate([near, others[better]]), np.concatenate([cosine, cosines[better]])
+            near = np.concatenate([near, more])
+            cosine = np.concatenate([cosine, sums[more] + self.frequent[more] @ whole])
+        if but >= 0:
+            near, cosine = near[near != but], cosine[near != but]
+        return self._best(near[cosine > 0], cosine[cosine > 0], k)
+
+    def _rare(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What some terms add to the cosine of each example, from their postings."""
+        size = self.starts[term, 1] - self.starts[term, 0]
+        ends = size.cumsum()
+        place = np.repeat(self.starts[term, 0] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.examples[place], np.repeat(weight, size) * self.weights[place], len(self.keys))
+
+    @staticmethod
+    def _best(near: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cosine) > k:
             kept = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k]
             near, cosine = near[kept], cosine[kept]
         order = np.lexsort((near, -cosine))[:k]
         return near[order], cosine[order]
 
-    def _scored(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of some blocks that share a term, and their cosines, from the terms' postings in these blocks."""
-        chosen, parts, weights = None, [], []
-        if len(blocks) > 4:
-            chosen = np.zeros(self.highest.shape[1], dtype=bool)
-            chosen[blocks] = True
-        for t, w in zip(term, weight):
-            if chosen is None:
-                spans = [slice(self.starts[t, b], self.starts[t, b + 1]) for b in blocks]
-            else:
-                spans = [slice(self.starts[t, 0], self.starts[t, -1])]
-            for span in spans:
-                example = self.examples[span]
-                if not len(example):
-                    continue
-                value = w * self.weights[span]
-                if chosen is not None:
-                    inside = chosen[example // BLOCK]
-                    example, value = example[inside], value[inside]
-                parts.append(example)
-                weights.append(value)
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        sums = np.bincount(np.concatenate(parts), np.concatenate(weights), len(self.keys))
-        if but >= 0:
-            sums[but] = 0.0
-        found = np.flatnonzero(sums)
-        return found, sums[found]
-
     def unit(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        weight = (1.0 + np.log(count)) * self.idf[term]
+        weight = (1.0 + np.log(count)) * self.worth[term]
         return weight / np.sqrt((weight**2).sum())
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -156,32 +165,12 @@ def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools])
 
 
-def _vocabulary(sample: DataFrame) -> np.ndarray:
-    """Hashes of the terms whose document frequencies differ most between the labels of the sample."""
-
-    def run(batches):
-        for batch in batches:
-            label = batch.column(0).to_numpy()
-            for piece in grams.pieces(batch.column(1)):
-                hashes, text = terms(piece)
-                order = np.argsort(text, kind="stable")
-                text, hashes, _ = grams.distinct_by_text(text[order], hashes[order])
-                toxic = label[piece.first + text]
-                found, at = np.unique(hashes, return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), pa.array(np.bincount(at, minlength=len(found))), pa.array(np.bincount(at, toxic, len(found)))],
-                    names=["term", "n", "t"],
-                )
-
-    sizes = sample.agg(F.count("*").alias("rows"), F.sum("label").alias("toxic")).first()
-    counts = sample.select("label", "text").mapInArrow(run, "term long, n long, t double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    expected = F.col("n") * sizes.toxic / sizes.rows
-    spread = F.col("n") * (1 - F.col("n") / F.lit(float(sizes.rows + 1))) * (sizes.toxic / sizes.rows) * (1 - sizes.toxic / sizes.rows)
-    chosen = (
-        counts.filter("n >= 4").withColumn("chi", (F.col("t") - expected) ** 2 / spread).filter(F.col("chi") >= CHI_SQUARE)
-        .orderBy(F.desc("chi"), "term").limit(TERMS).select("term").toPandas()
-    )
-    return np.sort(chosen["term"].to_numpy(np.int64).view(np.uint64))
+def _extra(term: np.ndarray, toxic: np.ndarray, terms_: int, labels: np.ndarray) -> np.ndarray:
+    """The extra weight of each term: 1, and more the further its chi-square over the examples is above CHI_SQUARE."""
+    n, share = np.bincount(term, minlength=terms_), labels.mean()
+    spread = n * (1 - n / (len(labels) + 1.0)) * share * (1 - share)
+    chi = (np.bincount(term, toxic, terms_) - n * share) ** 2 / spread
+    return np.sqrt(1.0 + np.maximum(chi - CHI_SQUARE, 0.0))
 
 
 def _frequencies(documents: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -194,29 +183,26 @@ def _frequencies(documents: DataFrame, text: str, vocabulary: np.ndarray) -> tup
             for piece in grams.pieces(batch.column(0)):
                 total += np.bincount(vectors(piece, vocabulary)[1], minlength=len(vocabulary))
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int64()), pa.array([rows, *total[used].tolist()], pa.int64())], names=["t", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], rows))], names=["t", "n"])
 
-    got = documents.select(F.col(text).cast("string")).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
-    frequency, n = np.zeros(len(vocabulary), np.int64), 0
-    for row in got:
-        if row.t < 0:
-            n = row.n
-        else:
-            frequency[row.t] = row.n
-    return frequency, n
+    got = documents.select(F.col(text).cast("string")).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(len(vocabulary), np.int64)
+    term, count = got["t"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    frequency[term[term >= 0]] = count[term >= 0]
+    return frequency, int(count[term < 0].sum())
 
 
 def fit(documents: DataFrame, labels: DataFrame, corpus: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = EXAMPLES) -> Index:
     """Indexes a sample of about `most` labelled documents. Document frequencies are those of the whole `corpus`.
 
-    The terms are those that tell the labels of the sample apart. The votes of examples are calibrated by leaving each example
+    All terms of the examples are indexed; those that tell the labels apart weigh more. The votes of examples are calibrated by leaving each example
     out in turn. Labels are 0 or 1; null labels, keys and texts teach nothing. With one label only, the score is that
     label; without any it is one half.
     """
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
     counts = learning.class_counts(marks, "label")
     empty = np.zeros(0)
-    nothing = Index(np.zeros(0, np.uint64), empty, empty, empty, empty, np.zeros((0, 1), np.int64), empty, empty, np.zeros((0, 0)), float(next(iter(counts), 0.5)))
+    nothing = Index(np.zeros(0, np.uint64), *[empty] * 11, float(next(iter(counts), 0.5)))
     if len(counts) < 2:
         return nothing
     chosen = learning.bounded_sample(marks, "label", counts, key="key", most=most)
@@ -228,45 +214,55 @@ def fit(documents: DataFrame, labels: DataFrame, corpus: DataFrame, text: str =
     sample = stored(sample.select("key", "label", "text"), "toxicity-sample")
     if sample.select("label").distinct().count() < 2:
         return nothing
-    vocabulary = _vocabulary(sample)
-    frequency, n = _frequencies(corpus, text, vocabulary)
-
     def work(texts: grams.Texts, _: pa.RecordBatch) -> tuple:
-        of, term, count = vectors(texts, vocabulary)
+        of, hashes, count = counted(texts)
         cuts = np.searchsorted(of, np.arange(len(texts) + 1))
-        return tuple([a[i:j].tolist() for i, j in zip(cuts, cuts[1:])] for a in (term, count))
-
-    rows = grams.mapped(sample, "text", ["key", "label"], {"terms": "array<long>", "counts": "array<long>"}, work).collect()
-    idf = np.log((n + 1) / (frequency + 1.0)) + 1.0
-    index = Index(vocabulary, idf, empty, empty, empty, np.zeros((0, 1)), empty, empty, np.zeros((0, 0)))
-    made = []
-    for row in rows:
-        term, count = np.array(row.terms, np.int64), np.array(row.counts, np.int64)
-        weight = index.unit(term, count) if len(term) else np.zeros(0)
-        made.append((int(term[weight.argmax()]) if len(term) else len(vocabulary), row.key, row.label, term, weight))
+        return tuple(pa.array([a[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for a in (hashes, count.astype(np.int32)))
+
+    rows = grams.mapped(sample, "text", ["key", "label"], {"terms": "binary", "counts": "binary"}, work).orderBy("key", "label").toPandas()
+    labels_ = rows["label"].to_numpy(np.int64)
+    hashes = np.frombuffer(b"".join(rows["terms"]), np.uint64)
+    count = np.frombuffer(b"".join(rows["counts"]), np.int32)
+    row = np.repeat(np.arange(len(rows)), [len(b) // 8 for b in rows["terms"]])
+    rows = rows["key"].to_numpy()
+    vocabulary, term = np.unique(hashes, return_inverse=True)
+    frequency, n = _frequencies(corpus, text, vocabulary)
+    worth = (np.log((n + 1) / (frequency + 1.0)) + 1.0) * _extra(term, labels_[row], len(vocabulary), labels_)
+    weight = (1.0 + np.log(count)) * worth[term]
+    weight /= np.sqrt(np.bincount(row, weight**2, len(rows)))[row]
     # Examples with the same leading term are in the same blocks: their bounds are tight.
-    made.sort(key=lambda m: (m[0], -m[4].max(initial=0.0), m[1], m[2]))
-    index.keys, index.labels = np.array([m[1] for m in made]), np.array([m[2] for m in made])
-    stands = {v: counts[v] / max(1, int((index.labels == v).sum())) for v in (0, 1)}
-    index.votes = np.array([stands[v] for v in index.labels])
-    term = np.concatenate([m[3] for m in made])
-    example = np.repeat(np.arange(len(made)), [len(m[3]) for m in made])
-    weight = np.concatenate([m[4] for m in made])
+    order = np.lexsort((term, -weight, row))
+    lead = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+    leading, high = np.full(len(rows), len(vocabulary)), np.zeros(len(rows))
+    leading[row[lead]], high[row[lead]] = term[lead], weight[lead]
+    order = np.lexsort((np.arange(len(rows)), -high, leading))
+    number = np.empty(len(rows), np.int64)
+    number[order] = np.arange(len(rows))
+    keys, labels_, example = rows[order], labels_[order], number[row]
+    stands = {v: counts[v] / max(1, int((labels_ == v).sum())) for v in (0, 1)}
     order = np.lexsort((example, term))
-    index.examples, index.weights = example[order], weight[order]
-    blocks = -(-len(made) // BLOCK)
-    place = term[order] * blocks + index.examples // BLOCK
-    starts = np.searchsorted(place, np.arange(len(vocabulary) * blocks + 1))
-    index.starts = np.empty((len(vocabulary), blocks + 1), np.int64)
-    index.starts[:, :-1] = starts[:-1].reshape(len(vocabulary), blocks)
-    index.starts[:, -1] = starts[blocks::blocks][: len(vocabulary)] if len(vocabulary) else 0
-    index.highest = np.zeros(len(vocabulary) * blocks)
-    np.maximum.at(index.highest, place, index.weights)
-    index.highest = index.highest.reshape(len(vocabulary), blocks)
+    term, example, weight = term[order], example[order].astype(np.int32), weight[order].astype(np.float32)
+    starts = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+    starts = np.column_stack([starts[:-1], starts[1:]])
+    common = np.flatnonzero(starts[:, 1] - starts[:, 0] > len(keys) * FREQUENT)
+    column = np.full(len(vocabulary), -1)
+    column[common] = np.arange(len(common))
+    at = np.flatnonzero(column[term] >= 0)
+    frequent = np.zeros((len(keys), len(common)), np.float32)
+    frequent[example[at], column[term[at]]] = weight[at]
+    highest = np.zeros((len(common), -(-len(keys) // BLOCK)), np.float32)
+    np.maximum.at(highest, (column[term[at]], example[at] // BLOCK), weight[at])
+    index = Index(
+        vocabulary, worth, keys, labels_, np.array([stands[v] for v in labels_]), starts, example, weight, column, frequent, highest,
+        np.sqrt((frequent.astype(float) ** 2).sum(axis=1)),
+    )
 
     votes, marks_, stand, alone = [], [], [], []
-    for number, (_, _, mark, term, weight) in enumerate(made):
-        near, cosine = index.nearest(term, weight, NEIGHBOURS, but=number) if len(term) else (empty, empty)
+    order = np.argsort(example, kind="stable")
+    cuts = np.searchsorted(example[order], np.arange(len(keys) + 1))
+    for number, mark in enumerate(labels_.tolist()):
+        own = order[cuts[number] : cuts[number + 1]]
+        near, cosine = index.nearest(term[own], weight[own], NEIGHBOURS, but=number) if len(own) else (empty, empty)
         if len(near):
             votes.append(index.vote(near, cosine))
             marks_.append(mark)
@@ -287,7 +283,7 @@ def predict(frame: DataFrame, index: Index, text: str = "text", keep: list[str]
     among such texts as its score. Columns of the two names are replaced.
     """
     keep = [c for c in (frame.columns if keep is None else keep) if c not in ("score", "evidence")]
-    shared = frame.sparkSession.sparkContext.broadcast(index)  # at most EXAMPLES examples over TERMS terms
+    shared = frame.sparkSession.sparkContext.broadcast(index)  # about EXAMPLES examples at most, with all their terms
 
     def work(texts: grams.Texts, _: pa.RecordBatch) -> tuple:
         index = shared.value

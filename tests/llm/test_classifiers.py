@@ -136,3 +136,19 @@ def test_isotonic_curve_rises():
     x, y = np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.5])
     knots, values = toxicity._isotonic(x, y, np.ones(6))
     assert (np.diff(values) >= 0).all() and (np.diff(knots) > 0).all() and values[0] == 0.0
+
+
+def test_rare_words_of_examples_are_in_the_index(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(12)), None, None, 0.0, "", 0) for i in range(200)]
+    rows[7] = (7, "one scarce insult, said only here", None, None, 0.0, "", 0)
+    documents = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id long, toxic int")
+    index = toxicity.fit(documents, labels, documents)
+    seen = spark.createDataFrame([(1000, rows[7][1], None, None, 0.0, "", 0), (1001, "quite unseen", None, None, 0.0, "", 0)], DOCS)
+    copy, other = toxicity.predict(seen, index, keep=["doc_id"]).orderBy("doc_id").collect()
+    assert [(e.doc_id, e.label) for e in copy.evidence] == [(7, 1)] and copy.evidence[0].cosine > 0.9999 and not other.evidence
+    # Document frequencies and lengths are those of all terms of all documents.
+    worth = np.log((200 + 1) / (1 + 1.0)) + 1.0
+    known = np.isin(index.vocabulary, toxicity.terms(next(toxicity.grams.pieces(toxicity.pa.array([rows[7][1]]))))[0])
+    assert known.sum() > 6 and np.allclose(index.worth[known], worth)
