@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from contentflow.llm import grams, learning
+from contentflow.llm.folders import stored
 
 BUCKETS, SIZES = 512, (1, 2)
 #: Preference pairs drawn from the sample.
@@ -17,6 +18,8 @@ PAIRS = 100_000
 SAMPLE_ROWS = 12_000
 #: A text is good from this score on: the quantile of the learned scores that separates as many texts as are marked bad.
 THRESHOLD = 0.3
+#: Bins of a histogram of scores, and scores that are sorted on the driver.
+BINS, FEW = 4096, 10_000
 #: A text of so many words has half its features' weight.
 SHORT = 6.0
 KINDS = ("upper", "lower", "digit", "space", "newline", "mark", "sign", "bar", "other")
@@ -82,11 +85,29 @@ class Model:
     slope: float
     constant: float | None = None
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return (standardised(x, self.middle, self.scale) @ self.weights).astype(float)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        raw = standardised(x, self.middle, self.scale) @ self.weights
-        return learning.sigmoid(self.slope * (raw.astype(float) - self.line) + np.log(THRESHOLD / (1 - THRESHOLD)))
+        return learning.sigmoid(self.slope * (self.raw(x) - self.line) + np.log(THRESHOLD / (1 - THRESHOLD)))
+
+
+def ranked(values: DataFrame, rank: int) -> float:
+    """The value of that rank, from 0, of the column raw: histograms narrow it down until few values are left."""
+    while True:
+        low, high, n = values.agg(F.min("raw"), F.max("raw"), F.count("*")).first()
+        if low == high:
+            return low
+        if n <= FEW:
+            return float(np.sort(values.toPandas()["raw"].to_numpy())[rank])
+        bin_ = F.least(F.floor((F.col("raw") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        for number, count in sorted(values.groupBy(bin_.alias("bin")).count().collect()):
+            if rank < count:
+                break
+            rank -= count
+        values = values.filter(bin_ == number)
 
 
 def fit(
@@ -96,7 +117,7 @@ def fit(
     """Learns from a sample of about `most` labelled rows, half of either label.
 
     Each preference pair is a text marked 1 and one marked 0; the logistic loss on the difference of their features
-    is what Bradley-Terry says of a comparison. Labels are 0 or 1; null labels and keys teach nothing. With one label only, or
+    is what Bradley-Terry says of a comparison. The line and the slope are those of the scores of all labelled rows. Labels are 0 or 1; null labels and keys teach nothing. With one label only, or
     none, the score is that label's share, or one half.
     """
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
@@ -125,16 +146,17 @@ def fit(
         return x.T @ pull.astype(np.float32) + np.float32(2e-3) * w
 
     w = learning.adam(gradient, (x.shape[1],), 250, 0.02)
-    raw = (x @ w).astype(float)
-    # Rows of the sample stand for as many labelled rows of their label as there are.
-    weight = np.where(y == 1, counts[1] / len(good), counts[0] / len(bad))
-    order = np.argsort(raw, kind="stable")
-    share = np.cumsum(weight[order]) / weight.sum()
+    model = Model(middle, scale, w, 0.0, 0.0)
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull())
+    # Scores meet the labels, so that no text is shuffled.
+    raws = grams.mapped(rows, "text", ["key"], {"raw": "double"}, lambda t, _: (model.raw(features(t)),))
+    raws = stored(raws.join(marks, "key").select("label", "raw"), "quality-scores")
+    # Decimals add up to the same in any order.
+    mean = F.avg(F.col("raw").cast("decimal(20,10)")).cast("double")
+    means = {r.label: (r.n, r.mean) for r in raws.groupBy("label").agg(F.count("*").alias("n"), mean.alias("mean")).collect()}
     # The quantile lies between two neighbouring scores; the line is in the middle of them.
-    at = min(int(np.searchsorted(share, counts[0] / (counts[0] + counts[1]))), len(order) - 2)
-    line = float(raw[order[at : at + 2]].mean())
-    gap = abs(raw[good].mean() - raw[bad].mean())
-    return Model(middle, scale, w, line, float(6.0 / max(gap, 1e-6)))
+    line = (ranked(raws, means[0][0] - 1) + ranked(raws, means[0][0])) / 2
+    return Model(middle, scale, w, line, float(6.0 / max(abs(means[1][1] - means[0][1]), 1e-6)))
 
 
 def predict(frame: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -152,3 +152,20 @@ def test_rare_words_of_examples_are_in_the_index(spark):
     worth = np.log((200 + 1) / (1 + 1.0)) + 1.0
     known = np.isin(index.vocabulary, toxicity.terms(next(toxicity.grams.pieces(toxicity.pa.array([rows[7][1]]))))[0])
     assert known.sum() > 6 and np.allclose(index.worth[known], worth)
+
+
+def test_quality_line_is_the_quantile_of_all_labelled_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["fine", "plain", "x9$", "##"] if i % 3 else ["fine", "x9$", "##", "||"]) for _ in range(9)), None, None, 0.0, "", 0) for i in range(600)]
+    documents = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(r[0], int(r[0] % 3 > 0)) for r in rows] + [(0, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "FEW", 5, raising=False)
+    monkeypatch.setattr(quality, "BINS", 7, raising=False)
+    model = quality.fit(documents, labels, most=40)
+    texts = [r[1] for r in rows] + [rows[0][1]]
+    x = np.concatenate([quality.features(p) for p in quality.grams.pieces(quality.pa.array(texts))])
+    raw = (quality.standardised(x, model.middle, model.scale) @ model.weights).astype(float)
+    bad = np.array([r[0] % 3 == 0 for r in rows] + [True])
+    order = np.sort(raw)
+    assert np.isclose(model.line, order[bad.sum() - 1 : bad.sum() + 1].mean(), atol=1e-5)
+    assert np.isclose(model.slope, 6.0 / abs(raw[bad].mean() - raw[~bad].mean()), rtol=1e-4)
