@@ -24,7 +24,19 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._~:/?#@!$&*+,;=%-]*+")
 _URL_END = ".,;:!?"
+_LEAD = re.compile(r"(?: ?(?:no\.?|No\.?|number|Number))?[ :#=]{0,3}")
 _ACCOUNT = re.compile(r"(?: ?(?:no\.?|No\.?|number|Number))?[ :#=]{0,3}([0-9](?:[ -]?[0-9])+)")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}")
+_PASSPORT = re.compile(r"(?:[A-Z]{1,3}[ -]?[0-9]{5,9}|[a-z]{1,3}[0-9]{5,9}|(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{6,9})(?![A-Za-z0-9])")
+#: Characters of an IBAN by country; other countries' may have 15 to 34.
+_IBAN_SIZES = {
+    c: int(size) for size, countries in {
+        "15": "NO", "16": "BE", "18": "DK FI FK FO GL NL SD", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK", "21": "CH HR LI LV",
+        "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL", "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST",
+        "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HU LB NI PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU YE",
+        "31": "MT SC", "32": "LC", "33": "RU",
+    }.items() for c in countries.split()
+}
 ACCOUNT_DIGITS = (6, 24)
 
 
@@ -55,6 +67,39 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(letters: str) -> bool:
+    """The check digits are right: the number with the first four characters last, letters from 10 on, is 1 modulo 97."""
+    return int("".join(str(int(c, 36)) for c in letters[4:] + letters[:4])) % 97 == 1
+
+
+def _iban_end(text: str, at: int) -> int:
+    """Where the IBAN that begins there ends, 0 without one. Words that follow are not taken for groups of it."""
+    found = _IBAN.match(text, at)
+    if not found:
+        return 0
+    places = [n for n in range(at, found.end()) if text[n] not in " -"]
+    size = _IBAN_SIZES.get(text[at : at + 2].upper())
+    for n in [size] if size else range(len(places), 14, -1):
+        if n <= len(places):
+            end = places[n - 1] + 1
+            whole = end == len(text) or not (text[end].isascii() and text[end].isalnum())
+            if whole and iban("".join(text[p] for p in places[:n])):
+                return end
+    return 0
+
+
+def _identifier(text: str, cue: str, after: int) -> tuple[int, int, bool] | None:
+    """Begin and end of what follows a cue word, and whether it is valid. IBANs and passport numbers may hold letters."""
+    at = _LEAD.match(text, after).end()
+    if cue.lower() == "iban" and (end := _iban_end(text, at)):
+        return at, end, True
+    if cue.lower() == "passport" and (found := _PASSPORT.match(text, at)):
+        return at, found.end(), True
+    if found := _ACCOUNT.match(text, after):
+        return found.start(1), found.end(), ACCOUNT_DIGITS[0] <= len(_digits(found.group(1))) <= ACCOUNT_DIGITS[1]
+    return None
+
+
 def _small_part(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 4 and int(part or "0") <= 255
@@ -103,11 +148,11 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 url_end = found.end()
                 spans.append((at - len(scheme), "url", at + 3 + len(found.group().rstrip(_URL_END))))
         elif at >= account_end:
-            found = _ACCOUNT.match(text, last + 1)
+            found = _identifier(text, text[at : last + 1], last + 1)
             if found:
-                account_end = found.end()
-                if ACCOUNT_DIGITS[0] <= len(_digits(found.group(1))) <= ACCOUNT_DIGITS[1]:
-                    spans.append((found.start(1), "account", account_end))
+                start, account_end, valid = found
+                if valid:
+                    spans.append((start, "account", account_end))
     spans.sort(key=lambda s: (s[0], KINDS.index(s[1])))
     return [(kind, start, end) for start, kind, end in spans]
 
@@ -126,7 +171,7 @@ def find_personal_data(frame: DataFrame, text: str = "text", keep: list[str] | N
     """Adds spans (array of kind, start, end) and, on request, masked (the text without what was found).
 
     Emails, IP addresses, card numbers and phone numbers are those of the patterns in the module's tests, leftmost and
-    non-overlapping per kind; URLs and account numbers after a cue word come on top. Positions count code points,
+    non-overlapping per kind; URLs and account numbers after a cue word, with the letters of IBANs and passport numbers, come on top. Positions count code points,
     ends are exclusive. Null texts are empty. Columns spans and masked are replaced, others stay.
     """
     new = {"spans": "array<struct<kind:string,start:long,end:long>>"} | ({"masked": "string"} if mask else {})

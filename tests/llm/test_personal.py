@@ -29,6 +29,22 @@ def test_urls_accounts_and_masks():
     assert pii.masked("abcdef", [("email", 1, 4), ("card", 2, 5)]) == "a[EMAIL]f"
 
 
+def test_each_cue_has_its_forms():
+    planted = {
+        "IBAN DE89 3704 0044 0532 0130 00 is ours": "DE89 3704 0044 0532 0130 00", "iban: GB29NWBK60161331926819.": "GB29NWBK60161331926819",
+        "IBAN: FR14 2004 1010 0505 0001 3M02 606 and": "FR14 2004 1010 0505 0001 3M02 606", "Iban no. NL91 ABNA 0417 1643 00": "NL91 ABNA 0417 1643 00",
+        "IBAN NO93 8601 1117 947 is": "NO93 8601 1117 947", "IBAN de89370400440532013000": "de89370400440532013000", "IBAN: 1234-5678 90": "1234-5678 90",
+        "Passport number: C01X00T47,": "C01X00T47", "passport no. AB 123456": "AB 123456", "passport 12AB34567": "12AB34567", "passport 123456789": "123456789",
+        "SSN 123-45-6789": "123-45-6789", "account no. 00112233": "00112233",
+        "IBAN DE88 3704 0044 0532 0130 00": None, "IBAN codes are needed": None, "PASSPORT RENEWAL": None, "passport holders of 2024": None, "SSN 123": None,
+    }
+    for text, number in planted.items():
+        found = [text[a:b] for k, a, b in pii.find(text) if k == "account"]
+        assert found == ([number] if number else []), text
+        if number:
+            assert number not in pii.masked(text, pii.find(text))
+
+
 def test_odd_rows_and_the_query(spark, tmp_path):
     rows = [(1, c, "s", 0) for c in CASES] + [(None, None, None, None), (1, "a@b.c", "s", 0), (1, "a@b.c", "s", 0)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, spans string, masked int")
