@@ -39,14 +39,12 @@ def terms(texts: grams.Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(text)
 
 
-def sketch(texts: grams.Texts) -> np.ndarray:
-    """The smallest hash of three consecutive words: the same for copies and, most often, for near copies."""
+def whole(texts: grams.Texts) -> np.ndarray:
+    """A hash of all words of each text in their order: the same for copies, whatever stands between the words."""
     found = grams.words(texts, grams.ALNUM)
-    hashes, first = grams.shingles(found, 3)
-    out = np.full(len(texts), np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(out, found.text[first], hashes)
-    short = found.text[found.counts[found.text] < 3]
-    np.minimum.at(out, short, found.hashes[found.counts[found.text] < 3])
+    out = np.zeros(len(texts), dtype=np.uint64)
+    place = np.arange(len(found.hashes)) - (found.ends - found.counts)[found.text]
+    np.add.at(out, found.text, grams.mix(found.hashes + grams.mix(place.astype(np.uint64) + np.uint64(1))))
     return out.view(np.int64)
 
 
@@ -208,10 +206,10 @@ def fit(documents: DataFrame, labels: DataFrame, corpus: DataFrame, text: str =
     chosen = learning.bounded_sample(marks, "label", counts, key="key", most=most)
     # The number of chosen keys is bounded by `most`, so they may be sent to every executor.
     sample = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "key")
-    # A text that was copied a thousand times is one example, else its words would look like signs of its label.
-    sample = grams.mapped(sample, "text", ["key", "label", "text"], {"sketch": "long"}, lambda t, _: (sketch(t),))
-    sample = sample.groupBy("label", "sketch").agg(F.min("key").alias("key"), F.min_by("text", "key").alias("text"))
-    sample = stored(sample.select("key", "label", "text"), "toxicity-sample")
+    # A text that was copied a thousand times is one example, else its words would look like signs of its label; it votes for its copies.
+    sample = grams.mapped(sample, "text", ["key", "label", "text"], {"whole": "long"}, lambda t, _: (whole(t),))
+    sample = sample.groupBy("label", "whole").agg(F.min("key").alias("key"), F.min_by("text", "key").alias("text"), F.count("*").alias("copies"))
+    sample = stored(sample.select("key", "label", "copies", "text"), "toxicity-sample")
     if sample.select("label").distinct().count() < 2:
         return nothing
     def work(texts: grams.Texts, _: pa.RecordBatch) -> tuple:
@@ -219,8 +217,8 @@ def fit(documents: DataFrame, labels: DataFrame, corpus: DataFrame, text: str =
         cuts = np.searchsorted(of, np.arange(len(texts) + 1))
         return tuple(pa.array([a[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for a in (hashes, count.astype(np.int32)))
 
-    rows = grams.mapped(sample, "text", ["key", "label"], {"terms": "binary", "counts": "binary"}, work).orderBy("key", "label").toPandas()
-    labels_ = rows["label"].to_numpy(np.int64)
+    rows = grams.mapped(sample, "text", ["key", "label", "copies"], {"terms": "binary", "counts": "binary"}, work).orderBy("key", "label").toPandas()
+    labels_, copies = rows["label"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64)
     hashes = np.frombuffer(b"".join(rows["terms"]), np.uint64)
     count = np.frombuffer(b"".join(rows["counts"]), np.int32)
     row = np.repeat(np.arange(len(rows)), [len(b) // 8 for b in rows["terms"]])
@@ -238,8 +236,9 @@ def fit(documents: DataFrame, labels: DataFrame, corpus: DataFrame, text: str =
     order = np.lexsort((np.arange(len(rows)), -high, leading))
     number = np.empty(len(rows), np.int64)
     number[order] = np.arange(len(rows))
-    keys, labels_, example = rows[order], labels_[order], number[row]
-    stands = {v: counts[v] / max(1, int((labels_ == v).sum())) for v in (0, 1)}
+    keys, labels_, copies, example = rows[order], labels_[order], copies[order], number[row]
+    stands = {v: counts[v] / max(1, int(copies[labels_ == v].sum())) for v in (0, 1)}
+    votes_of = copies * np.array([stands[v] for v in labels_])
     order = np.lexsort((example, term))
     term, example, weight = term[order], example[order].astype(np.int32), weight[order].astype(np.float32)
     starts = np.searchsorted(term, np.arange(len(vocabulary) + 1))
@@ -253,7 +252,7 @@ def fit(documents: DataFrame, labels: DataFrame, corpus: DataFrame, text: str =
     highest = np.zeros((len(common), -(-len(keys) // BLOCK)), np.float32)
     np.maximum.at(highest, (column[term[at]], example[at] // BLOCK), weight[at])
     index = Index(
-        vocabulary, worth, keys, labels_, np.array([stands[v] for v in labels_]), starts, example, weight, column, frequent, highest,
+        vocabulary, worth, keys, labels_, votes_of, starts, example, weight, column, frequent, highest,
         np.sqrt((frequent.astype(float) ** 2).sum(axis=1)),
     )
 
@@ -266,9 +265,9 @@ def fit(documents: DataFrame, labels: DataFrame, corpus: DataFrame, text: str =
         if len(near):
             votes.append(index.vote(near, cosine))
             marks_.append(mark)
-            stand.append(stands[mark])
+            stand.append(votes_of[number])
         else:
-            alone.append((mark * stands[mark], stands[mark]))
+            alone.append((mark * votes_of[number], votes_of[number]))
     prior = counts[1] / (counts[0] + counts[1])
     index.base = (sum(a for a, _ in alone) + prior) / (sum(b for _, b in alone) + 1.0)
     if votes:

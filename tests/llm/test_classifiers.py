@@ -169,3 +169,14 @@ def test_quality_line_is_the_quantile_of_all_labelled_rows(spark, monkeypatch):
     order = np.sort(raw)
     assert np.isclose(model.line, order[bad.sum() - 1 : bad.sum() + 1].mean(), atol=1e-5)
     assert np.isclose(model.slope, 6.0 / abs(raw[bad].mean() - raw[~bad].mean()), rtol=1e-4)
+
+
+def test_only_whole_copies_are_one_example(spark):
+    passage = " ".join(f"licence{i}" for i in range(60))
+    rows = [(i, f"{passage} own{i}", None, None, 0.0, "", 0) for i in range(40)] + [(i, f"{passage.upper()}  OWN1!", None, None, 0.0, "", 0) for i in (41, 43)]
+    documents = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id long, toxic int")
+    index = toxicity.fit(documents, labels, documents)
+    assert sorted(index.keys) == list(range(40))
+    votes = dict(zip(index.keys.tolist(), index.votes.tolist()))
+    assert np.isclose(votes[1], 3.0) and np.allclose([votes[i] for i in range(40) if i != 1], 1.0)
