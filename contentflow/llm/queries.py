@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contentflow.llm import (
-    decontamination, embeddings, langid, language_model, minhash, mixing, oracles, pii, quality, sharding, toxicity,
+    alignment, decontamination, embeddings, langid, language_model, minhash, mixing, oracles, packing, pii, quality,
+    sharding, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +145,25 @@ def maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     docs = documents.select("doc_id", "text", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"))
     return language_model.score(docs, remainder(7) != 2, keep=["doc_id", "held_out"])
+
+
+def tokenizer(name: str) -> str:
+    """Where a file of the public tokenizers lies. The package is installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op12_packed_sequences")
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = alignment.align(
+        documents, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), keep=lambda groups: F.sha2(groups, 256)
+    )
+    return found.withColumnRenamed("groups", "groups_sha256")
