@@ -80,3 +80,25 @@ PERSONAL_SPANS = f"""WITH x AS ({' UNION ALL '.join(_spans(k, *one) for k, one i
         string_agg({_TEXT}, ',' ORDER BY s, kind_no) FILTER (kind_no < 4) AS base, string_agg({_TEXT}, ',' ORDER BY s, kind_no) AS spans FROM x GROUP BY doc_id)
     SELECT doc_id, {', '.join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in ('email', 'ip', 'card', 'phone'))},
     sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN a USING (doc_id)"""
+
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ord(s)::BIGINT)),
+        lambda x, b: list_reduce(list_concat([xor(x, b)], list_transform(range(8), lambda z: 0::BIGINT)), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"""
+
+# A node's subtree are the nodes whose smallest member has the node on its way.
+PREFIX_TRIE = f"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    n AS (SELECT c, count(*) AS has FROM t GROUP BY c), h AS (SELECT c, has, {_CRC} % 6 AS h FROM n),
+    m AS (SELECT h.c, h.h, least(h.h, coalesce(b.has, 0)) AS taken, h.has FROM h LEFT JOIN n b ON b.c = h.c - h.c % 100),
+    r AS (SELECT t.c, i - h + taken AS d, role, text FROM t JOIN m USING (c) WHERE i > h
+        UNION ALL SELECT m.c, i, role, text FROM m JOIN t ON t.c = m.c - m.c % 100 WHERE i <= taken),
+    p AS (SELECT c, d, length(text) AS len, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d) AS k FROM r
+        UNION ALL SELECT c, 0, 0, '' FROM n),
+    w AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS above, d = max(d) OVER (PARTITION BY c) AS ends FROM p),
+    g AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(len) AS len, any_value(above) AS above,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM w GROUP BY k, d),
+    kids AS (SELECT above AS k, count(*) AS n_children FROM g WHERE d > 0 GROUP BY above),
+    v AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN kids USING (k)),
+    s AS (SELECT a.k, a.d, sum((v.n_convs - 1) * v.len) AS saved, sum(CAST(v.n_children = 0 AS BIGINT)) AS leaves FROM v JOIN p a ON a.c = v.conv_id AND a.d <= v.d GROUP BY a.k, a.d)
+    SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(leaves AS BIGINT) AS n_leaves,
+        CAST(saved AS BIGINT) AS saved_tokens, v.ends_sha256
+    FROM v JOIN s ON s.k = v.k AND s.d = v.d LEFT JOIN g u ON v.d > 0 AND u.k = v.above AND u.d = v.d - 1"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contentflow.llm import (
-    alignment, decontamination, embeddings, langid, language_model, minhash, mixing, oracles, packing, pii, quality,
+    alignment, decontamination, embeddings, langid, language_model, minhash, mixing, oracles, packing, pii, prefix_trie, quality,
     sharding, toxicity,
 )
 
@@ -147,6 +147,16 @@ def maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, remainder(7) != 2, keep=["doc_id", "held_out"])
 
 
+HEAD_TURNS = 5
+
+
+@query("op11_prefix_trie", oracles.PREFIX_TRIE)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_hashes(table(spark, sf_dir, "conversations"))
+    rebuilt, members = prefix_trie.with_heads(turns, F.col("conv") - F.col("conv") % 100, remainder(HEAD_TURNS + 1, "conv"), HEAD_TURNS)
+    return prefix_trie.trie(rebuilt, members)
+
+
 def tokenizer(name: str) -> str:
     """Where a file of the public tokenizers lies. The package is installed on every node."""
     import public_tokenizers
