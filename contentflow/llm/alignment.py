@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,62 +51,86 @@ def common_ends(a: Tokens, b: Tokens) -> np.ndarray:
     return np.sort(ends["key"].to_numpy())
 
 
-def linked(group_a: np.ndarray, a: Tokens, group_b: np.ndarray, b: Tokens, text: np.ndarray) -> pa.Table:
-    """(text, pair, times): how often each pair of ids shares a group of the text. A pair is a number of 32 bits for A and 32 for B.
+def linked(group_a: np.ndarray, a: Tokens, group_b: np.ndarray, b: Tokens, text: np.ndarray, ids_b: int) -> pa.Table:
+    """(text, pair, times): how often each pair of ids shares a group of the text, by text. A pair is A's id times `ids_b` and B's id.
 
-    The ids of a group are counted first, so a group costs the product of its distinct ids; long groups are joined in slices.
+    Most groups are one token of each. In the others the ids of a group are counted first, so a group costs the product of its
+    distinct ids; long groups are joined in slices.
     """
+    single_a = np.bincount(group_a, minlength=len(text))
+    single = (single_a == 1) & (np.bincount(group_b, minlength=len(text)) == 1)
+    of_a, of_b = single[group_a], single[group_b]
+    number_a, number_b = a.ids.to_numpy().astype(np.int64), b.ids.to_numpy().astype(np.int64)
+    every = max(1, ids_b * (int(number_a.max(initial=0)) + 1))
+    parts = [_summed(text[group_a[of_a]] * every + number_a[of_a] * ids_b + number_b[of_b], None)]
     counted = []
-    for group, ids, name in ((group_a, a.ids, "a"), (group_b, b.ids, "b")):
+    for group, ids, name in ((group_a[~of_a], number_a[~of_a], "a"), (group_b[~of_b], number_b[~of_b], "b")):
         table = pa.table({"group": group, name: ids}).group_by(["group", name], use_threads=False).aggregate([([], "count_all")])
         counted.append(table.rename_columns(["group", name, f"n{name}"]).sort_by("group"))
     left, right = counted
     partners = np.bincount(right["group"].to_numpy(), minlength=len(text))[left["group"].to_numpy()]
     made = np.cumsum(partners)
-    parts, first = [], 0
+    first = 0
     while first < len(left):
         last = max(first + 1, int(np.searchsorted(made, (made[first - 1] if first else 0) + JOIN_ROWS, side="right")))
         some = left.slice(first, last - first)
         low, high = np.searchsorted(right["group"].to_numpy(), [some["group"][0].as_py(), some["group"][-1].as_py() + 1])
         both = some.join(right.slice(low, high - low), keys="group", join_type="inner", use_threads=False)
-        pair = pc.bit_wise_or(pc.shift_left(both["a"].cast(pa.int64()), pa.scalar(32, pa.int64())), both["b"].cast(pa.int64()))
-        of = pa.array(text[both["group"].to_numpy()])
-        parts.append(_summed(pa.table({"text": of, "pair": pair, "times": pc.multiply(both["na"], both["nb"])})))
+        key = text[both["group"].to_numpy()] * every + both["a"].to_numpy() * ids_b + both["b"].to_numpy()
+        parts.append(_summed(key, pc.multiply(both["na"], both["nb"])))
         first = last
-    if not parts:
-        return pa.table({"text": pa.array([], pa.int64()), "pair": pa.array([], pa.int64()), "times": pa.array([], pa.int64())})
-    return (_summed(pa.concat_tables(parts)) if len(parts) > 1 else parts[0]).sort_by("text")
+    whole = pa.concat_tables(parts)
+    if len(parts) > 1:
+        whole = _summed(whole["key"], whole["times"])
+    whole = whole.sort_by("key")
+    of, pair = np.divmod(whole["key"].to_numpy(), every)
+    return pa.table({"text": of, "pair": pair, "times": whole["times"]})
 
 
-def _summed(pairs: pa.Table) -> pa.Table:
-    out = pairs.group_by(["text", "pair"], use_threads=False).aggregate([("times", "sum")])
-    return out.rename_columns(["text", "pair", "times"])
+def _summed(key, times) -> pa.Table:
+    if times is None:
+        out = pa.table({"key": key}).group_by("key", use_threads=False).aggregate([([], "count_all")])
+    else:
+        out = pa.table({"key": key, "times": times}).group_by("key", use_threads=False).aggregate([("times", "sum")])
+    return out.rename_columns(["key", "times"])
 
 
-def group_strings(group_a: np.ndarray, a: Tokens, group_b: np.ndarray, b: Tokens, text: np.ndarray, n: int) -> pa.Array:
+@lru_cache(maxsize=2)
+def _words(ids: int) -> pa.Array:
+    """Every id, written before a comma, a bar, a semicolon and alone."""
+    return pa.array([f"{i}{mark}" for i in range(ids) for mark in (",", "|", ";", "")], pa.large_string())
+
+
+def group_strings(group_a: np.ndarray, a: Tokens, group_b: np.ndarray, b: Tokens, text: np.ndarray, n: int, ids: int) -> pa.Array:
     """`a1,a2|b1;a3|b2,b3` for each text: the ids of its groups in order."""
     group = np.concatenate([group_a, group_b])
     side = np.concatenate([np.zeros(len(group_a), np.int8), np.ones(len(group_b), np.int8)])
-    ids = np.concatenate([a.ids.to_numpy(), b.ids.to_numpy()])
+    number = np.concatenate([a.ids.to_numpy(), b.ids.to_numpy()]).astype(np.int64)
     order = np.argsort(2 * group + side, kind="stable")
-    group, side, ids = group[order], side[order], ids[order]
-    if not len(ids):
+    group, side, number = group[order], side[order], number[order]
+    if not len(number):
         return pa.array([""] * n, pa.large_string())
     # What follows each id: the next id of its side, the other side, the next group, or the end of its text.
     same = group[1:] == group[:-1]
-    sign = np.full(len(ids), 2)
+    sign = np.full(len(number), 2)
     sign[:-1] = np.where(same & (side[1:] == side[:-1]), 0, np.where(same, 1, 2))
     sign[:-1][text[group[1:]] != text[group[:-1]]] = 3
     sign[-1] = 3
-    marks = pa.array([",", "|", ";", ""], pa.large_string()).take(pa.array(sign))
-    words = pc.binary_join_element_wise(pa.array(ids).cast(pa.large_string()), marks, pa.scalar("", pa.large_string()))
-    counts = np.bincount(text[group], minlength=n)
-    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)])), words)
-    return pc.binary_join(lists, pa.scalar("", pa.large_string()))
+    words = _words(ids).take(pa.array(number * 4 + sign))
+    # The words of a text follow each other in memory: its string is a piece of it.
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    ends = offsets[np.concatenate([[0], np.cumsum(np.bincount(text[group], minlength=n))])]
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends.astype(np.int64).tobytes()), words.buffers()[2])
 
 
-def _joined(tokens: list[bytes], encoded: np.ndarray) -> bytes:
-    return b"".join([tokens[i] for i in encoded.tolist()])
+def spelled(vocabulary: pa.Array, encoded: list[np.ndarray], wholes: list[bytes]) -> np.ndarray:
+    """Whether the bytes of each text's tokens are the text's."""
+    flat = np.concatenate([np.zeros(0, np.int32), *encoded])
+    joined = vocabulary.take(pa.array(flat))
+    offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(flat) + 1]
+    ends = offsets[np.concatenate([[0], np.cumsum([len(ids) for ids in encoded])]).astype(np.int64)]
+    data = joined.buffers()[2].to_pybytes() if len(flat) else b""
+    return np.array([data[low:high] == whole for low, high, whole in zip(ends, ends[1:], wholes)], bool)
 
 
 def aligned(frame: DataFrame, file_a: str, file_b: str, text: str = "text", key: str = "doc_id", row_pairs: int = ROW_PAIRS) -> DataFrame:
@@ -118,27 +143,26 @@ def aligned(frame: DataFrame, file_a: str, file_b: str, text: str = "text", key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = byte_bpe(file_a), piece_bpe(file_b)
         size_a, size_b = (np.array([len(t) for t in model.bytes], np.int64) for model in (first, second))
+        bytes_a, bytes_b = (pa.array(model.bytes, pa.large_binary()) for model in (first, second))
         none = np.zeros(0, np.int32)
         for batch in batches:
             for piece in grams.pieces(batch.column(2)):
                 n = len(piece)
-                encoded_a, encoded_b = [none] * n, [none] * n
-                for i in range(n):
-                    value = batch.column(2)[piece.first + i].as_py()
-                    if not value:
-                        continue
-                    ids_a, ids_b, whole = first.encode(" " + value), second.encode(value), (" " + value).encode()
-                    if _joined(first.bytes, ids_a) == whole and _joined(second.bytes, ids_b) == whole:
-                        encoded_a[i], encoded_b[i] = ids_a, ids_b
+                values = [value or "" for value in batch.column(2).slice(piece.first, n).to_pylist()]
+                wholes = [(" " + value).encode() if value else b"" for value in values]
+                encoded_a = [first.encode(" " + value) if value else none for value in values]
+                encoded_b = [second.encode(value) if value else none for value in values]
+                right = spelled(bytes_a, encoded_a, wholes) & spelled(bytes_b, encoded_b, wholes)
+                encoded_a, encoded_b = ([ids if yes else none for ids, yes in zip(e, right)] for e in (encoded_a, encoded_b))
                 a, b = Tokens(encoded_a, size_a), Tokens(encoded_b, size_b)
                 ends = common_ends(a, b)
                 of = ends >> _SHIFT
                 group_a, group_b = np.searchsorted(ends, a.key.to_numpy()), np.searchsorted(ends, b.key.to_numpy())
-                pairs = linked(group_a, a, group_b, b, of)
+                pairs = linked(group_a, a, group_b, b, of, len(second.bytes))
                 product = np.bincount(group_a, minlength=len(ends)) * np.bincount(group_b, minlength=len(ends))
                 links = np.zeros(n, np.int64)
                 np.add.at(links, of, product)
-                strings = group_strings(group_a, a, group_b, b, of, n)
+                strings = group_strings(group_a, a, group_b, b, of, n, max(len(first.bytes), len(second.bytes)))
                 at = np.searchsorted(pairs["text"].to_numpy(), np.arange(n + 1))
                 rows = [(i, p, lo) for i in range(n) for p, lo in enumerate(range(at[i], max(at[i + 1], at[i] + 1), row_pairs))]
                 owner, part, low = (np.array(x, np.int64) for x in zip(*rows))
@@ -169,8 +193,11 @@ def aligned(frame: DataFrame, file_a: str, file_b: str, text: str = "text", key:
     return made.withColumnRenamed("key", key)
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
-    """(pair, n_docs, best): how many documents hold each linked pair of ids, and whether no pair of its A id has more."""
+def pair_counts(links: DataFrame, ids_b: int) -> DataFrame:
+    """(pair, n_docs, best): how many documents hold each linked pair of ids, and whether no pair of its A id has more.
+
+    `ids_b` is the number of ids that pairs were numbered with.
+    """
 
     def run(batches):
         for batch in batches:
@@ -181,8 +208,9 @@ def pair_counts(links: DataFrame) -> DataFrame:
     counts = links.select("pairs").mapInArrow(run, "pair long, n_docs long").groupBy("pair").agg(F.sum("n_docs").alias("n_docs"))
     counts = stored(counts, "alignment-counts")
     # One row per id of vocabulary A.
-    most = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n_docs").alias("most"))
-    joined = counts.withColumn("a", F.shiftright("pair", 32)).join(most, "a")
+    counts = counts.withColumn("a", F.floor(F.col("pair") / ids_b))
+    most = counts.groupBy("a").agg(F.max("n_docs").alias("most"))
+    joined = counts.join(most, "a")
     return stored(joined.select("pair", "n_docs", (F.col("n_docs") == F.col("most")).alias("best")), "alignment-counts")
 
 
@@ -207,7 +235,7 @@ def align(
     spark = frame.sparkSession
     made = aligned(frame, file_a, file_b, text, key, row_pairs).withColumnRenamed(key, "key")
     links = stored(made.withColumn("groups", F.when(F.col("groups") == "", F.lit("")).otherwise(keep(F.col("groups")))), "alignment-links")
-    counts = pair_counts(links)
+    counts = pair_counts(links, len(piece_bpe(file_b).bytes))
     total = counts.agg(F.sum("n_docs")).first()[0] or 0
     above = F.col("n_docs") * F.lit(frequent) > F.lit(total)
     hot = counts.filter(above).orderBy("pair").toPandas()
