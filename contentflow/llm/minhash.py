@@ -186,17 +186,18 @@ def _remaining_pairs(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(frame: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
-    """(key, row1, row2, n_shingles, component_id, kept) for each row of the frame, see `locator` for row1 and row2.
+    """(key, row1, row2, n_shingles, component_id, kept, first) for each row of the frame, see `locator` for row1 and row2.
 
     A text is the set of its distinct shingles. Rows with equal sets are one node, so copies never meet in pairs. Nodes
-    that share a bucket form a star around its smallest node; its pairs are confirmed on the whole sets, and confirmed
-    pairs are links. A group of near copies so costs as many pairs as it has members. Where a bucket then still holds nodes
+    that share a bucket form a star around the one that shares buckets with the most others; its pairs are confirmed on the whole
+    sets, and confirmed pairs are links. A group of near copies so costs as many pairs as it has members. Where a bucket then still holds nodes
     of several components, links between two nodes that are not its centre may be missing: a prefix join of these
     nodes' sets finds every such link between components, see `_remaining_pairs`.
 
     component_id is the smallest key reachable over links, kept says whether it is the row's own. Null and empty texts
-    have no shingles and no links. Null keys are never the smallest unless all are null. Rows that repeat a key and
-    set are each kept; `keep_one` takes one of them. The frame may have any other columns.
+    have no shingles and no links. Null keys are never the smallest unless all are null. Rows of one component that repeat its
+    smallest key are each kept; first names one row of the component, that with the smallest key and locator, and every row without
+    shingles. Very long texts are sets like others. An empty table gives an empty result. The frame may have any other columns.
     """
     rows = stored(_described(frame, text, key, shingle), "minhash-rows")
     grouped = rows.filter("set is not null").groupBy("set").agg(
@@ -209,8 +210,12 @@ def near_duplicates(frame: DataFrame, text: str = "text", key: str = "doc_id", s
         "minhash-nodes",
     )
     buckets = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("members")).filter("members > 1")
-    members = stored(buckets.join(shared.select("bucket", "centre"), "bucket"), "minhash-members")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = stored(buckets.join(sizes, "bucket"), "minhash-shared")
+    # The node that meets the most others: the text that a group's near copies were made from, if it is there.
+    popular = shared.join(shared.groupBy("node").agg(F.sum("members").alias("met")), "node")
+    centres = popular.groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("met"), "node")).alias("centre"))
+    members = stored(shared.select("bucket", "node").join(centres, "bucket"), "minhash-members")
 
     wanted = members.select("node").distinct().join(nodes.select("node", "set", "row1", "row2"), "node")
     sets = stored(_sets(frame, wanted, text, key, shingle), "minhash-sets")
@@ -228,13 +233,15 @@ def near_duplicates(frame: DataFrame, text: str = "text", key: str = "doc_id", s
     if not more.isEmpty():
         found = components(links.union(more))
 
-    labelled = nodes.select("node", "set", "key").join(found, "node", "left")
-    smallest = labelled.filter("component is not null").groupBy("component").agg(F.min("key").alias("smallest"))
-    labelled = labelled.join(smallest, "component", "left").select("set", F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("smallest")).alias("component_id"))
+    own = F.struct(F.col("key").isNull().alias("none"), "key", "row1", "row2")
+    labelled = nodes.select("node", "set", own.alias("own")).join(found, "node", "left")
+    smallest = labelled.filter("component is not null").groupBy("component").agg(F.min("own").alias("smallest"))
+    labelled = labelled.join(smallest, "component", "left").select("set", F.coalesce("smallest", "own").alias("least"))
     done = rows.select("key", "row1", "row2", "n_shingles", "set").join(labelled, "set", "left")
-    identity = F.when(F.col("set").isNull(), F.col("key")).otherwise(F.col("component_id"))
+    identity = F.when(F.col("set").isNull(), F.col("key")).otherwise(F.col("least.key"))
     done = done.withColumn("component_id", identity).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
-    return done.select(F.col("key").alias(key), "row1", "row2", "n_shingles", "component_id", "kept")
+    first = F.col("set").isNull() | ((F.col("row1") == F.col("least.row1")) & (F.col("row2") == F.col("least.row2")))
+    return done.select(F.col("key").alias(key), "row1", "row2", "n_shingles", "component_id", "kept", first.alias("first"))
 
 
 def _sets(frame: DataFrame, wanted: DataFrame, text: str, key: str, size: int) -> DataFrame:
@@ -252,7 +259,7 @@ def _sets(frame: DataFrame, wanted: DataFrame, text: str, key: str, size: int) -
 
 
 def keep_one(frame: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows of the frame that `near_duplicates` keeps, one of those that repeat key and text."""
+    """One row of each component, and the rows without shingles; of those that repeat key and text one."""
     rows = frame.withColumns(dict(zip(("_row1", "_row2"), locator(text, key))))
-    kept = found.filter("kept").select(F.col("row1").alias("_row1"), F.col("row2").alias("_row2"))
+    kept = found.filter("first").select(F.col("row1").alias("_row1"), F.col("row2").alias("_row2"))
     return rows.join(kept, ["_row1", "_row2"], "left_semi").dropDuplicates(["_row1", "_row2"]).select(*frame.columns)

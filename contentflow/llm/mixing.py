@@ -11,6 +11,10 @@ from contentflow.llm.folders import stored, unused
 
 #: Rows that one task rounds together. Each such group leaves one undecided row at most for the level above.
 GROUP_ROWS = 500
+#: A group of so many times these rows holds rows that repeat each other, and is divided by place.
+CROWDED = 4
+#: The part of a group's open words from which a row is large: it is decided as long as the others can make up for it.
+LARGE = 0.03
 
 
 def source_targets(
@@ -60,8 +64,11 @@ def _round_group(size: np.ndarray, part: np.ndarray, luck: np.ndarray) -> np.nda
     with the probability of its fraction, and they give what it takes; or it goes to 0, and they take what it gives.
     Shares are such that every row's expected fraction stays, and the sum of size * fraction never changes. Rows
     for which the smaller ones do not suffice then meet in pairs: mass moves until one of the two is whole.
+
+    A large row for which the others can make up one way only goes that way: else the sum would be off by a part of it.
     """
     part = _settled(part.copy())
+    large = LARGE * float((size * part)[(part > 0.0) & (part < 1.0)].sum())
     for j in range(len(part)):
         p = part[j]
         if not 0.0 < p < 1.0:
@@ -71,6 +78,12 @@ def _round_group(size: np.ndarray, part: np.ndarray, luck: np.ndarray) -> np.nda
         can = words * np.minimum(q / (1.0 - p), (1.0 - q) / p)
         total = np.cumsum(can)
         if not len(total) or total[-1] < size[j]:
+            give, take = words * q, words * (1.0 - q)
+            up, down = give.sum() >= (1.0 - p) * size[j], take.sum() >= p * size[j]
+            if up != down and size[j] > large:
+                share = -give / give.sum() * (1.0 - p) if up else take / take.sum() * p
+                part[others] = _settled(np.clip(part[others] + share * size[j] / words, 0.0, 1.0))
+                part[j] = 1.0 if up else 0.0
             continue
         last = int(np.searchsorted(total, size[j]))
         can = can[: last + 1]
@@ -108,13 +121,16 @@ def mix(
     level, until a source has one left, which its own draw decides. What a source takes differs from its target by less
     than that row's size. All draws are hashes of `identity`, the size and the seed: repeated runs agree.
 
-    Null sources are a source. Null or zero sizes never change the sum, their fraction is drawn alone. Equal rows are
-    interchangeable. Other columns stay; the three added ones are replaced. An empty table gives an empty result.
+    Null sources are a source. Null or zero sizes never change the sum, their fraction is drawn alone. Rows that repeat identity and
+    size are interchangeable; where they crowd a group, as many null identities do, its rows are divided by their place in the
+    table, so a group never holds many more rows than `group_rows`. Other columns stay; the three added ones are replaced. An empty table gives an empty result.
     """
     frame = frame.drop("source_size", "target", "copies")
     columns = frame.columns
+    place = unused(frame, "place")
+    frame = frame.withColumn(place, F.monotonically_increasing_id())
     part, group, luck, n_rows = (unused(frame, n) for n in ("part", "group", "luck", "n_rows"))
-    key = unused(frame, "source_key")
+    key, crowd, parts = (unused(frame, n) for n in ("source_key", "crowd", "parts"))
     facts = targets.select(
         F.col("source").alias(key), "source_size", F.col("n_rows").alias(n_rows), F.col("target").cast("double").alias("target")
     )
@@ -145,6 +161,14 @@ def mix(
         groups = -(-largest // group_rows)
         ways = F.greatest(F.lit(1), F.ceil(F.col(n_rows) / F.lit(float(group_rows) ** depth))).cast("long")
         dealt = level.withColumn(group, F.pmod(F.xxhash64(F.lit(seed + depth), *identity, luck), ways))
+        crowds = dealt.groupBy(F.col(source).alias(key), F.col(group).alias(crowd)).agg(F.count("*").alias(parts)).filter(F.col(parts) > CROWDED * group_rows)
+        crowds = stored(crowds, "mix-crowds")
+        if not crowds.isEmpty():
+            # A number of its own for each part, beyond those of the groups.
+            split = F.pmod(F.xxhash64(F.lit(seed + depth), place), F.ceil(F.col(parts) / group_rows).cast("long"))
+            dealt = dealt.join(crowds, F.col(source).eqNullSafe(F.col(key)) & (F.col(group) == F.col(crowd)), "left")
+            dealt = dealt.withColumn(group, F.when(F.col(parts).isNull(), F.struct(F.col(group).alias("g"), F.lit(-1).cast("long").alias("p"))).otherwise(F.struct(F.col(group).alias("g"), split.alias("p"))))
+            dealt = dealt.drop(key, crowd, parts)
         after = dealt.groupBy(source, group).applyInArrow(rounded, schema)
         after = stored(after, "mix-level")
         whole = (F.col(part) <= 0.0) | (F.col(part) >= 1.0)
