@@ -102,8 +102,91 @@ def _offset_seconds(zone: Column) -> Column:
     return F.when(zone == "", 0).when(zone.rlike("^[+-]"), numeric).otherwise(named)
 
 
+# Free forms are read by what their parts are, wherever these stand. A time of day, with or without its half:
+_TIME = r"(?<![0-9:])([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}(?:\.[0-9]{1,6})?)[0-9]*)?(?: ?([ap])\.?m\b\.?)?(?![0-9:])"
+_HOUR = r"(?<![0-9:])([0-9]{1,2}) ?([ap])\.?m\b\.?"
+_FREE_ZONE = r"^ ?([+-][0-9]{2}:?[0-9]{2}|[a-z]{1,5})(?![a-z0-9])"
+_MONTH_NAME = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+# What may stand between the parts, and says nothing.
+_FILLER = r"\b(?:mon(?:day)?|tue(?:s|sday)?|wed(?:nesday)?|thu(?:rs|rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?|at|on|of|the)\b\.?"
+_LONGEST = 64
+
+
+def _free_form(text: Column) -> Column:
+    """The fields of a date in a free form, as `_moment` takes them; NULL for anything that is not wholly understood.
+
+    Day and month: a written month is the month, and the number before a written year, or the first one, the day. Three
+    numbers are year, month, day if the first has four digits or is above 31, else month, day, year, unless that
+    month is above 12: then the day comes first. Years of two digits are those from 1969 to 2068. A date needs all three parts.
+    """
+
+    def of(low: Column) -> Column:
+        time, hour = F.regexp_extract(low, _TIME, 0), F.regexp_extract(low, _HOUR, 0)
+        return let(F.when(time != "", time).otherwise(hour), lambda clock: behind(low, clock))
+
+    def behind(low: Column, clock: Column) -> Column:
+        # A zone stands right behind the time.
+        at = F.instr(low, clock)
+        after = F.substring(low, at + F.length(clock), F.length(low))
+        word = F.regexp_extract(after, _FREE_ZONE, 1)
+        is_zone = (clock != "") & (word != "") & ~word.rlike(rf"^(?:{_MONTH_NAME})$") & ~word.rlike(f"^{_FILLER}$")
+        left = F.struct(
+            F.when(is_zone, word).otherwise("").alias("zone"),
+            F.when(clock == "", low).otherwise(F.concat(
+                F.substring(low, F.lit(1), at - 1), F.lit(" "), F.when(is_zone, F.regexp_replace(after, _FREE_ZONE, "")).otherwise(after),
+            )).alias("rest"),
+        )
+        return let(left, lambda found: date_of(clock, found["zone"], found["rest"]))
+
+    def date_of(clock: Column, zone: Column, rest: Column) -> Column:
+        a_month = rf"(?<![a-z])({_MONTH_NAME})(?![a-z])"
+        plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, a_month, " "), _FILLER, " "), "(?<=[0-9])(?:st|nd|rd|th)\\b", " ")
+        parts = F.struct(
+            F.substring(F.regexp_extract(rest, a_month, 1), 1, 3).alias("month"),
+            F.regexp_extract_all(plain, F.lit("[0-9]+"), F.lit(0)).alias("numbers"),
+            # Only separators may be left beside the numbers, and one month.
+            (~plain.rlike("[^0-9 ,./-]") & (F.regexp_count(rest, F.lit(a_month)) <= 1)).alias("understood"),
+        )
+        return let(parts, lambda p: let(ordered(p["month"], p["numbers"]), lambda date: F.when(p["understood"], fields(date, clock, zone))))
+
+    def ordered(month: Column, numbers: Column) -> Column:
+        one, two, three = (F.get(numbers, F.lit(n)) for n in range(3))
+
+        def big(n: Column) -> Column:
+            return (F.length(n) >= 3) | (n.try_cast("int") > 31)
+
+        def small(n: Column) -> Column:
+            return n.try_cast("int") <= 12
+
+        named = F.when(big(one), F.array(one, month, two)).otherwise(F.array(two, month, one))
+        counted = (
+            F.when(big(one) & ~small(two) & small(three), F.array(one, three, two))
+            .when(big(one), F.array(one, two, three))
+            .when(small(one), F.array(three, one, two))
+            .otherwise(F.array(three, two, one))
+        )
+        compact = F.array(F.substring(one, 1, 4), F.substring(one, 5, 2), F.substring(one, 7, 2))
+        return (
+            F.when((month != "") & (F.size(numbers) == 2), named)
+            .when((month == "") & (F.size(numbers) == 3), counted)
+            .when((month == "") & (F.size(numbers) == 1) & (F.length(one) == 8), compact)
+        )
+
+    def fields(date: Column, clock: Column, zone: Column) -> Column:
+        year, month, day = (F.get(date, F.lit(n)) for n in range(3))
+        century = F.when(F.length(year) != 2, year).when(year.try_cast("int") < 69, F.concat(F.lit("20"), year)).otherwise(F.concat(F.lit("19"), year))
+        half, hour = F.regexp_extract(clock, "([ap])\\.?m", 1), F.regexp_extract(clock, "^[0-9]+", 0).try_cast("int")
+        by_half = F.when(half == "", hour).when((hour < 1) | (hour > 12), None).otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
+        written = F.when(clock == "", "").otherwise(by_half.cast("string"))
+        minute, second = F.regexp_extract(clock, ":([0-9]{2})", 1), F.regexp_extract(clock, ":[0-9]{2}:([0-9.]+)", 1)
+        good = (F.length(century) == 4) & (F.length(day) <= 2) & written.isNotNull()
+        return F.when(good, F.array(F.lit(""), century, month, day, written, minute, second, zone))
+
+    return F.when(F.length(text) <= _LONGEST, let(F.lower(text), of))
+
+
 def parse_date(text: Column) -> Column:
-    """ISO 8601, RFC 2822, C `asctime` and `Month d, yyyy` dates as UTC; NULL for anything else.
+    """ISO 8601, RFC 2822, C `asctime` and `Month d, yyyy` dates as UTC, else free forms (`_free_form`); NULL for anything else.
 
     A time with an unknown zone name is read as UTC.
     """
@@ -111,7 +194,11 @@ def parse_date(text: Column) -> Column:
     for pattern, form in _FORMS:
         # A rewritten date starts with the mark, so no later pattern matches it again.
         rewritten = F.regexp_replace(rewritten, pattern, _MARK + form.replace(" ", _MARK))
-    return let(F.split(rewritten, _MARK, -1), _moment)
+
+    def read(r: Column) -> Column:
+        return F.when(F.startswith(r, F.lit(_MARK)), let(F.split(r, _MARK, -1), _moment)).otherwise(let(_free_form(r), _moment))
+
+    return let(rewritten, read)
 
 
 def first_date(*texts: Column) -> Column:

@@ -131,44 +131,64 @@ def needs_enrichment(content: Column, url: Column, enabled: bool = True) -> Colu
 # --- pages -------------------------------------------------------------------------------------
 
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-
+# References that pages also write without the semicolon: numbers, and the old names.
+_OLD_NAMES = sorted((name for name in html.entities.html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+_LOOSE_ENTITY = rf"&(?:#[0-9]{{1,7}};?|#[xX][0-9a-fA-F]{{1,6}};?|[A-Za-z][A-Za-z0-9]{{1,31}};|(?:{'|'.join(_OLD_NAMES)}))"
+
+# A tag: a name, then anything up to `>`, but a quoted value (behind a `=`) is taken whole. A quote that is
+# never closed is a character like others. All repetitions are possessive, so no text is read twice.
+_VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+')?+"""
+_TAG_REST = rf"(?:[^>=]++|{_VALUE})*+>"
 # What separates two text nodes of a page: whole script and style elements, comments, declarations, tags.
 _MARKUP = (
-    r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
+    rf"(?is)<script(?![^\s/>]){_TAG_REST}.*?(?:</script(?![^\s/>])[^>]*+>|\z)"
+    rf"|<style(?![^\s/>]){_TAG_REST}.*?(?:</style(?![^\s/>])[^>]*+>|\z)"
     r"|<!--.*?(?:-->|\z)"
-    r"|<[!?/]?[a-z][^>]*>"
+    r"|<[!?][a-z][^>]*+>"
+    rf"|</?[a-z]{_TAG_REST}"
 )
-_TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+# Elements whose content is text, whatever it looks like; only references count in it.
+_TEXT_ONLY = r"(?is)(?=<(?:textarea|title)(?![^\s/>]))|(?<=</textarea>|</title>)"
+_TITLE = rf"(?is)<title(?![^\s/>]){_TAG_REST}(.*?)</title\s*>"
 
 
 def _entity_names() -> Column:
-    """Map of `&name;` to its characters, as one folded literal."""
-    names = {f"&{name}": text for name, text in html.entities.html5.items() if name.endswith(";")}
+    """Map of `&name;`, and of the old names without `;`, to their characters, as one folded literal."""
+    names = {f"&{name}": text for name, text in html.entities.html5.items()}
     return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
 
+# Numbers from 128 to 159 mean the characters of Windows-1252.
+_CONTROLS = "".join(map(chr, range(128, 160)))
+_WINDOWS = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
+
+
 def _code_point(number: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.translate(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"), _CONTROLS, _WINDOWS)
 
 
 def _decode_one(entity: Column, names: Column) -> Column:
-    hexadecimal = F.conv(F.substring(entity, F.lit(4), F.length(entity) - 4), 16, 10).cast("bigint")
-    decimal = F.substring(entity, F.lit(3), F.length(entity) - 3).try_cast("bigint")
-    number = F.when(F.lower(F.substring(entity, 1, 3)) == "&#x", hexadecimal).otherwise(decimal)
+    digits = F.regexp_replace(entity, "^&#[xX]?|;$", "")
+    number = F.when(F.lower(F.substring(entity, 1, 3)) == "&#x", F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.try_cast("bigint"))
     usable = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    # An old name may be the beginning of a longer word.
+    old = F.regexp_extract(entity, rf"^&(?:{'|'.join(_OLD_NAMES)})", 0)
+    older = F.concat(F.element_at(names, non_empty(old)), F.substring(entity, F.length(old) + 1, F.length(entity)))
     return (
-        F.when(~F.startswith(entity, F.lit("&#")), F.element_at(names, entity))
+        F.when(~F.startswith(entity, F.lit("&#")), F.coalesce(F.element_at(names, entity), older))
         .when(usable, _code_point(number))
         .otherwise(F.lit("�"))
     )
 
 
-def decode_entities(c: Column) -> Column:
-    """Decode every character reference once, in one pass, so `&amp;lt;` becomes `&lt;`."""
-    names = _entity_names()
-    between = F.split(c, _ENTITY, -1)
-    found = F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0))
+def decode_entities(c: Column, loose: bool = False) -> Column:
+    """Decode every character reference once, in one pass, so `&amp;lt;` becomes `&lt;`.
+
+    `loose` also reads those that do not end with `;`, as browsers do in texts.
+    """
+    names, pattern = _entity_names(), _LOOSE_ENTITY if loose else _ENTITY
+    between = F.split(c, pattern, -1)
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     pieces = F.zip_with(
         between,
         found,
@@ -179,14 +199,36 @@ def decode_entities(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
 
 
+def _without_inner_tags(page: Column) -> Column:
+    """The page with every `<` inside text-only elements written as a reference."""
+
+    def part(text: Column) -> Column:
+        inside = F.regexp_replace(text, r"(?is)(?<!^)<(?!/(?:textarea|title)\s*>)", "&lt;")
+        return F.when(text.rlike(r"(?is)^<(?:textarea|title)(?![^\s/>])"), inside).otherwise(text)
+
+    return F.when(page.rlike(r"(?i)<(?:textarea|title)(?![^\s/>])"), F.array_join(F.transform(F.split(page, _TEXT_ONLY, -1), part), "")).otherwise(page)
+
+
 def page_title(page: Column) -> Column:
     title = non_empty(F.regexp_extract(page, _TITLE, 1))
-    return F.coalesce(decode_entities(title), F.lit("No title"))
+    return F.coalesce(decode_entities(title, loose=True), F.lit("No title"))
 
 
 def page_text(page: Column) -> Column:
-    """Stripped text nodes, one per line, without script, style, comments and declarations."""
-    nodes = F.transform(F.split(page, _MARKUP, -1), lambda node: strip(decode_entities(node)))
+    """Stripped text nodes, one per line, without script, style, comments and declarations.
+
+    Tags end where a browser ends them: a `>` in a quoted value is part of the tag. What stands in a `textarea` or a `title` is
+    text, even if it looks like tags.
+    """
+
+    def readable(whole: Column) -> Column:
+        # Behind the last `>` no tag ends: not looking for one there keeps many openings from being read to the end each.
+        tail = F.substring_index(whole, ">", -1)
+        closed = F.substring(whole, F.lit(1), F.length(whole) - F.length(tail))
+        return F.concat(closed, F.regexp_replace(tail, "<(?!!--)", "&lt;"))
+
+    markup = let(_without_inner_tags(page), readable)
+    nodes = F.transform(F.split(markup, _MARKUP, -1), lambda node: strip(decode_entities(node, loose=True)))
     lines = F.array_join(F.filter(nodes, lambda node: node != ""), "\n")
     return F.coalesce(lines, F.lit(""))
 

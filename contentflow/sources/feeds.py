@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contentflow import schema
 from contentflow.functions.dates import first_date
 from contentflow.functions.text import entry_guid, entry_url, non_empty, pick_content
+from contentflow.sources import recovery
 
 _LINK = "array<struct<_VALUE:string,_href:string,_rel:string,_type:string>>"
 # RSS names a person in the element itself, Atom in an element below it.
@@ -21,7 +22,10 @@ _ENTRY = f"""array<struct<
 _HEAD = f"title:string, description:string, subtitle:string, author:{_PERSON}, link:{_LINK}"
 # RSS keeps everything under <channel>, RDF the items beside it, Atom under the root.
 _BODY = f"""channel struct<{_HEAD}, item:{_ENTRY}>, item {_ENTRY}, entry {_ENTRY},
-    title string, subtitle string, author {_PERSON}, link {_LINK}"""
+    title string, subtitle string, author {_PERSON}, link {_LINK}, _broken string"""
+# The strict parser's options: a body that it does not take stands in `_broken`.
+_OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+_ENTRY_STRUCT = _ENTRY.strip().removeprefix("array<").removesuffix(">")
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
@@ -40,8 +44,10 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parsed(bodies: DataFrame) -> DataFrame:
-    options = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE"}
-    return bodies.withColumn("doc", F.from_xml("body", _BODY, options)).drop("body")
+    """`doc`, what the strict parser reads, and `broken`: whether it takes the body as no XML."""
+    parsed = bodies.withColumn("doc", F.from_xml("body", _BODY, _OPTIONS)).withColumn("broken", F.col("doc._broken").isNotNull())
+    # What the parser made of a broken body before it gave up is not used.
+    return parsed.withColumn("doc", F.when(~F.col("broken"), F.col("doc")))
 
 
 def _main_link(links: Column) -> Column:
@@ -71,13 +77,19 @@ def _links(entry: Column) -> Column:
 def raw_entries(bodies: DataFrame) -> DataFrame:
     """One row per entry of (feed, page, body): raw texts, links, and its place in the feed.
 
-    `page` orders several bodies of one feed. A body that is no XML has no entries.
+    `page` orders several bodies of one feed. Entries of a body that is no well-formed XML are recovered one by one, see
+    `recovery`; a body that is no feed has none, and stands in `feed_problems`.
     """
     doc = F.col("doc")
-    entries = F.concat(
+    strict = F.concat(
         *[F.coalesce(e, F.array().cast(_ENTRY)) for e in (doc["channel"]["item"], doc["item"], doc["entry"])]
     )
-    exploded = _parsed(bodies).select("feed", "page", F.posexplode(entries).alias("at", "entry"))
+    whole = F.transform(strict, lambda e: F.struct(e.alias("entry"), F.lit(None).cast("string").alias("item")))
+    cut = F.transform(recovery.items(F.col("body")), lambda item: F.struct(F.lit(None).cast(_ENTRY_STRUCT).alias("entry"), item.alias("item")))
+    found = F.when(F.col("broken"), cut).otherwise(whole)
+    exploded = _parsed(bodies).select("feed", "page", F.posexplode(found).alias("at", "one")).select("feed", "page", "at", "one.*")
+    recovered = F.from_xml(recovery.entry_xml(F.col("item")), _ENTRY_STRUCT, _OPTIONS)
+    exploded = exploded.withColumn("entry", F.when(F.col("item").isNotNull(), recovered).otherwise(F.col("entry")))
     e = F.col("entry")
     contents = F.concat(
         F.filter(F.array(e["content:encoded"]), lambda v: v.isNotNull()),
@@ -140,14 +152,22 @@ def podcast_entries(entries: DataFrame) -> DataFrame:
 
 def feed_heads(bodies: DataFrame) -> DataFrame:
     """Title, description, author and site of each feed, with the defaults for missing ones."""
-    doc = F.col("doc")
-    heads = _parsed(bodies).select(
+    doc, head = F.col("doc"), F.col("head")
+    recovered = F.when(F.col("broken"), F.from_xml(recovery.head_xml(F.col("body")), f"struct<{_HEAD}>", _OPTIONS))
+    heads = _parsed(bodies).withColumn("head", recovered).select(
         "feed",
-        F.coalesce(doc["channel"]["title"], doc["title"], F.col("feed")).alias("title"),
-        F.coalesce(doc["channel"]["description"], doc["subtitle"], F.lit("")).alias("description"),
-        F.coalesce(_person(doc["channel"]["author"]), _person(doc["author"]), F.lit("")).alias("author"),
-        F.coalesce(_main_link(doc["channel"]["link"]), _main_link(doc["link"]), F.lit("")).alias("website_url"),
+        F.coalesce(doc["channel"]["title"], doc["title"], head["title"], F.col("feed")).alias("title"),
+        F.coalesce(doc["channel"]["description"], doc["subtitle"], head["description"], head["subtitle"], F.lit("")).alias("description"),
+        F.coalesce(*(_person(h["author"]) for h in (doc["channel"], doc, head)), F.lit("")).alias("author"),
+        F.coalesce(*(_main_link(h["link"]) for h in (doc["channel"], doc, head)), F.lit("")).alias("website_url"),
     )
     # Several bodies of one feed carry the same head: keep one of them, always the same.
     fields = ("title", "description", "author", "website_url")
     return heads.groupBy("feed").agg(F.min(F.struct(*fields)).alias("head")).select("feed", "head.*")
+
+
+def feed_problems(bodies: DataFrame) -> DataFrame:
+    """(feed, error) of the feeds none of whose bodies is a feed: these polls failed, they did not find the feed empty."""
+    told = bodies.select("feed", recovery.complaint(F.col("body")).alias("error"))
+    told = told.groupBy("feed").agg(F.max("error").alias("error"), F.bool_or(F.col("error").isNull()).alias("readable"))
+    return told.filter(~F.col("readable")).select("feed", "error")
