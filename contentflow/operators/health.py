@@ -59,14 +59,14 @@ def _carried(chunks: DataFrame, feed: str, before_log: DataFrame | None, count:
     return sums.withColumn("carry", carry + F.when(reset_before, 0).otherwise(stored))
 
 
-def error_runs(
+def error_summaries(
     attempts: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id",
-    mute_after: int = V.MUTE_AFTER_ERRORS, before: DataFrame | None = None, chunk: str | Column = "day",
+    mute_after: int = V.MUTE_AFTER_ERRORS, chunk: str | Column = "day",
 ) -> DataFrame:
-    """Per feed: consecutive errors at the end, and where the run reached the mute limit.
+    """What a feed's chunk says about its errors, whatever comes before it.
 
-    An `error` adds one, an `ok` starts over, an `empty` check changes nothing. A muted feed keeps the
-    count it was muted with. `before` (feed, error_count) holds the counts from which the log goes on.
+    Summaries of a feed's chunks are all that its result needs: chunks may be summed up at any time and in any order, as long
+    as a chunk is summed up as a whole.
     """
     error, ok = F.col("outcome") == "error", F.col("outcome") == "ok"
     text = F.col("error") if "error" in attempts.columns else F.lit(None).cast("string")
@@ -79,13 +79,19 @@ def error_runs(
     leading = F.collect_list(
         F.when(error & before_reset & (F.col("run") <= mute_after), F.struct(F.col("run").alias("nth"), place.alias("at")))
     )
-    summaries = rows.groupBy(feed, "chunk").agg(
+    return rows.groupBy(feed, "chunk").agg(
         F.max("resets").alias("has_reset"),
         F.max_by("run", F.struct(ts, seq)).alias("tail"),
         F.array_sort(leading).alias("leading"),
         F.min(F.when(error & ~before_reset & (F.col("run") >= mute_after), place)).alias("inside"),
         F.max(F.when(error, place)).alias("last_error"),
     )
+
+
+def error_results(
+    summaries: DataFrame, *, feed: str = "feed", mute_after: int = V.MUTE_AFTER_ERRORS, before: DataFrame | None = None
+) -> DataFrame:
+    """The result of `error_runs` from the summaries of a feed's chunks."""
     carried = _carried(summaries, feed, before, "error_count")
     needed = (F.lit(mute_after) - F.col("carry")).cast("int")
     reached = F.when(F.col("carry") < mute_after, F.get("leading", needed - 1)["at"])
@@ -118,6 +124,19 @@ def error_runs(
     )
 
 
+def error_runs(
+    attempts: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id",
+    mute_after: int = V.MUTE_AFTER_ERRORS, before: DataFrame | None = None, chunk: str | Column = "day",
+) -> DataFrame:
+    """Per feed: consecutive errors at the end, and where the run reached the mute limit.
+
+    An `error` adds one, an `ok` starts over, an `empty` check changes nothing. A muted feed keeps the
+    count it was muted with. `before` (feed, error_count) holds the counts from which the log goes on.
+    """
+    summaries = error_summaries(attempts, feed=feed, ts=ts, seq=seq, mute_after=mute_after, chunk=chunk)
+    return error_results(summaries, feed=feed, mute_after=mute_after, before=before)
+
+
 def attempts_made(
     attempts: DataFrame, runs: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id"
 ) -> DataFrame:
@@ -130,25 +149,28 @@ def attempts_made(
     return joined.filter(F.col("muted_at").isNull() | in_time).drop("muted_at", "muted_seq")
 
 
-def empty_runs(
+def empty_summaries(
     attempts: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id",
-    warn_after: int = V.WARN_AFTER_EMPTY, before: DataFrame | None = None, chunk: str | Column = "day",
+    warn_after: int = V.WARN_AFTER_EMPTY, chunk: str | Column = "day",
 ) -> DataFrame:
-    """Per feed: consecutive empty checks at the end, the longest run, and checks over the warning limit.
-
-    `before` (feed, no_entries_count) holds the counts from which the log goes on.
-    """
+    """What a feed's chunk says about its empty checks, whatever comes before it."""
     empty = F.col("outcome") == "empty"
     log = attempts.select(feed, ts, seq, "outcome")
     rows = _runs(_chunked(log, ts, chunk), feed, [ts, seq], empty, ~empty)
     before_reset = F.col("at_reset").isNull()
-    summaries = rows.groupBy(feed, "chunk").agg(
+    return rows.groupBy(feed, "chunk").agg(
         F.max("resets").alias("has_reset"),
         F.max_by("run", F.struct(ts, seq)).alias("tail"),
         F.coalesce(F.max(F.when(before_reset, F.col("run"))), F.lit(0)).alias("leading"),
         F.max("run").alias("longest"),
         F.count_if(empty & ~before_reset & (F.col("run") > warn_after)).alias("warned_inside"),
     )
+
+
+def empty_results(
+    summaries: DataFrame, *, feed: str = "feed", warn_after: int = V.WARN_AFTER_EMPTY, before: DataFrame | None = None
+) -> DataFrame:
+    """The result of `empty_runs` from the summaries of a feed's chunks."""
     carry, leading = F.col("carry"), F.col("leading")
     over = F.greatest(carry + leading - warn_after, F.lit(0)) - F.greatest(carry - warn_after, F.lit(0))
     ends = _carried(summaries, feed, before, "no_entries_count").withColumns(
@@ -165,6 +187,18 @@ def empty_runs(
     )
 
 
+def empty_runs(
+    attempts: DataFrame, *, feed: str = "feed", ts: str = "ts", seq: str = "attempt_id",
+    warn_after: int = V.WARN_AFTER_EMPTY, before: DataFrame | None = None, chunk: str | Column = "day",
+) -> DataFrame:
+    """Per feed: consecutive empty checks at the end, the longest run, and checks over the warning limit.
+
+    `before` (feed, no_entries_count) holds the counts from which the log goes on.
+    """
+    summaries = empty_summaries(attempts, feed=feed, ts=ts, seq=seq, warn_after=warn_after, chunk=chunk)
+    return empty_results(summaries, feed=feed, warn_after=warn_after, before=before)
+
+
 def ingest_stats(new_rows: DataFrame, flag: str, *, parent: str = "feed", flag_as: str = "enriched_items") -> DataFrame:
     """Per parent: new rows, and how many of them were enriched (articles) or transcribed (episodes)."""
     return new_rows.groupBy(parent).agg(

@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contentflow.operators.buckets import BucketTable
+from contentflow.operators.key_store import seen
 from contentflow.operators.ranking import first_per_key
+from contentflow.operators.stages import conform
+from contentflow.operators.state import State
 
 
 def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
@@ -35,6 +39,36 @@ def backlog(children: DataFrame, new_rows: DataFrame, parent_key: str, *, proces
     return open_rows.join(touched, parent_key, "left_semi")
 
 
+def open_rows(
+    state: State, table: str, new_rows: DataFrame, parent_key: str, *, key: str = "guid"
+) -> DataFrame:
+    """The backlog from stored state: unprocessed children of the parents that got at least one new row in this run.
+
+    Children that are not processed yet lie in buckets of their parents. A run reads and rewrites the buckets of the parents it touches:
+    it adds the new rows and takes out those that have been processed since. What a run costs follows these parents'
+    open rows, not all children and all processed keys there ever were.
+    """
+    ddl = state._ddl(table, None)
+    waiting = BucketTable(state, f"{table}_open", parent_key, ddl)
+    done = f"{table}_processed"
+    if waiting.folders():
+        buckets, begin = waiting.touched(new_rows), None
+    else:
+        # The first time, what earlier runs have left open; later only the touched buckets.
+        begin = backlog(state.earlier(table), state.earlier(table), parent_key, processed=state.processed(table, key), key=key)
+        buckets = sorted({*waiting.touched(new_rows), *waiting.touched(begin)})
+
+    def change(stored: DataFrame) -> DataFrame:
+        rows = stored if begin is None else stored.unionByName(conform(begin, ddl))
+        finished = seen(state, done, rows, state.processed(table, key), key)
+        still = unseen(rows, finished, key).select(*rows.columns)
+        fresh = conform(new_rows, ddl).filter(~F.coalesce("processed", F.lit(False)))
+        return still.unionByName(fresh)
+
+    rows = waiting.rewrite(buckets, change)
+    return rows.join(new_rows.select(parent_key).distinct(), parent_key, "left_semi")
+
+
 def enrich(entries: DataFrame, external: DataFrame, needed: Column, *, key: str = "guid") -> DataFrame:
     """Replace content by the landed page text (`url`, `external_text`) when that is longer.
 

@@ -10,12 +10,13 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from contentflow import schema
 from contentflow import values as V
 from contentflow.functions.prompts import fill_prompt, parse_response, prompt_messages
 from contentflow.operators.known import unseen
+from contentflow.operators.state import State
 
 # messages and model parameters in, chat completion out
 Completer = Callable[[list[dict[str, str]], Mapping[str, Any]], Mapping[str, Any]]
@@ -110,6 +111,8 @@ def _caller(
 
 
 _ANSWER = "call_key string, response string, call_error string, calls int, elapsed_ms double"
+#: Calls of a task that are not stored yet, in expectation.
+CALLS_PER_TASK = 200
 
 
 def complete(
@@ -135,6 +138,59 @@ def complete(
     return calls.mapInPandas(_caller(make_completer, retries, retry_seconds), _ANSWER)
 
 
+def complete_in_waves(
+    state: State,
+    step: str,
+    requests: DataFrame,
+    make_completer: Callable[[], Completer],
+    *,
+    retries: int = V.MODEL_RETRIES,
+    retry_seconds: float = V.MODEL_RETRY_SECONDS,
+    concurrency: int = V.MODEL_CONCURRENCY,
+    limits: Mapping[str, int] | None = None,
+    calls_per_task: int = CALLS_PER_TASK,
+) -> DataFrame:
+    """Answers to all requests, one row per distinct call, asked in waves that are stored one after the other.
+
+    A wave holds at most `calls_per_task` calls for each task, in expectation, and its answers are stored under their call keys before the next
+    wave is asked. A lost task asks its part of one wave again, a lost driver the wave it was in: what is stored as a
+    good answer, by this run or an earlier one, is never asked for again. `limits` says how many tasks may call a
+    model (by model id) at a time; the models without a limit share `concurrency` tasks.
+    """
+    answers = f"{_ANSWER}, run_id string"
+    stored = state._read(f"{state.root}/{step}", answers)
+    good = stored.filter(F.col("response").isNotNull()).select("call_key", "response", "call_error", "calls", "elapsed_ms")
+    # Each start of a run has waves of its own, so that it never overwrites stored answers.
+    mine = stored.filter(F.startswith("run_id", F.lit(f"{state.run_id}.start"))).select("run_id").distinct().collect()
+    start = 1 + max((int(r["run_id"].rsplit(".start", 1)[1].split(".")[0]) for r in mine), default=0)
+
+    limits = dict(limits or {})
+    sizes = [*limits.values(), concurrency]
+    first = [sum(sizes[:i]) for i in range(len(sizes))]
+    spread = F.xxhash64(F.lit(5), "call_key")
+    task = F.lit(first[-1]) + F.pmod(spread, F.lit(concurrency))
+    for (model, tasks), at in zip(limits.items(), first):
+        task = F.when(F.col("model_id") == model, F.lit(at) + F.pmod(spread, F.lit(tasks))).otherwise(task)
+
+    calls = requests.select(call_key().alias("call_key"), "messages", "model_id", "params")
+    calls = unseen(calls, good, "call_key").withColumn("task", task.cast("int"))
+    path = f"{state.root}/_runs/{step}_calls/run_id={state.run_id}"
+    # The busiest task says how many waves there are.
+    busiest = calls.groupBy("task").agg(F.countDistinct("call_key").alias("n")).agg(F.max("n")).first()[0] or 0
+    waves = -(-busiest // calls_per_task)
+    if waves:
+        wave = F.pmod(F.xxhash64(F.lit(7), "call_key"), F.lit(waves)).cast("int")
+        calls.withColumn("wave", wave).write.partitionBy("wave").mode("overwrite").parquet(path)
+    listed = state.spark.read.schema(T.StructType([*calls.schema.fields, T.StructField("wave", T.IntegerType())])).parquet(path) if waves else None
+    call = _caller(make_completer, retries, retry_seconds)
+    for number in range(waves):
+        part = listed.filter(F.col("wave") == number).repartitionById(sum(sizes), F.col("task"))
+        asked = part.select("call_key", "messages", "model_id", "params").mapInPandas(call, _ANSWER)
+        state.of_run(f"{state.run_id}.start{start}.wave{number}").append(step, asked, _ANSWER)
+    now = state._read(f"{state.root}/{step}", answers).filter(F.startswith("run_id", F.lit(f"{state.run_id}.start{start}.")))
+    return now.select(*good.columns).unionByName(good)
+
+
 def with_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """Result rows: the requests with content, success, error and metrics of their call.
 

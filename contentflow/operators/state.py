@@ -1,9 +1,10 @@
-"""State tables in plain Parquet: children are appended per run, parents are rewritten as snapshots.
+"""State tables in plain Parquet: children are appended per run, small tables are rewritten as snapshots.
 
-Writing a run twice replaces what it wrote before. Parquet has no MERGE, so a parent table is a chain
+Writing a run twice replaces what it wrote before. Parquet has no MERGE, so a snapshot table is a chain
 of whole snapshots, and an append-only log names the current one; readers never see a half-written one. A root
 has one writer at a time: reading the newest version and appending the next is not one step.
-Children are only ever added, and what changes about them (being processed) is a log of keys.
+Parents lie in hash buckets (`buckets`), whose current folders are such a snapshot. Children are only ever added, and what
+changes about them (being processed) is a log of keys, with a key store for lookups (`key_store`).
 """
 
 from __future__ import annotations
@@ -22,6 +23,14 @@ class State:
     def __init__(self, spark: SparkSession, root: str, run_id: str) -> None:
         self.spark, self.root, self.run_id = spark, root.rstrip("/"), run_id
 
+    def of_run(self, run_id: str) -> State:
+        """The same tables, written by another run."""
+        return State(self.spark, self.root, run_id)
+
+    def has(self, table: str) -> bool:
+        """Whether an earlier run left a snapshot of the table."""
+        return self._standing(table)["other_run"] is not None
+
     def _read(self, path: str, ddl: str) -> DataFrame:
         try:
             return self.spark.read.schema(ddl).parquet(path)
@@ -55,7 +64,11 @@ class State:
         return self._read(f"{self.root}/{table}", f"{self._ddl(table, ddl)}, run_id string").drop("run_id")
 
     def mark_processed(self, table: str, keys: DataFrame, key: str) -> None:
-        self.append(f"{table}_processed", keys.select(F.col(key).alias("key")).distinct(), "key string")
+        """Log the keys, and add them to the store in which polls look them up."""
+        from contentflow.operators.key_store import remember
+
+        done = self.append(f"{table}_processed", keys.select(F.col(key).alias("key")).distinct(), "key string")
+        remember(self, f"{table}_processed", done, self.earlier(f"{table}_processed", "key string"), "key")
 
     def processed(self, table: str, key: str) -> DataFrame:
         return self.earlier(f"{table}_processed", "key string").withColumnRenamed("key", key)
@@ -73,21 +86,25 @@ class State:
             F.max_by(F.when(~own, F.col("run_id")), F.when(~own, F.col("version"))).alias("other_run"),
         ).first()
 
-    def snapshot(self, table: str) -> DataFrame:
-        """The parents that this run starts from: the newest snapshot before its own."""
+    def snapshot(self, table: str, ddl: str | None = None) -> DataFrame:
+        """The rows that this run starts from: the newest snapshot before its own, or the buckets that replaced it."""
         standing = self._standing(table)
         last = standing["other_run"]
         if standing["own"] is not None and standing["newest"] > standing["own"]:
             raise ValueError(f"run {self.run_id} of {table} is older than the current snapshot")
+        if ddl is None and table in schema.PARENT_KEYS and self.has(f"{table}_folders"):
+            from contentflow.operators.buckets import parents
+
+            return parents(self, table).read()
         if last is None:
-            return self.spark.createDataFrame([], self._ddl(table, None))
-        return self._read(f"{self.root}/{table}/snapshot={last}", self._ddl(table, None))
+            return self.spark.createDataFrame([], self._ddl(table, ddl))
+        return self._read(f"{self.root}/{table}/snapshot={last}", self._ddl(table, ddl))
 
-    def write_snapshot(self, table: str, rows: DataFrame) -> DataFrame:
+    def write_snapshot(self, table: str, rows: DataFrame, ddl: str | None = None) -> DataFrame:
         path = f"{self.root}/{table}/snapshot={self.run_id}"
-        conform(rows, self._ddl(table, None)).write.mode("overwrite").parquet(path)
+        conform(rows, self._ddl(table, ddl)).write.mode("overwrite").parquet(path)
         standing = self._standing(table)
         if standing["own"] is None:
             entry = self.spark.createDataFrame([(table, self.run_id, (standing["newest"] or 0) + 1)], _VERSIONS)
             entry.coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
-        return self._read(path, self._ddl(table, None))
+        return self._read(path, self._ddl(table, ddl))

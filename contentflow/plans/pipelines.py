@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from datetime import datetime
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -19,9 +20,12 @@ from contentflow.operators.health import (
     update_counters,
     with_health,
 )
-from contentflow.operators.known import backlog, new_parents
+from contentflow.operators.buckets import parents as parent_table
+from contentflow.operators.key_store import remember, seen
+from contentflow.operators.known import new_parents, open_rows
+from contentflow.operators.metrics import store_measured
 from contentflow.operators.models import (
-    Completer, Model, catalogue, combine, complete, fan_out, with_answers, with_prompts,
+    Completer, Model, catalogue, combine, complete_in_waves, fan_out, with_answers, with_prompts,
 )
 from contentflow.operators.note_files import NoteOptions, render_notes, write_notes
 from contentflow.operators.stages import as_results, conform, deliver, pass_failed
@@ -29,6 +33,7 @@ from contentflow.operators.state import State
 from contentflow.plans.articles import ingest_articles
 from contentflow.plans.episodes import select_episodes, to_episodes, with_transcripts
 from contentflow.plans.transcription import transcribe_items
+from contentflow.sources import feeds as feed_source
 from contentflow.sources.items import article_items, episode_items
 
 MakeCompleter = Callable[[], Completer]
@@ -41,12 +46,9 @@ _ATTEMPTS = "feed string, ts timestamp_ntz, attempt_id string, outcome string, e
 
 def apply_models(state: State, items: DataFrame, models: Sequence[Model], make_completer: MakeCompleter,
                  step: str = "answers", **options) -> DataFrame:
-    """Results per (item, model). Answers are stored per run; good ones of earlier runs are used again."""
+    """Results per (item, model). Answers are stored in waves; good ones that are stored are used again."""
     requests = with_prompts(fan_out(items, models), models)
-    earlier = state.earlier(step, _ANSWERS).filter(F.col("response").isNotNull())
-    fresh = complete(requests, make_completer, answered=earlier, **options)
-    answers = state.append(step, fresh, _ANSWERS).unionByName(earlier)
-    return with_answers(requests, answers)
+    return with_answers(requests, complete_in_waves(state, step, requests, make_completer, **options))
 
 
 def one_model(state: State, model: Model, make_completer: MakeCompleter, step: str = "answers", **options):
@@ -90,7 +92,8 @@ def text_to_notes(
 ) -> DataFrame:
     """Texts through one model into notes."""
     results = one_model(state, model or catalogue("gpt4o")[0], make_completer, **calls)(items)
-    return to_notes(state, state.append("results", results, schema.RESULT), vault, replace(notes, key_order=notes.key_order or V.TEXT_KEYS), as_of)
+    results = store_measured(state, "results", "results", results, schema.RESULT)
+    return to_notes(state, results, vault, replace(notes, key_order=notes.key_order or V.TEXT_KEYS), as_of)
 
 
 def poll_feeds(
@@ -104,7 +107,9 @@ def poll_feeds(
     first, so that their XML is parsed once.
     """
     entries, heads = state.keep("entries", entries), state.keep("heads", heads)
-    known = state.snapshot("feeds")
+    stored = parent_table(state, "feeds")
+    # Only the feeds of this poll are read and rewritten.
+    known = stored.matching(heads.select(F.col("feed").alias("url")).union(entries.select("feed")))
     candidates = heads.select(F.col("feed").alias("url"), "title", "description", "website_url")
     found = new_parents(candidates, known, "url", [F.col("title")])
     fresh = found.withColumns(
@@ -117,10 +122,12 @@ def poll_feeds(
     feeds = known.unionByName(fresh, allowMissingColumns=True)
     parents = feeds.withColumn("feed", F.col("url"))
 
+    earlier = state.earlier("articles")
     selected = ingest_articles(
-        entries, parents, state.earlier("articles"), as_of=as_of, external=external, **limits
+        entries, parents, seen(state, "articles", entries, earlier, "guid"), as_of=as_of, external=external, **limits
     )
-    articles = state.append("articles", selected)
+    articles = store_measured(state, "articles", "articles", selected)
+    remember(state, "articles", articles, earlier, "guid")
 
     open_feeds = parents.filter(~F.coalesce("muted", F.lit(False))).select("feed")
     checked = heads.select("feed").join(open_feeds, "feed", "left_semi")
@@ -141,17 +148,26 @@ def poll_feeds(
     attempts = state.append("attempts", log, _ATTEMPTS)
     stats = ingest_stats(articles, "enriched")
     counted = update_counters(feeds, stats, checked, as_of)
-    state.write_snapshot("feeds", with_health(counted, attempts, lambda runs: state.keep("health_runs", runs)))
+    feeds = stored.upsert(state.keep("feeds_now", with_health(counted, attempts, lambda runs: state.keep("health_runs", runs))))
 
     if emit == "new":
         emitted = articles
     elif emit == "backlog":
-        emitted = backlog(state.rows("articles"), articles, "feed", processed=state.processed("articles", "guid"))
+        emitted = open_rows(state, "articles", articles, "feed")
     else:
         raise ValueError(f"unknown emission {emit!r}")
     return article_items(emitted, feeds)
 
 
+def poll_bodies(state: State, bodies: DataFrame, *, as_of: datetime | str, **options) -> DataFrame:
+    """One poll of landed feed bodies (feed, page, body), see `poll_feeds`.
+
+    Bodies that are no well-formed XML give what can be read of them; feeds whose bodies are no feeds at all are failed polls.
+    """
+    entries, heads = feed_source.feed_entries(feed_source.raw_entries(bodies)), feed_source.feed_heads(bodies)
+    return poll_feeds(state, entries, heads, as_of=as_of, problems=feed_source.feed_problems(bodies), **options)
+
+
 def _feeds_with_recent(entries: DataFrame, as_of: datetime | str, lookback_days: float) -> DataFrame:
     recent = within_lookback(entries, "published_at", as_of, lookback_days)
     return recent.select("feed").distinct().withColumn("has_recent", F.lit(True))
@@ -168,7 +184,7 @@ def feeds_to_notes(
     compared = models or catalogue("gpt4o", "claude", "o3mini")
     results = compare_models(state, kept.drop("guid"), compared, make_completer, **calls)
     # Stored, because the note plan and the backlog read them several times.
-    results = state.append("results", results, schema.RESULT)
+    results = store_measured(state, "results", "results", results, schema.RESULT)
     done = to_notes(state, results, vault, replace(notes, key_order=notes.key_order or V.ARTICLE_KEYS), as_of)
     finished = done.filter("ok").join(results.filter("success").select("id"), "id", "left_semi")
     state.mark_processed("articles", finished.join(kept.select("id", "guid"), "id"), "guid")
@@ -190,20 +206,25 @@ def poll_podcasts(
 ) -> DataFrame:
     """One poll of the podcasts: stores new episodes, returns the items to work on."""
     entries, heads = state.keep("podcast_entries", entries), state.keep("podcast_heads", heads)
-    known = state.snapshot("podcasts")
+    stored = parent_table(state, "podcasts")
     candidates = heads.select(F.col("feed").alias("feed_url"), "title", "author")
+    known = stored.matching(candidates.select("feed_url").union(entries.select("feed")))
     fresh = new_parents(candidates, known, "feed_url", [F.col("title")]).withColumns(
         {"muted": F.lit(False), "created_at": utc(as_of), "updated_at": utc(as_of)}
     )
-    podcasts = state.write_snapshot("podcasts", known.unionByName(fresh, allowMissingColumns=True))
+    fresh = state.keep("podcasts_new", conform(fresh, schema.STATE["podcasts"]))
+    podcasts = known.unionByName(fresh)
+    stored.upsert(fresh)
+    earlier = state.earlier("episodes")
     selected = select_episodes(
-        entries, podcasts.withColumn("feed", F.col("feed_url")), state.earlier("episodes"), as_of=as_of,
-        lookback_days=lookback_days,
+        entries, podcasts.withColumn("feed", F.col("feed_url")), seen(state, "episodes", entries, earlier, "guid"),
+        as_of=as_of, lookback_days=lookback_days,
     )
     texts = with_transcripts(selected, transcripts, speech, required=transcript_required)
-    episodes = state.append("episodes", to_episodes(texts, as_of=as_of))
+    episodes = store_measured(state, "episodes", "episodes", to_episodes(texts, as_of=as_of))
     state.append("podcast_stats", episode_stats(episodes), _EPISODE_STATS)
-    emitted = backlog(state.rows("episodes"), episodes, "feed_url", processed=state.processed("episodes", "guid"))
+    remember(state, "episodes", episodes, earlier, "guid")
+    emitted = open_rows(state, "episodes", episodes, "feed_url")
     return episode_items(emitted, podcasts)
 
 
@@ -217,12 +238,12 @@ def podcasts_to_notes(
     kept = state.append("episode_items", items, f"{schema.ITEM}, guid string")
     audio = kept.filter(F.col("content_type") == "audio").drop("guid")
     spoken = transcribe_items(audio, speech, lambda step, answers: state.append(step, answers, _ANSWERS),
-                              make_completer if correct else None, **calls)
+                              make_completer if correct else None, ask=partial(complete_in_waves, state), **calls)
     ready = as_results(kept.filter(F.col("content_type") != "audio"))
     # Stored, because the good and the failed half are both read from it.
-    transcribed = state.append("transcripts", conform(spoken, schema.RESULT).unionByName(ready), schema.RESULT)
+    transcribed = store_measured(state, "transcripts", "transcripts", conform(spoken, schema.RESULT).unionByName(ready), schema.RESULT)
     summary = one_model(state, model or catalogue("claude")[0], make_completer, "summaries", **calls)
-    results = state.append("results", pass_failed(transcribed, summary), schema.RESULT)
+    results = store_measured(state, "results", "results", pass_failed(transcribed, summary), schema.RESULT)
     options_ = replace(notes, key_order=notes.key_order or V.EPISODE_KEYS)
     done = to_notes(state, results, vault, options_, as_of, failed="skip")
     state.mark_processed("episodes", done.filter("ok").join(kept.select("id", "guid"), "id"), "guid")

@@ -22,14 +22,21 @@ from contentflow.operators.models import Completer, call_key, complete
 
 # Keeps the answers of a step so that they are used twice but asked for once: (name, answers) -> answers.
 Keep = Callable[[str, DataFrame], DataFrame]
+# Asks and keeps in one: (name, requests, make_completer, options) -> answers, see `complete_in_waves`.
+Ask = Callable[..., DataFrame]
 
 
-def _ask(rows: DataFrame, prompt: Column, step: str, model_id: str, make_completer, keep: Keep, **options) -> DataFrame:
+def _ask(
+    rows: DataFrame, prompt: Column, step: str, model_id: str, make_completer, keep: Keep, ask: Ask | None, **options
+) -> DataFrame:
     """Rows with the `answer` of the model, NULL when the call failed, and the `problem`."""
     requests = rows.withColumns(
         {"messages": prompt_messages(prompt), "model_id": F.lit(model_id), "params": F.lit("{}")}
     ).withColumn("call_key", call_key())
-    answers = keep(step, complete(requests, make_completer, **options))
+    if ask is None:
+        answers = keep(step, complete(requests, make_completer, **options))
+    else:
+        answers = ask(step, requests, make_completer, **options)
     parsed = parse_response(F.col("response"))
     told = answers.select("call_key", parsed.alias("parsed"), "call_error")
     joined = requests.drop("messages", "model_id", "params").join(told, "call_key", "left")
@@ -45,6 +52,7 @@ def correct_transcripts(
     *,
     model_id: str = V.CORRECTION_MODEL,
     sample_chars: int = V.TOPIC_SAMPLE_CHARS,
+    ask: Ask | None = None,
     **options,
 ) -> DataFrame:
     """(…, transcript) plus (domain, corrected_text, corrections).
@@ -62,10 +70,10 @@ def correct_transcripts(
     has_text = F.coalesce(F.col("transcript") != "", F.lit(False))
     asked = transcripts.filter(has_text)
     detect = domain_prompt(F.coalesce("title", F.lit("Untitled Content")), F.col("transcript"), sample_chars)
-    named = _ask(asked, detect, "domains", model_id, make_completer, keep, **options)
+    named = _ask(asked, detect, "domains", model_id, make_completer, keep, ask, **options)
     named = named.withColumn("domain", F.coalesce("answer", F.lit(V.FALLBACK_DOMAIN))).drop("answer", "problem")
     fixed = _ask(
-        named, correction_prompt(F.col("domain"), F.col("transcript")), "corrections", model_id, make_completer, keep,
+        named, correction_prompt(F.col("domain"), F.col("transcript")), "corrections", model_id, make_completer, keep, ask,
         **options,
     )
     parsed = parse_correction(F.col("answer"), F.col("transcript"))

@@ -50,3 +50,6 @@ STATE = {
         message_id string, thread_id string, text string, from_me boolean, sender string, date timestamp_ntz,
         processed boolean, processed_at timestamp_ntz""",
 }
+
+# Parent tables and their keys.
+PARENT_KEYS = {"feeds": "url", "podcasts": "feed_url", "threads": "thread_id"}

@@ -13,7 +13,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentflow.operators.health import with_health
+from contentflow.operators.buckets import parents
+from contentflow.operators.health_log import HealthLog
+from contentflow.operators.key_store import remember, seen
 from contentflow.operators.known import unseen
 from contentflow.operators.ranking import first_per_key
 from contentflow.operators.state import State
@@ -48,7 +50,10 @@ def ingest_stream(stream: DataFrame, feeds: DataFrame, root: str, *, as_of: date
 
     def each(batch: DataFrame, run_id: str) -> None:
         state = State(batch.sparkSession, root, run_id)
-        state.append("articles", ingest_articles(batch, feeds, state.earlier("articles"), as_of=as_of, **options))
+        earlier = state.earlier("articles")
+        known = seen(state, "articles", batch, earlier, "guid")
+        articles = state.append("articles", ingest_articles(batch, feeds, known, as_of=as_of, **options))
+        remember(state, "articles", articles, earlier, "guid")
 
     poll(stream, f"{root}/_checkpoints/articles", each)
 
@@ -79,7 +84,9 @@ def remember_keys(stream: DataFrame, key: str, order: list[str], root: str, tabl
     def each(batch: DataFrame, run_id: str) -> None:
         state = State(batch.sparkSession, root, run_id)
         first = first_per_key(batch, [key], [F.col(c) for c in order])
-        state.append(table, unseen(first, state.earlier(table, ddl), key), ddl)
+        earlier = state.earlier(table, ddl)
+        kept = state.append(table, unseen(first, seen(state, table, first, earlier, key), key), ddl)
+        remember(state, table, kept, earlier, key)
 
     poll(stream, f"{root}/_checkpoints/{table}", each)
 
@@ -91,18 +98,14 @@ def dedupe_within(stream: DataFrame, key: list[str], time: str, delay: str) -> D
 
 
 def health_stream(stream: DataFrame, root: str) -> None:
-    """Carry feed health from poll to poll: attempts (feed, ts, attempt_id, outcome, error) to feeds."""
+    """Keep feed health from attempts (feed, ts, attempt_id, outcome, error), whatever their order and batches."""
 
     def each(batch: DataFrame, run_id: str) -> None:
         state = State(batch.sparkSession, root, run_id)
-        known = state.snapshot("feeds")
-        tried = batch.withColumn("feed", F.col("feed").cast("string")).persist()  # read several times below
-        heads = tried.select(F.col("feed").alias("url")).distinct()
-        fresh = unseen(heads, known, "url").withColumns(
-            {"muted": F.lit(False), "error_count": F.lit(0), "no_entries_count": F.lit(0)}
-        )
-        feeds = known.unionByName(fresh, allowMissingColumns=True)
-        state.write_snapshot("feeds", with_health(feeds, tried, lambda runs: state.keep("health_runs", runs)))
-        tried.unpersist()
+        found = HealthLog(state, batch.schema["attempt_id"].dataType.simpleString()).add(batch).withColumnRenamed("feed", "url")
+        table = parents(state, "feeds")
+        known = table.matching(found).drop("muted", "muted_reason", "error_count", "no_entries_count", "last_error")
+        now = found.select("url", "muted", "muted_reason", "error_count", "no_entries_count", "last_error")
+        table.upsert(state.keep("feeds_now", now.join(known, "url", "left")))
 
     poll(stream, f"{root}/_checkpoints/feeds", each)
