@@ -11,8 +11,6 @@ from contentflow.llm.folders import stored, unused
 
 #: Rows that one task rounds together. Each such group leaves one undecided row at most for the level above.
 GROUP_ROWS = 500
-#: A group of so many times these rows holds rows that repeat each other, and is divided by place.
-CROWDED = 4
 #: The part of a group's open words from which a row is large: it is decided as long as the others can make up for it.
 LARGE = 0.03
 
@@ -109,6 +107,20 @@ def _round_group(size: np.ndarray, part: np.ndarray, luck: np.ndarray) -> np.nda
     return part
 
 
+def _spread(frame: DataFrame, name: str, identity: tuple[str, ...], group_rows: int) -> DataFrame:
+    """The frame with a column that is the row's place if its identity crowds one group, else null."""
+    keys = {unused(frame, f"identity_{i}"): c for i, c in enumerate(identity)}
+    crowds = frame.groupBy(*(F.col(c).alias(k) for k, c in keys.items())).count().filter(F.col("count") > group_rows).drop("count")
+    crowds = stored(crowds, "mix-crowds")
+    if crowds.isEmpty():
+        return frame.withColumn(name, F.lit(None).cast("long"))
+    crowded = unused(frame, "crowded")
+    same = [F.col(c).eqNullSafe(F.col(k)) for k, c in keys.items()]
+    numbered = frame.withColumn(name, F.monotonically_increasing_id())
+    flagged = numbered.join(crowds.withColumn(crowded, F.lit(True)), same, "left").drop(*keys)
+    return flagged.withColumn(name, F.when(F.col(crowded), F.col(name))).drop(crowded)
+
+
 def mix(
     frame: DataFrame, targets: DataFrame, size: str = "size", source: str = "source", identity: tuple[str, ...] = ("doc_id",),
     seed: int = 11, group_rows: int = GROUP_ROWS,
@@ -122,15 +134,15 @@ def mix(
     than that row's size. All draws are hashes of `identity`, the size and the seed: repeated runs agree.
 
     Null sources are a source. Null or zero sizes never change the sum, their fraction is drawn alone. Rows that repeat identity and
-    size are interchangeable; where they crowd a group, as many null identities do, its rows are divided by their place in the
-    table, so a group never holds many more rows than `group_rows`. Other columns stay; the three added ones are replaced. An empty table gives an empty result.
+    size are interchangeable. Rows of an identity that more than `group_rows` rows share, as null may be, are dealt by their place in the
+    table too, so a group never holds many more rows than `group_rows`. Other columns stay; the three added ones are replaced. An empty table gives an empty result.
     """
     frame = frame.drop("source_size", "target", "copies")
     columns = frame.columns
-    place = unused(frame, "place")
-    frame = frame.withColumn(place, F.monotonically_increasing_id())
+    spread = unused(frame, "spread")
+    frame = _spread(frame, spread, identity, group_rows)
     part, group, luck, n_rows = (unused(frame, n) for n in ("part", "group", "luck", "n_rows"))
-    key, crowd, parts = (unused(frame, n) for n in ("source_key", "crowd", "parts"))
+    key = unused(frame, "source_key")
     facts = targets.select(
         F.col("source").alias(key), "source_size", F.col("n_rows").alias(n_rows), F.col("target").cast("double").alias("target")
     )
@@ -160,15 +172,7 @@ def mix(
         depth += 1
         groups = -(-largest // group_rows)
         ways = F.greatest(F.lit(1), F.ceil(F.col(n_rows) / F.lit(float(group_rows) ** depth))).cast("long")
-        dealt = level.withColumn(group, F.pmod(F.xxhash64(F.lit(seed + depth), *identity, luck), ways))
-        crowds = dealt.groupBy(F.col(source).alias(key), F.col(group).alias(crowd)).agg(F.count("*").alias(parts)).filter(F.col(parts) > CROWDED * group_rows)
-        crowds = stored(crowds, "mix-crowds")
-        if not crowds.isEmpty():
-            # A number of its own for each part, beyond those of the groups.
-            split = F.pmod(F.xxhash64(F.lit(seed + depth), place), F.ceil(F.col(parts) / group_rows).cast("long"))
-            dealt = dealt.join(crowds, F.col(source).eqNullSafe(F.col(key)) & (F.col(group) == F.col(crowd)), "left")
-            dealt = dealt.withColumn(group, F.when(F.col(parts).isNull(), F.struct(F.col(group).alias("g"), F.lit(-1).cast("long").alias("p"))).otherwise(F.struct(F.col(group).alias("g"), split.alias("p"))))
-            dealt = dealt.drop(key, crowd, parts)
+        dealt = level.withColumn(group, F.pmod(F.xxhash64(F.lit(seed + depth), *identity, luck, spread), ways))
         after = dealt.groupBy(source, group).applyInArrow(rounded, schema)
         after = stored(after, "mix-level")
         whole = (F.col(part) <= 0.0) | (F.col(part) >= 1.0)

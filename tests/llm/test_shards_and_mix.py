@@ -195,3 +195,11 @@ def test_language_is_told_from_the_first_and_the_last_word(spark):
     train = spark.createDataFrame([(i, "und der die das ist" if i % 2 else "the of and that is", "de" if i % 2 else "en") for i in range(40)], "doc_id long, text string, lang string")
     out = langid.predict(spark.createDataFrame([(1, "the " + long)], "doc_id long, text string"), langid.fit(train)).first()
     assert out.lang_pred == "de"
+
+
+def test_rows_that_repeat_an_identity_do_not_crowd_a_group(spark, monkeypatch):
+    rows = [(None, "a", 7, "x", 1)] * 900 + [(5, "b", 3, "x", 1)] * 400 + [(i, "a" if i % 2 else "b", 1 + i % 9, "x", 1) for i in range(300)]
+    out = mixed(spark, rows, group_rows=50).toPandas()
+    assert len(out) == len(rows) and out["doc_id"].isna().sum() == 900 and (out["doc_id"] == 5).sum() == 401
+    for _, part in out.groupby("source"):
+        assert abs((part["copies"] * part["size"]).sum() - part["target"].iloc[0]) <= part["size"].max()
