@@ -35,12 +35,12 @@ def broken_bodies(spark, sf):
         # Markup that is not escaped and not closed.
         .when(damage == "tags", swap("<(description|content[^>]*)>", "<$1><p class=x>lost<br>"))
         .when(damage == "signs", F.concat(F.lit("<!-- a & b -->"), swap("<title>Title ", "<title>1 < 2 & <![CDATA[3 > <b>2</b> &amp;]]> ")))
-        .when(damage == "page", F.concat(F.lit("<!DOCTYPE html><html><head><title>Gone</title><body><p>No feed here<br>"), F.substring(body, 1, 20)))
+        .when(damage == "page", F.concat(F.lit("<!DOCTYPE html><html><head><title>Gone</title><body><p>No feed here<br>"), F.col("page")))
         .when(damage == "junk", F.concat(F.lit("\n﻿"), swap("<(channel|entry)>", '<$1><odd a=1 "b>'), F.lit("<p>& trailing")))
         .when(damage == "control", swap("<title>Title ", "<title>Title \u0002\u001f"))
         .otherwise(body)
     )
-    return bodies.select("feed", "page", F.when(damage == "page", F.regexp_replace(broken, "<(rss|feed)", "<x$1")).otherwise(broken).alias("body"))
+    return bodies.select("feed", "page", broken.alias("body"))
 
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(13)"

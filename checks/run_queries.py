@@ -43,7 +43,7 @@ def note_runs(spark, sf):
             F.col("doc_id").cast("string").alias("id"), F.struct(F.lit(AS_OF).cast("timestamp_ntz").alias("timestamp"), F.col("doc_id").alias("id")).alias("place"),
             F.concat("source", F.lit(".md")).alias("path"), F.col("text").alias("content"),
         )
-        write_notes(spark, notes, f"{root}/vault", _PLAIN, run_id=f"run-{turn}", as_of=AS_OF).collect()
+        write_notes(spark, notes, f"{root}/vault", _PLAIN, run_id=f"run-{turn}", as_of=AS_OF).write.format("noop").mode("overwrite").save()
     return written_notes(spark, f"{root}/vault").select("content")
 
 

@@ -9,8 +9,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Partitions of the tables with heavy work per row, see `wide`.
-PARTS = 8
 AS_OF = "2024-01-31 00:00:00"
 MESSAGES_AS_OF = "2024-01-01 12:00:00"
 LOOKBACK_HOURS = 10
@@ -119,8 +117,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for heavy work per row, in PARTS partitions: the test tables are single files with one row group."""
-    return table(spark, sf_dir, name).repartition(PARTS)
+    """A table for heavy work per row: spread over all cores if its scan uses fewer, as a single small file does."""
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def entries(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:

@@ -44,7 +44,9 @@ def with_transcripts(
     `landed` is (url, content_type, body), `speech` is (guid, text). With `required`, episodes that have
     neither are left out, so that a later run meets them again.
     """
-    files = landed.groupBy("url").agg(F.min(F.struct("content_type", "body")).alias("file"))
+    # Only the files that some episode names are brought together.
+    wanted = episodes.select(F.col("transcript_url").alias("url")).filter("url is not null").distinct()
+    files = landed.join(wanted, "url", "left_semi").groupBy("url").agg(F.min(F.struct("content_type", "body")).alias("file"))
     files = files.select(F.col("url").alias("lookup"), F.col("file.content_type").alias("kind"), "file.body")
     # Episodes without a transcript address get a key of their own, which matches nothing.
     keyed = episodes.withColumn("lookup", F.coalesce("transcript_url", F.concat(F.lit("\0"), F.col("guid"))))

@@ -153,7 +153,8 @@ def podcast_entries(entries: DataFrame) -> DataFrame:
 def feed_heads(bodies: DataFrame) -> DataFrame:
     """Title, description, author and site of each feed, with the defaults for missing ones."""
     doc, head = F.col("doc"), F.col("head")
-    recovered = F.when(F.col("broken"), F.from_xml(recovery.head_xml(F.col("body")), f"struct<{_HEAD}>", _OPTIONS))
+    readable = F.col("broken") & recovery.complaint(F.col("body")).isNull()
+    recovered = F.when(readable, F.from_xml(recovery.head_xml(F.col("body")), f"struct<{_HEAD}>", _OPTIONS))
     heads = _parsed(bodies).withColumn("head", recovered).select(
         "feed",
         F.coalesce(doc["channel"]["title"], doc["title"], head["title"], F.col("feed")).alias("title"),
