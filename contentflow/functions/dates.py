@@ -203,7 +203,10 @@ def parse_date(text: Column) -> Column:
 
 def first_date(*texts: Column) -> Column:
     """The first text that parses, in the given order (published, updated, created)."""
-    return F.coalesce(*[parse_date(t) for t in texts])
+    if len(texts) == 1:
+        return parse_date(texts[0])
+    # One copy of the expression in the plan, whatever the number of texts.
+    return F.get(F.filter(F.transform(F.array(*texts), parse_date), lambda d: d.isNotNull()), F.lit(0))
 
 
 def stamp(moment: Column, pattern: str) -> Column:
