@@ -164,8 +164,8 @@ def decontaminate(
 
     Benchmarks of more than `block_windows` distinct windows are joined in blocks, one pass over the documents for each, so
     what is sent to the executors is bounded. Null and empty texts have no words; items without words have no
-    windows; items with a null id hit words but are not listed. An empty table on either side hits nothing. Columns of the
-    added names are replaced.
+    windows; items with a null id hit words but are not listed. Rows that repeat are searched each, and so is a text of any length, whole. An empty
+    table on either side hits nothing. Columns of the added names are replaced.
     """
     new = {"n_words": "long", "n_hit": "long", "hits": "array<struct<first:long,end:long>>", "items": "array<string>"}
     keep = [c for c in (documents.columns if keep is None else keep) if c not in new]

@@ -105,7 +105,8 @@ def predict(frame: DataFrame, model: Model, text: str = "text", keep: list[str]
     """Adds lang_pred (string), score (double, 0 to 1) and ambiguous (boolean: a second language is nearly as likely).
 
     Null texts, texts without a letter and every text under a model without languages get `und`, score 0, ambiguous.
-    Columns of these three names are replaced.
+    A text of any length is read whole. Of codewords that are equally near the first in the order of the languages wins, and the row is ambiguous. Rows
+    that repeat get the same answer each; an empty table gives an empty result. Columns of these three names are replaced.
     """
     keep = [c for c in (frame.columns if keep is None else keep) if c not in ("lang_pred", "score", "ambiguous")]
     letters = unused(frame, "has_letter")

@@ -304,7 +304,8 @@ def score(
     The words of a group share its probability by their counts plus one, and one part is left for words never seen.
 
     Counts of the most frequent words go to every executor, at most `hot`; the others of each text are joined
-    with the table of counts. Null texts are empty. Without training rows all counts are 0. Added columns are replaced.
+    with the table of counts. Null texts are empty. Rows that repeat are counted and scored each. A text of any length is scored whole, its
+    words in pieces of bounded size. Without training rows all counts are 0; an empty table gives an empty result. Added columns are replaced.
     """
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     keep = [c for c in (frame.columns if keep is None else keep) if c not in new]

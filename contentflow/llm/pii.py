@@ -172,7 +172,9 @@ def find_personal_data(frame: DataFrame, text: str = "text", keep: list[str] | N
 
     Emails, IP addresses, card numbers and phone numbers are those of the patterns in the module's tests, leftmost and
     non-overlapping per kind; URLs and account numbers after a cue word, with the letters of IBANs and passport numbers, come on top. Positions count code points,
-    ends are exclusive. Null texts are empty. Columns spans and masked are replaced, others stay.
+    ends are exclusive. Null and empty texts have no spans. A text of any length is searched whole, in time that grows with it; spans at one place come
+    in the order of their kinds. Rows that repeat are searched each. An empty table gives an empty result. Columns spans and masked are
+    replaced, others stay.
     """
     new = {"spans": "array<struct<kind:string,start:long,end:long>>"} | ({"masked": "string"} if mask else {})
     keep = [c for c in (frame.columns if keep is None else keep) if c not in ("spans", "masked")]

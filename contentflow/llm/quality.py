@@ -160,6 +160,10 @@ def fit(
 
 
 def predict(frame: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds score (double, 0 to 1, higher: better). Null and empty texts have the score of no words. A column score is replaced."""
+    """Adds score (double, 0 to 1, higher: better). Null and empty texts have the score of no words.
+
+    A text of any length is read whole. Texts with the same features, and rows that repeat, have the same score. An empty table gives an empty
+    result. A column score is replaced.
+    """
     keep = [c for c in (frame.columns if keep is None else keep) if c != "score"]
     return grams.mapped(frame, text, keep, {"score": "double"}, lambda t, _: (model.score(features(t)),))

@@ -279,7 +279,8 @@ def predict(frame: DataFrame, index: Index, text: str = "text", keep: list[str]
     """Adds score (double, 0 to 1) and evidence (up to 3 nearest examples: doc_id, label, cosine).
 
     A text without any term of the index, as null and empty texts, has no neighbours and the share of toxic examples
-    among such texts as its score. Columns of the two names are replaced.
+    among such texts as its score. A text of any length is read whole; of equally near examples those with the lower number are taken. Rows that
+    repeat get the same score each; an empty table gives an empty result. Columns of the two names are replaced.
     """
     keep = [c for c in (frame.columns if keep is None else keep) if c not in ("score", "evidence")]
     shared = frame.sparkSession.sparkContext.broadcast(index)  # about EXAMPLES examples at most, with all their terms
