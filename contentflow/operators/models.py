@@ -10,7 +10,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from contentflow import schema
 from contentflow import values as V
@@ -70,6 +70,11 @@ def with_prompts(fanned: DataFrame, models: Sequence[Model]) -> DataFrame:
     return fanned.withColumn("messages", messages)
 
 
+def prompt_key() -> Column:
+    """Identifies what the prompts of an item are made of: items with the same key have the same calls."""
+    return F.sha2(F.to_json(F.struct("content", "metadata"), {"ignoreNullFields": "false"}), 256)
+
+
 def call_key() -> Column:
     """Identifies a call: the same messages to the same model with the same parameters are one call."""
     return F.sha2(F.concat_ws("\x1f", "model_id", "params", F.to_json("messages")), 256)
@@ -138,6 +143,49 @@ def complete(
     return calls.mapInPandas(_caller(make_completer, retries, retry_seconds), _ANSWER)
 
 
+def _storing_caller(
+    make_completer: Callable[[], Completer], retries: int, retry_seconds: float, folder: str, portion: int
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Calls as `_caller` does, and stores the answers of each `portion` of calls as a file before the next are asked."""
+    call = _caller(make_completer, retries, retry_seconds)
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        task = TaskContext.get()
+        mine, attempt = f"part-{task.partitionId():05d}-", task.taskAttemptId()
+        text, kinds = pa.string(), (("calls", pa.int32()), ("elapsed_ms", pa.float64()))
+        form = pa.schema([(n, text) for n in ("call_key", "response", "call_error")] + list(kinds))
+        made: set[str] = set()
+        # What a lost attempt of this task has stored as a good answer is not asked for again.
+        for info in files.get_file_info(fs.FileSelector(root)):
+            if info.base_name.startswith(mine):
+                with files.open_input_file(info.path) as source:
+                    known = pq.read_table(source, columns=["call_key", "response"])
+                made.update(k for k, r in zip(*(c.to_pylist() for c in known.columns)) if r is not None)
+
+        def portions() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                batch = batch[~(batch["call_key"].isin(made) | batch["call_key"].duplicated())]
+                made.update(batch["call_key"])
+                for start in range(0, len(batch), portion):
+                    yield batch.iloc[start : start + portion]
+
+        for number, answers in enumerate(call(portions())):
+            name = f"{mine}{attempt}-{number:05d}.parquet"
+            with files.open_output_stream(f"{root}/.{name}") as out:
+                pq.write_table(pa.Table.from_pandas(answers, form, preserve_index=False), out)
+            files.move(f"{root}/.{name}", f"{root}/{name}")
+            yield pd.DataFrame({"stored": [len(answers)]})
+
+    return store
+
+
 def complete_in_waves(
     state: State,
     step: str,
@@ -150,17 +198,19 @@ def complete_in_waves(
     limits: Mapping[str, int] | None = None,
     calls_per_task: int = CALLS_PER_TASK,
 ) -> DataFrame:
-    """Answers to all requests, one row per distinct call, asked in waves that are stored one after the other.
+    """Answers to all requests, one row per distinct call. Each task asks its calls in waves that are stored one after the other.
 
-    A wave holds at most `calls_per_task` calls for each task, in expectation, and its answers are stored under their call keys before the next
-    wave is asked. A lost task asks its part of one wave again, a lost driver the wave it was in: what is stored as a
-    good answer, by this run or an earlier one, is never asked for again. `limits` says how many tasks may call a
-    model (by model id) at a time; the models without a limit share `concurrency` tasks.
+    A wave holds at most `calls_per_task` calls of a task, and its answers are stored under their call keys before the task
+    asks its next. No task waits for another, and prompts are shuffled once and not stored. A lost task asks its part of one
+    wave again, and so does each task of a lost driver: what is stored as a good answer, by this run or an earlier one, is
+    never asked for again. `limits` says how many tasks may call a model (by model id) at a time; the models without a limit
+    share `concurrency` tasks.
     """
     answers = f"{_ANSWER}, run_id string"
     stored = state._read(f"{state.root}/{step}", answers)
-    good = stored.filter(F.col("response").isNotNull()).select("call_key", "response", "call_error", "calls", "elapsed_ms")
-    # Each start of a run has waves of its own, so that it never overwrites stored answers.
+    columns = ["call_key", "response", "call_error", "calls", "elapsed_ms"]
+    good = stored.filter(F.col("response").isNotNull())
+    # Each start of a run has a folder of its own, so that it never overwrites stored answers.
     mine = stored.filter(F.startswith("run_id", F.lit(f"{state.run_id}.start"))).select("run_id").distinct().collect()
     start = 1 + max((int(r["run_id"].rsplit(".start", 1)[1].split(".")[0]) for r in mine), default=0)
 
@@ -173,22 +223,23 @@ def complete_in_waves(
         task = F.when(F.col("model_id") == model, F.lit(at) + F.pmod(spread, F.lit(tasks))).otherwise(task)
 
     calls = requests.select(call_key().alias("call_key"), "messages", "model_id", "params")
-    calls = unseen(calls, good, "call_key").withColumn("task", task.cast("int"))
-    path = f"{state.root}/_runs/{step}_calls/run_id={state.run_id}"
-    # The busiest task says how many waves there are.
-    busiest = calls.groupBy("task").agg(F.countDistinct("call_key").alias("n")).agg(F.max("n")).first()[0] or 0
-    waves = -(-busiest // calls_per_task)
-    if waves:
-        wave = F.pmod(F.xxhash64(F.lit(7), "call_key"), F.lit(waves)).cast("int")
-        calls.withColumn("wave", wave).write.partitionBy("wave").mode("overwrite").parquet(path)
-    listed = state.spark.read.schema(T.StructType([*calls.schema.fields, T.StructField("wave", T.IntegerType())])).parquet(path) if waves else None
-    call = _caller(make_completer, retries, retry_seconds)
-    for number in range(waves):
-        part = listed.filter(F.col("wave") == number).repartitionById(sum(sizes), F.col("task"))
-        asked = part.select("call_key", "messages", "model_id", "params").mapInPandas(call, _ANSWER)
-        state.of_run(f"{state.run_id}.start{start}.wave{number}").append(step, asked, _ANSWER)
-    now = state._read(f"{state.root}/{step}", answers).filter(F.startswith("run_id", F.lit(f"{state.run_id}.start{start}.")))
-    return now.select(*good.columns).unionByName(good)
+    open_calls = True
+    if not good.isEmpty():
+        # The open calls are found by their keys alone: prompts move only if some are left.
+        left = state.keep(f"{step}_open", unseen(calls.select("call_key").distinct(), good, "call_key"))
+        open_calls = not left.isEmpty()
+        calls = calls.join(left, "call_key", "left_semi")
+    run_id = f"{state.run_id}.start{start}"
+    if open_calls:
+        store = _storing_caller(make_completer, retries, retry_seconds, f"{state.root}/{step}/run_id={run_id}", calls_per_task)
+        dealt = calls.withColumn("task", task.cast("int")).repartitionById(sum(sizes), F.col("task"))
+        asked = dealt.select("call_key", "messages", "model_id", "params").mapInPandas(store, "stored bigint")
+        asked.write.format("noop").mode("overwrite").save()
+    now = state._read(f"{state.root}/{step}", answers)
+    now = now.filter((F.col("run_id") == run_id) | F.startswith("run_id", F.lit(f"{run_id}.")) | F.col("response").isNotNull())
+    # Two attempts of one task may have stored the same call: a good answer goes first.
+    one = now.groupBy("call_key").agg(F.min_by(F.struct(*columns[1:]), F.struct(F.col("response").isNull(), "run_id")).alias("one"))
+    return one.select("call_key", "one.*")
 
 
 def with_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:
@@ -196,8 +247,27 @@ def with_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:
 
     A failed row keeps the input content. `model` and `model_provider` join the metadata of good rows.
     """
-    keyed = requests.withColumn("call_key", call_key())
-    joined = keyed.join(answers, "call_key", "left").withColumn("parsed", parse_response(F.col("response")))
+    # The answers of a partition are hashed: the requests, which hold whole texts, are not sorted.
+    joined = requests.withColumn("call_key", call_key()).join(answers.hint("shuffle_hash"), "call_key", "left")
+    return _results(joined).drop("call_key")
+
+
+def with_item_answers(items: DataFrame, models: Sequence[Model], requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """The rows of `with_answers`, for requests that are `prompt_key`ed items once per model.
+
+    Texts are shuffled once for an item and not once for each model: the answers of its models are brought together first.
+    """
+    told = requests.select("prompt_key", "model_ord", call_key().alias("call_key")).distinct().join(answers, "call_key")
+    columns = ["response", "call_error", "calls", "elapsed_ms"]
+    told = told.groupBy("prompt_key").agg(F.collect_list(F.struct("model_ord", *columns)).alias("told"))
+    rows = fan_out(items.join(told.hint("shuffle_hash"), "prompt_key", "left").drop("prompt_key"), models)
+    own = F.get(F.filter("told", lambda t: t["model_ord"] == F.col("model_ord")), F.lit(0))
+    picked = rows.withColumn("own", own).drop("told")
+    return _results(picked.withColumns({c: F.col("own")[c] for c in columns}).drop("own"))
+
+
+def _results(joined: DataFrame) -> DataFrame:
+    joined = joined.withColumn("parsed", parse_response(F.col("response")))
     success = F.coalesce(F.col("parsed.success"), F.lit(False))
     told = F.create_map(
         F.lit("model"), F.col("model_id"), F.lit("model_provider"), F.coalesce("parsed.provider", F.lit(""))
@@ -219,7 +289,7 @@ def with_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:
             "metadata": F.when(success, F.map_concat(kept, told)).otherwise(F.col("metadata")),
             "result_metrics": metrics,
         }
-    ).drop("parsed", "response", "call_error", "calls", "elapsed_ms", "messages", "params", "call_key")
+    ).drop("parsed", "response", "call_error", "calls", "elapsed_ms", "messages", "params")
 
 
 def _in_order(fields: Mapping[str, Column]) -> Column:

@@ -25,7 +25,7 @@ from contentflow.operators.key_store import remember, seen
 from contentflow.operators.known import new_parents, open_rows
 from contentflow.operators.metrics import store_measured
 from contentflow.operators.models import (
-    Completer, Model, catalogue, combine, complete_in_waves, fan_out, with_answers, with_prompts,
+    Completer, Model, catalogue, combine, complete_in_waves, fan_out, prompt_key, with_item_answers, with_prompts,
 )
 from contentflow.operators.note_files import NoteOptions, render_notes, write_notes
 from contentflow.operators.stages import as_results, conform, deliver, pass_failed
@@ -47,8 +47,9 @@ _ATTEMPTS = "feed string, ts timestamp_ntz, attempt_id string, outcome string, e
 def apply_models(state: State, items: DataFrame, models: Sequence[Model], make_completer: MakeCompleter,
                  step: str = "answers", **options) -> DataFrame:
     """Results per (item, model). Answers are stored in waves; good ones that are stored are used again."""
-    requests = with_prompts(fan_out(items, models), models)
-    return with_answers(requests, complete_in_waves(state, step, requests, make_completer, **options))
+    keyed = items.withColumn("prompt_key", prompt_key())
+    requests = with_prompts(fan_out(keyed, models), models)
+    return with_item_answers(keyed, models, requests, complete_in_waves(state, step, requests, make_completer, **options))
 
 
 def one_model(state: State, model: Model, make_completer: MakeCompleter, step: str = "answers", **options):

@@ -152,3 +152,11 @@ def test_write_paths_of_new_notes_do_not_sort_a_whole_name(spark):
 
 def test_stamp_is_a_literal(spark):
     assert spark.range(1).select(N.stamp(utc(AS_OF), "yyyyMMdd").alias("s")).first().s == "20240131"
+
+
+def test_short_notes_are_written_by_many_tasks(spark, tmp_path):
+    """A stored plan of short texts is one file, and one task wrote all notes (6 s for 10,000 of them)."""
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("content"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "plan"))
+    spread = K.by_number(spark.read.parquet(str(tmp_path / "plan")), "id")
+    assert spread.rdd.getNumPartitions() == 8 and spread.count() == 3000

@@ -252,3 +252,26 @@ def test_metrics_are_those_of_the_rows_written(spark, tmp_path):
         store_measured(State(spark, str(tmp_path), run_id), "articles", "articles", frame(spark, [str(i) for i in range(n)]))
     got = sorted(tuple(r) for r in run_metrics(State(spark, str(tmp_path), "reader")).collect())
     assert got == [("r1", "articles", 4, 0, 0, 0, 0), ("r2", "articles", 0, 0, 0, 0, 0)]
+
+
+def test_a_task_stores_each_wave_before_its_next_calls_and_waits_for_no_other(spark, tmp_path):
+    """Waves were jobs, and every wave of all tasks began with one: their number followed the input (57,285 s at 6 GB by projection)."""
+    items = spark.createDataFrame([(str(i), f"text{i}", None) for i in range(60)], "id string, content string, metadata map<string,string>")
+    requests = with_prompts(fan_out(items, [Model("m", "v/1")]), [Model("m", "v/1")])
+    root, folder = str(tmp_path / "s"), str(tmp_path / "s" / "answers" / "run_id=r1.start1")
+
+    def make():
+        made = []
+
+        def complete(messages, params):
+            made.append(1)
+            stored = [f for f in os.listdir(folder) if f.startswith(f"part-{TaskContext.get().partitionId():05d}-")]
+            return {"choices": [{"message": {"content": f"{len(made)} {len(stored)}"}}], "model": params["model"]}
+
+        from pyspark import TaskContext
+
+        return complete
+
+    answers = complete_in_waves(State(spark, root, "r1"), "answers", requests, make, retries=1, concurrency=2, calls_per_task=5)
+    told = [r.response.split('"content": "')[1].split('"')[0].split() for r in answers.collect()]
+    assert len(told) == 60 and all(int(stored) == (int(n) - 1) // 5 for n, stored in told)
