@@ -39,7 +39,8 @@ def _ask(
         answers = ask(step, requests, make_completer, **options)
     parsed = parse_response(F.col("response"))
     told = answers.select("call_key", parsed.alias("parsed"), "call_error")
-    joined = requests.drop("messages", "model_id", "params").join(told, "call_key", "left")
+    # The answers of a partition are hashed: the rows, which hold whole transcripts, are not sorted.
+    joined = requests.drop("messages", "model_id", "params").join(told.hint("shuffle_hash"), "call_key", "left")
     return joined.withColumns(
         {"answer": strip(F.col("parsed.content")), "problem": F.coalesce("call_error", "parsed.error_message")}
     ).drop("call_key", "parsed", "call_error")
