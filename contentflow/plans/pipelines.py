@@ -165,8 +165,10 @@ def poll_bodies(state: State, bodies: DataFrame, *, as_of: datetime | str, **opt
 
     Bodies that are no well-formed XML give what can be read of them; feeds whose bodies are no feeds at all are failed polls.
     """
-    entries, heads = feed_source.feed_entries(feed_source.raw_entries(bodies)), feed_source.feed_heads(bodies)
-    return poll_feeds(state, entries, heads, as_of=as_of, problems=feed_source.feed_problems(bodies), **options)
+    # Stored, because entries, heads and problems are all taken from it.
+    read = state.keep("bodies", feed_source.opened(bodies))
+    entries, heads = feed_source.feed_entries(feed_source.raw_entries(read)), feed_source.feed_heads(read)
+    return poll_feeds(state, entries, heads, as_of=as_of, problems=feed_source.feed_problems(read), **options)
 
 
 def _feeds_with_recent(entries: DataFrame, as_of: datetime | str, lookback_days: float) -> DataFrame:

@@ -43,13 +43,6 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     return files.join(pages, "file").select("feed", "page", "body")
 
 
-def _parsed(bodies: DataFrame) -> DataFrame:
-    """`doc`, what the strict parser reads, and `broken`: whether it takes the body as no XML."""
-    parsed = bodies.withColumn("doc", F.from_xml("body", _BODY, _OPTIONS)).withColumn("broken", F.col("doc._broken").isNotNull())
-    # What the parser made of a broken body before it gave up is not used.
-    return parsed.withColumn("doc", F.when(~F.col("broken"), F.col("doc")))
-
-
 def _main_link(links: Column) -> Column:
     """Text of the first link element, or the address of the first that points to the entry itself."""
     own = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
@@ -74,20 +67,54 @@ def _links(entry: Column) -> Column:
     return F.concat(F.coalesce(listed.cast(schema.LINKS), empty), F.coalesce(enclosed.cast(schema.LINKS), empty))
 
 
-def raw_entries(bodies: DataFrame) -> DataFrame:
-    """One row per entry of (feed, page, body): raw texts, links, and its place in the feed.
+def opened(bodies: DataFrame) -> DataFrame:
+    """(feed, page, error, found, head) per body of (feed, page, body): its entries, its head, and why it is no feed at all.
 
-    `page` orders several bodies of one feed. Entries of a body that is no well-formed XML are recovered one by one, see
-    `recovery`; a body that is no feed has none, and stands in `feed_problems`.
+    Reading a body is most of a poll's work, above all of one that is no well-formed XML. A poll stores this frame and takes entries, heads
+    and problems from it, so that each body is read once.
     """
-    doc = F.col("doc")
+    doc, clean, item, head = F.col("doc"), F.col("clean"), F.lit(None).cast("string"), F.col("recovered")
+    parsed = bodies.select("feed", "page", "body", F.from_xml("body", _BODY, _OPTIONS).alias("doc"))
+    parsed = parsed.withColumn("broken", F.col("doc._broken").isNotNull()).withColumn("error", recovery.complaint(F.col("body")))
+    # What the parser made of a broken body before it gave up is not used.
+    parsed = parsed.withColumn("doc", F.when(~F.col("broken"), doc))
+    # Both the entries and the head of a broken body are found in its normalised text.
+    parsed = parsed.withColumn("clean", F.when(F.col("broken"), recovery.normalised(F.col("body")))).drop("body")
+    readable = F.col("broken") & F.col("error").isNull()
+    parsed = parsed.withColumn("recovered", F.when(readable, F.from_xml(recovery.head_xml(clean), f"struct<{_HEAD}>", _OPTIONS)))
     strict = F.concat(
         *[F.coalesce(e, F.array().cast(_ENTRY)) for e in (doc["channel"]["item"], doc["item"], doc["entry"])]
     )
-    whole = F.transform(strict, lambda e: F.struct(e.alias("entry"), F.lit(None).cast("string").alias("item")))
-    cut = F.transform(recovery.items(F.col("body")), lambda item: F.struct(F.lit(None).cast(_ENTRY_STRUCT).alias("entry"), item.alias("item")))
-    found = F.when(F.col("broken"), cut).otherwise(whole)
-    exploded = _parsed(bodies).select("feed", "page", F.posexplode(found).alias("at", "one")).select("feed", "page", "at", "one.*")
+    whole = F.transform(strict, lambda e: F.struct(e.alias("entry"), item.alias("item")))
+    cut = F.transform(recovery.items(clean), lambda text: F.struct(F.lit(None).cast(_ENTRY_STRUCT).alias("entry"), text.alias("item")))
+    return parsed.select(
+        "feed",
+        "page",
+        "error",
+        F.when(F.col("broken"), cut).otherwise(whole).alias("found"),
+        F.struct(
+            F.coalesce(doc["channel"]["title"], doc["title"], head["title"], F.col("feed")).alias("title"),
+            F.coalesce(doc["channel"]["description"], doc["subtitle"], head["description"], head["subtitle"], F.lit("")).alias("description"),
+            F.coalesce(*(_person(h["author"]) for h in (doc["channel"], doc, head)), F.lit("")).alias("author"),
+            F.coalesce(*(_main_link(h["link"]) for h in (doc["channel"], doc, head)), F.lit("")).alias("website_url"),
+        ).alias("head"),
+    )
+
+
+def _opened(bodies: DataFrame) -> DataFrame:
+    """Landed bodies, or what `opened` made of them."""
+    return opened(bodies) if "body" in bodies.columns else bodies
+
+
+def raw_entries(bodies: DataFrame) -> DataFrame:
+    """One row per entry of (feed, page, body) or of `opened` bodies: raw texts, links, and its place in the feed.
+
+    `page` orders several bodies of one feed. Entries of a body that is no well-formed XML are recovered one by one, see
+    `recovery`; a body that is no feed has none, and stands in `feed_problems`.
+    """
+    # The outer form with a filter behind it: for the inner one the optimizer tests `found` first, and so reads each body twice.
+    exploded = _opened(bodies).select("feed", "page", F.posexplode_outer("found").alias("at", "one"))
+    exploded = exploded.filter("at is not null").select("feed", "page", "at", "one.*")
     recovered = F.from_xml(recovery.entry_xml(F.col("item")), _ENTRY_STRUCT, _OPTIONS)
     exploded = exploded.withColumn("entry", F.when(F.col("item").isNotNull(), recovered).otherwise(F.col("entry")))
     e = F.col("entry")
@@ -152,23 +179,12 @@ def podcast_entries(entries: DataFrame) -> DataFrame:
 
 def feed_heads(bodies: DataFrame) -> DataFrame:
     """Title, description, author and site of each feed, with the defaults for missing ones."""
-    doc, head = F.col("doc"), F.col("head")
-    readable = F.col("broken") & recovery.complaint(F.col("body")).isNull()
-    recovered = F.when(readable, F.from_xml(recovery.head_xml(F.col("body")), f"struct<{_HEAD}>", _OPTIONS))
-    heads = _parsed(bodies).withColumn("head", recovered).select(
-        "feed",
-        F.coalesce(doc["channel"]["title"], doc["title"], head["title"], F.col("feed")).alias("title"),
-        F.coalesce(doc["channel"]["description"], doc["subtitle"], head["description"], head["subtitle"], F.lit("")).alias("description"),
-        F.coalesce(*(_person(h["author"]) for h in (doc["channel"], doc, head)), F.lit("")).alias("author"),
-        F.coalesce(*(_main_link(h["link"]) for h in (doc["channel"], doc, head)), F.lit("")).alias("website_url"),
-    )
     # Several bodies of one feed carry the same head: keep one of them, always the same.
-    fields = ("title", "description", "author", "website_url")
-    return heads.groupBy("feed").agg(F.min(F.struct(*fields)).alias("head")).select("feed", "head.*")
+    heads = _opened(bodies).groupBy("feed").agg(F.min("head").alias("head"))
+    return heads.select("feed", "head.*")
 
 
 def feed_problems(bodies: DataFrame) -> DataFrame:
     """(feed, error) of the feeds none of whose bodies is a feed: these polls failed, they did not find the feed empty."""
-    told = bodies.select("feed", recovery.complaint(F.col("body")).alias("error"))
-    told = told.groupBy("feed").agg(F.max("error").alias("error"), F.bool_or(F.col("error").isNull()).alias("readable"))
+    told = _opened(bodies).groupBy("feed").agg(F.max("error").alias("error"), F.bool_or(F.col("error").isNull()).alias("readable"))
     return told.filter(~F.col("readable")).select("feed", "error")

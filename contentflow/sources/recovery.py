@@ -23,11 +23,13 @@ ATTRIBUTES = ("href", "rel", "type", "url", "isPermaLink")
 
 # Quoted values may hold a `>`; a quote that is never closed is a character like others.
 _REST_OF_TAG = r"""((?:\s(?:[^<>"'/]++|"[^"<]*+"|'[^'<]*+'|/(?!>)|["'])*+)?)"""
-_ITEM = rf"(?s)<(item|entry){_REST_OF_TAG}>(.*?)(?:</\1\s*>|(?=<\1[\s>])|\z)"
+# An item ends at its end tag, where the next one begins, or with the body; the text is read in runs without a `<`.
+_ITEM = rf"(?s)<(item|entry){_REST_OF_TAG}>((?:[^<]++|<(?!/\1\s*+>|\1[\s>]))*+)(?:</\1\s*>)?"
 _FIRST_ITEM = r"(?s)<(?:item|entry)[\s>].*"
 _ROOT = r"<(?:rss|feed|rdf:RDF|channel)[\s>]"
 _CDATA = r"(?=<!\[CDATA\[)|(?<=\]\]>)"
-_NO_XML = "[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]"
+# Written by what is allowed: most characters are told by the first range.
+_NO_XML = r"[^\x20-�\x{10000}-\x{10FFFF}\t\n\r]"
 # A reference that XML knows itself.
 _KNOWN = r"(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#x[0-9a-fA-F]{1,6});"
 
@@ -40,12 +42,16 @@ def _escaped(text: Column) -> Column:
 
 def _repaired(markup: Column) -> Column:
     """Markup without comments, with references that XML knows, and with every `<` that opens no tag escaped."""
-    markup = F.regexp_replace(markup, r"(?s)<!--.*?(?:-->|\z)", "")
-    # Names that only HTML knows become their characters; what XML knows is hidden meanwhile.
-    hidden = F.regexp_replace(markup, f"&({_KNOWN})", "\x00$1")
-    named = F.replace(decode_entities(hidden), F.lit("&"), F.lit("&amp;"))
-    shown = F.replace(named, F.lit("\x00"), F.lit("&"))
-    return F.regexp_replace(shown, "<(?![A-Za-z_/!?])", "&lt;")
+
+    def named(hidden: Column) -> Column:
+        # Names that only HTML knows become their characters; what XML knows is hidden meanwhile.
+        return F.replace(F.replace(decode_entities(hidden), F.lit("&"), F.lit("&amp;")), F.lit("\x00"), F.lit("&"))
+
+    def shown(told: Column) -> Column:
+        return F.when(F.contains(told, F.lit("&")), let(F.regexp_replace(told, f"&({_KNOWN})", "\x00$1"), named)).otherwise(told)
+
+    told = F.when(F.contains(markup, F.lit("<!--")), F.regexp_replace(markup, r"(?s)<!--.*?(?:-->|\z)", "")).otherwise(markup)
+    return F.regexp_replace(let(told, shown), "<(?![A-Za-z_/!?])", "&lt;")
 
 
 def normalised(body: Column) -> Column:
@@ -55,9 +61,13 @@ def normalised(body: Column) -> Column:
         inside = F.regexp_replace(F.substr(text, F.lit(10)), r"\]\]>\z", "")
         return F.when(F.startswith(text, F.lit("<![CDATA[")), _escaped(inside)).otherwise(_repaired(text))
 
+    def parts(text: Column) -> Column:
+        cut = F.contains(text, F.lit("<![CDATA[")) | F.contains(text, F.lit("]]>"))
+        return F.when(cut, F.array_join(F.transform(F.split(text, _CDATA, -1), part), "")).otherwise(_repaired(text))
+
     # A tag that the end of the body cuts off is left out.
     clean = F.regexp_replace(F.regexp_replace(body, _NO_XML, ""), r"<(?!!)[^<>]*+\z", "")
-    return F.array_join(F.transform(F.split(clean, _CDATA, -1), part), "")
+    return let(clean, parts)
 
 
 def _attributes(tag: Column) -> Column:
@@ -91,36 +101,42 @@ def _rewritten(markup: Column, names: tuple[str, ...]) -> Column:
     listed = "|".join(names)
     pattern = rf"(?s)<({listed}){_REST_OF_TAG}(?:/>|>(?:(.*?)</\1\s*>|(.*?)(?=<(?:{listed})[\s/>]|\z)))"
 
+    def written(name: Column, tag: Column, inner: Column) -> Column:
+        def author(person: Column) -> Column:
+            return F.coalesce(F.concat(F.lit("<name>"), _text(person), F.lit("</name>")), _text(inner))
+
+        body = (
+            F.when(name == "author", let(non_empty(F.regexp_extract(inner, r"(?s)<name[^<>]*>(.*?)(?:</name\s*>|\z)", 1)), author))
+            # The content of an XHTML element is the markup in its div.
+            .when(name == "content", let(F.regexp_replace(inner, r"(?s)\A\s*<div[^<>]*>(.*)</div\s*>\s*\z", "$1"), _text))
+            .otherwise(_text(inner))
+        )
+        return F.concat(F.lit("<"), name, F.when(tag == "", "").otherwise(_attributes(tag)), F.lit(">"), body, F.lit("</"), name, F.lit(">"))
+
+    # Each part is bound: an expression that is named several times would be evaluated as often.
     def element(found: Column) -> Column:
         name = F.regexp_extract(found, r"^<([\w:]+)", 1)
         tag = F.regexp_extract(found, rf"^<[\w:]+{_REST_OF_TAG}", 1)
         # What stands between the tags.
         after = F.regexp_replace(found, rf"^<[\w:]+{_REST_OF_TAG}/?>", "")
         inner = F.regexp_replace(after, r"</[\w:]+\s*>\z", "")
-        person = non_empty(F.regexp_extract(inner, r"(?s)<name[^<>]*>(.*?)(?:</name\s*>|\z)", 1))
-        body = (
-            F.when(name == "author", F.coalesce(F.concat(F.lit("<name>"), _text(person), F.lit("</name>")), _text(inner)))
-            # The content of an XHTML element is the markup in its div.
-            .when(name == "content", _text(F.regexp_replace(inner, r"(?s)\A\s*<div[^<>]*>(.*)</div\s*>\s*\z", "$1")))
-            .otherwise(_text(inner))
-        )
-        return F.concat(F.lit("<"), name, F.when(tag == "", "").otherwise(_attributes(tag)), F.lit(">"), body, F.lit("</"), name, F.lit(">"))
+        return let(name, lambda n: let(tag, lambda t: let(inner, lambda i: written(n, t, i))))
 
     return F.array_join(F.transform(F.regexp_extract_all(markup, F.lit(pattern), F.lit(0)), element), "")
 
 
-def items(body: Column) -> Column:
-    """The items and entries of a body, each as the inside of its element; an item that is cut off ends with the body."""
-    return F.regexp_extract_all(normalised(body), F.lit(_ITEM), F.lit(3))
+def items(clean: Column) -> Column:
+    """The items and entries of a normalised body, each as the inside of its element; an item that is cut off ends with the body."""
+    return F.regexp_extract_all(clean, F.lit(_ITEM), F.lit(3))
 
 
 def entry_xml(item: Column) -> Column:
     return F.concat(F.lit("<entry>"), _rewritten(item, ENTRY_ELEMENTS), F.lit("</entry>"))
 
 
-def head_xml(body: Column) -> Column:
-    """The feed's own elements: what stands before its first item."""
-    before = F.regexp_replace(normalised(body), _FIRST_ITEM, "")
+def head_xml(clean: Column) -> Column:
+    """The own elements of a feed: what stands before the first item of its normalised body."""
+    before = F.regexp_replace(clean, _FIRST_ITEM, "")
     return F.concat(F.lit("<head>"), _rewritten(before, HEAD_ELEMENTS), F.lit("</head>"))
 
 

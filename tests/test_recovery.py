@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from contentflow.functions import dates as D
 from contentflow.functions import text as T
+from contentflow.operators.state import State
+from contentflow.plans import pipelines
 from contentflow.sources import feeds as S
 
 HEAD = '<?xml version="1.0"?><rss version="2.0"><channel><title>A &amp; B</title><link>http://a.example</link><description>about</description>'
@@ -79,6 +81,36 @@ def test_recovery_is_linear(spark):
     assert [len(g[0]) for g in read(spark, *bodies)] == [500, 0, 0, 1, 1]
 
 
+def test_a_poll_reads_each_body_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(body):
+        reads.add(1)
+        return body
+
+    landed = spark.createDataFrame(
+        [("a", 0, HEAD + ONE + TWO), ("a", 1, HEAD + ONE.replace("g1", "g3")), ("b", 0, "<html><p>gone<br>"), ("c", 0, HEAD + TWO + "</channel></rss>")],
+        "feed string, page int, body string",
+    )
+    bodies = landed.withColumn("body", F.udf(count, "string").asNondeterministic()("body"))
+    state = State(spark, str(tmp_path), "run-1")
+    pipelines.poll_bodies(state, bodies, as_of="2024-01-31 00:00:00").collect()
+    assert reads.value == 4
+    feeds = {r.url: (r.title, r.last_error) for r in state.of_run("reader").snapshot("feeds").collect()}
+    assert feeds == {"a": ("A & B", None), "b": ("b", "no feed in the body"), "c": ("A & B", None)}
+    assert sorted(r.guid for r in state.rows("articles").collect()) == ["g1", "g2", "g3"]
+
+
+def test_items_end_at_their_own_end_tags_only(spark):
+    cases = [
+        "<rss><item>a</items></entry></item x></item \n><entry>b<item>c</item >",
+        "<rss><item>a</item<item>b<itemx>c<item\td='>'>e",
+        "<rss><channel><item/><item>\U0001f600\ufffe\uffff\x7f\x85\ufffd \x0b</item>",
+    ]
+    got = apply(spark, lambda body: F.array_join(S.recovery.items(S.recovery.normalised(body)), "|"), cases)
+    assert got == ["a</items></entry></item x>|b<item>c</item >", "a</item|b<itemx>c|e", "\U0001f600\x7f\x85\ufffd "]
+
+
 def apply(spark, function, values):
     rows = spark.createDataFrame(list(enumerate(values)), "i int, v string")
     return [r.x for r in rows.select("i", function(F.col("v")).alias("x")).orderBy("i").collect()]
