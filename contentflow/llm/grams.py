@@ -140,8 +140,10 @@ def distinct_by_text(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray,
     """Distinct (text, hash) pairs, sorted, with their counts. `text` is not decreasing."""
     if not len(hashes):
         return text, hashes, np.zeros(0, dtype=np.int64)
-    order = np.argsort(hashes, kind="stable")
-    order = order[np.argsort(text[order], kind="stable")]
+    order = np.argsort(hashes)
+    # Numbers of 16 bits are sorted by their digits, in linear time.
+    small = text[order].astype(np.uint16) if text[-1] < 1 << 16 else text[order]
+    order = order[np.argsort(small, kind="stable")]
     text, hashes = text[order], hashes[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])

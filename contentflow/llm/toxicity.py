@@ -1,7 +1,8 @@
-"""Toxicity by the nearest labelled examples, found through a block-max inverted index."""
+"""Toxicity by the nearest labelled examples, found through an inverted index whose frequent terms are columns of a matrix."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,10 +18,10 @@ EXAMPLES = 8000
 CHI_SQUARE = 25.0
 #: Terms are words and the beginnings of longer words, of so many bytes.
 BEGINNINGS = (4, 5)
-#: Examples per block of the index, and neighbours that vote.
-BLOCK, NEIGHBOURS = 64, 15
-#: A term is frequent if more than this share of the examples have it.
-FREQUENT = 1 / 8
+#: Neighbours that vote, and texts that are searched for at a time.
+NEIGHBOURS, TOGETHER = 15, 256
+#: A term is frequent if more than this share of the examples have it, but no more terms than this are: the most frequent.
+FREQUENT, COLUMNS = 1 / 20, 4096
 #: A text is toxic from this score on.
 THRESHOLD = 0.7
 
@@ -67,12 +68,11 @@ def vectors(texts: grams.Texts, vocabulary: np.ndarray) -> tuple[np.ndarray, np.
 
 @dataclass
 class Index:
-    """Postings of all terms of the examples, and a table of the frequent terms with their largest weight in each block.
+    """Postings of all terms of the examples.
 
     `starts[t, 0]` to `starts[t, 1]` are the postings of term t: example numbers and TF-IDF weights of unit-length
     vectors; `worth` is a term's inverse document frequency times its extra weight. `column[t]` is the place of a frequent
-    term in `frequent` (examples, frequent terms) and `highest` (frequent terms, blocks), else -1; `norms` are the lengths
-    of the rows of `frequent`.
+    term among the columns of `dense`, else -1.
     """
 
     vocabulary: np.ndarray
@@ -84,44 +84,56 @@ class Index:
     examples: np.ndarray
     weights: np.ndarray
     column: np.ndarray
-    frequent: np.ndarray
-    highest: np.ndarray
-    norms: np.ndarray
     base: float = 0.0
     knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1), np.zeros(1)))
 
+    def dense(self) -> np.ndarray:
+        """The weights of the frequent terms in all examples. Each process makes them from the postings when it first searches."""
+        made = self.__dict__.get("_dense")
+        if made is None:
+            often = np.flatnonzero(self.column >= 0)
+            made = np.zeros((len(self.keys), len(often)), np.float32)
+            for term, (start, end) in zip(often, self.starts[often].tolist()):
+                made[self.examples[start:end], self.column[term]] = self.weights[start:end]
+            self._dense = made
+        return made
+
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name != "_dense"}
+
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k most similar examples with a positive cosine, without example `but`.
+        """Numbers and cosines of the k most similar examples with a positive cosine, without example `but`."""
+        return next(self.search([(term, weight, but)], k))
+
+    def search(self, texts: list[tuple[np.ndarray, np.ndarray, int]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`nearest` for each (terms, weights, example to leave out).
 
-        The postings of the rarer terms are added up. What the frequent terms can add to an example is bounded by the
-        sum of their highest weights in its block and by the product of the lengths. The examples of the highest
-        bounds are scored first; after them, only those whose bound reaches the k-th best cosine so far, so no other can be nearer.
+        What the frequent terms add to the cosines is one product of matrices for many texts, what the others add is summed up from their
+        postings. The product has single precision and may be rounded otherwise among other texts, so the cosines of all examples that may be
+        among the k best are summed up anew.
         """
-        column = self.column[term]
-        sums = self._rare(term[column < 0], weight[column < 0])
-        often, column = weight[column >= 0], column[column >= 0]
-        if not len(column):
-            if but >= 0:
-                sums[but] = 0.0
-            return self._best(np.flatnonzero(sums > 0), sums[sums > 0], k)
-        block = (often @ self.highest[column]).repeat(BLOCK)[: len(sums)]
-        bounds = sums + np.minimum(block, np.sqrt((often**2).sum()) * self.norms)
-        if but >= 0:
-            bounds[but] = -1.0
-        whole = np.zeros(self.frequent.shape[1], np.float32)
-        whole[column] = often
-        near = np.argpartition(-bounds, BLOCK)[:BLOCK] if len(bounds) > BLOCK else np.flatnonzero(bounds >= 0)
-        cosine = sums[near] + self.frequent[near] @ whole
-        line = max(np.partition(cosine, len(cosine) - k)[len(cosine) - k], 0.0) if len(cosine) >= k else 0.0
-        bounds[near] = -1.0
-        # The margin is far above the rounding of single precision.
-        more = np.flatnonzero(bounds > line - 1e-5) if line > 1e-5 else np.flatnonzero(bounds > 0)
-        if len(more):
-            near = np.concatenate([near, more])
-            cosine = np.concatenate([cosine, sums[more] + self.frequent[more] @ whole])
-        if but >= 0:
-            near, cosine = near[near != but], cosine[near != but]
-        return self._best(near[cosine > 0], cosine[cosine > 0], k)
+        dense = self.dense()
+        for first in range(0, len(texts), TOGETHER):
+            some = texts[first : first + TOGETHER]
+            columns = [self.column[term] for term, _, _ in some]
+            whole = np.zeros((len(some), dense.shape[1]), np.float32)
+            for row, (_, weight, _), column in zip(whole, some, columns):
+                often = column >= 0
+                row[column[often].astype(np.int64)] = weight[often]
+            for added, (term, weight, but), column in zip(whole @ dense.T, some, columns):
+                if not len(term):
+                    yield np.zeros(0, np.int64), np.zeros(0)
+                    continue
+                often = column >= 0
+                rare = self._rare(term[~often], weight[~often])
+                rough = rare + added
+                if but >= 0:
+                    rough[but] = 0.0
+                line = np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else 0.0
+                # The margin is far above the rounding of single precision.
+                near = np.flatnonzero(rough > line - 1e-5) if line > 1e-5 else np.flatnonzero(rough > 0)
+                cosine = rare[near] + (dense[near[:, None], column[often]] * weight[often]).sum(axis=1)
+                yield self._best(near[cosine > 0], cosine[cosine > 0], k)
 
     def _rare(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """What some terms add to the cosine of each example, from their postings."""
@@ -163,14 +175,41 @@ def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools])
 
 
-def _extra(term: np.ndarray, toxic: np.ndarray, terms_: int, labels: np.ndarray) -> np.ndarray:
-    """The extra weight of each term: 1, and more the further its chi-square over the examples is above CHI_SQUARE."""
-    n, share = np.bincount(term, minlength=terms_), labels.mean()
+def _extra(n: np.ndarray, toxic: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The extra weight of each term: 1, and more the further its chi-square over the examples is above CHI_SQUARE.
+
+    `n` examples have the term, and `toxic` toxic ones.
+    """
+    share = labels.mean()
     spread = n * (1 - n / (len(labels) + 1.0)) * share * (1 - share)
-    chi = (np.bincount(term, toxic, terms_) - n * share) ** 2 / spread
+    chi = (toxic - n * share) ** 2 / spread
     return np.sqrt(1.0 + np.maximum(chi - CHI_SQUARE, 0.0))
 
 
+def _vocabulary(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted hashes of all terms of the examples, and how many examples and toxic examples have each."""
+
+    def run(batches):
+        for batch in batches:
+            labels = batch.column(1).to_numpy(zero_copy_only=False)
+            for piece in grams.pieces(batch.column(0)):
+                of, hashes, _ = counted(piece)
+                hashes, at = np.unique(hashes, return_inverse=True)
+                n, toxic = np.bincount(at, minlength=len(hashes)), np.bincount(at, labels[piece.first : piece.last][of], len(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n), pa.array(toxic.astype(np.int64))], names=["t", "n", "toxic"])
+
+    told = sample.select("text", "label").mapInArrow(run, "t long, n long, toxic long")
+    got = told.groupBy("t").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    vocabulary, n, toxic = (got.column(c).to_numpy() for c in ("t", "n", "toxic"))
+    order = np.argsort(vocabulary.view(np.uint64))
+    return vocabulary.view(np.uint64)[order], n[order], toxic[order]
+
+
+def _numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers in a column of binaries, one after the other."""
+    return np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in column] or [np.zeros(0, kind)])
+
+
 def _frequencies(documents: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many of all documents each term of the vocabulary occurs, and the number of documents."""
 
@@ -200,7 +239,7 @@ def fit(documents: DataFrame, labels: DataFrame, corpus: DataFrame, text: str =
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
     counts = learning.class_counts(marks, "label")
     empty = np.zeros(0)
-    nothing = Index(np.zeros(0, np.uint64), *[empty] * 11, float(next(iter(counts), 0.5)))
+    nothing = Index(np.zeros(0, np.uint64), *[empty] * 8, float(next(iter(counts), 0.5)))
     if len(counts) < 2:
         return nothing
     chosen = learning.bounded_sample(marks, "label", counts, key="key", most=most)
@@ -209,69 +248,72 @@ def fit(documents: DataFrame, labels: DataFrame, corpus: DataFrame, text: str =
     # A text that was copied a thousand times is one example, else its words would look like signs of its label; it votes for its copies.
     sample = grams.mapped(sample, "text", ["key", "label", "text"], {"whole": "long"}, lambda t, _: (whole(t),))
     sample = sample.groupBy("label", "whole").agg(F.min("key").alias("key"), F.min_by("text", "key").alias("text"), F.count("*").alias("copies"))
-    sample = stored(sample.select("key", "label", "copies", "text"), "toxicity-sample")
+    sample = sample.select("key", "label", "copies", "text").repartition(documents.sparkSession.sparkContext.defaultParallelism, "key")
+    sample = stored(sample.withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
     if sample.select("label").distinct().count() < 2:
         return nothing
-    def work(texts: grams.Texts, _: pa.RecordBatch) -> tuple:
-        of, hashes, count = counted(texts)
-        cuts = np.searchsorted(of, np.arange(len(texts) + 1))
-        return tuple(pa.array([a[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for a in (hashes, count.astype(np.int32)))
-
-    rows = grams.mapped(sample, "text", ["key", "label", "copies"], {"terms": "binary", "counts": "binary"}, work).orderBy("key", "label").toPandas()
-    labels_, copies = rows["label"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64)
-    hashes = np.frombuffer(b"".join(rows["terms"]), np.uint64)
-    count = np.frombuffer(b"".join(rows["counts"]), np.int32)
-    row = np.repeat(np.arange(len(rows)), [len(b) // 8 for b in rows["terms"]])
-    rows = rows["key"].to_numpy()
-    vocabulary, term = np.unique(hashes, return_inverse=True)
+    vocabulary, with_term, toxic = _vocabulary(sample)
+    if not len(vocabulary):
+        vocabulary, with_term, toxic = np.zeros(0, np.uint64), empty, empty
     frequency, n = _frequencies(corpus, text, vocabulary)
-    worth = (np.log((n + 1) / (frequency + 1.0)) + 1.0) * _extra(term, labels_[row], len(vocabulary), labels_)
-    weight = (1.0 + np.log(count)) * worth[term]
-    weight /= np.sqrt(np.bincount(row, weight**2, len(rows)))[row]
-    # Examples with the same leading term are in the same blocks: their bounds are tight.
-    order = np.lexsort((term, -weight, row))
-    lead = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
-    leading, high = np.full(len(rows), len(vocabulary)), np.zeros(len(rows))
-    leading[row[lead]], high[row[lead]] = term[lead], weight[lead]
-    order = np.lexsort((np.arange(len(rows)), -high, leading))
-    number = np.empty(len(rows), np.int64)
-    number[order] = np.arange(len(rows))
-    keys, labels_, copies, example = rows[order], labels_[order], copies[order], number[row]
+    labels_ = sample.select("label").toPandas()["label"].to_numpy(np.int64)
+    worth = (np.log((n + 1) / (frequency + 1.0)) + 1.0) * _extra(with_term, toxic, labels_)
+
+    def weigh(texts: grams.Texts, _: pa.RecordBatch) -> tuple:
+        of, term, count = vectors(texts, vocabulary)
+        weight = (1.0 + np.log(count)) * worth[term]
+        weight /= np.sqrt(np.bincount(of, weight**2, len(texts)))[of]
+        cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+        lead, high = np.full(len(texts), len(vocabulary)), np.zeros(len(texts))
+        first = np.lexsort((term, -weight, of))
+        first = first[np.flatnonzero(np.diff(of[first], prepend=-1))]
+        lead[of[first]], high[of[first]] = term[first], weight[first]
+        parts = (pa.array([a[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for a in (term.astype(np.int32), weight.astype(np.float32)))
+        return pa.array(lead), pa.array(high), *parts
+
+    # Examples with the same leading term are neighbours in the index. Terms get their numbers in the tasks: the driver gets eight bytes a posting.
+    rows = grams.mapped(sample, "text", ["key", "label", "copies", "row"], {"lead": "long", "high": "double", "terms": "binary", "weights": "binary"}, weigh)
+    rows = rows.orderBy("lead", F.desc("high"), "key", "label", "row").toArrow()
+    keys, labels_, copies, place = (rows.column(c).to_numpy() for c in ("key", "label", "copies", "row"))
+    labels_ = labels_.astype(np.int64)
     stands = {v: counts[v] / max(1, int(copies[labels_ == v].sum())) for v in (0, 1)}
     votes_of = copies * np.array([stands[v] for v in labels_])
-    order = np.lexsort((example, term))
-    term, example, weight = term[order], example[order].astype(np.int32), weight[order].astype(np.float32)
-    starts = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-    starts = np.column_stack([starts[:-1], starts[1:]])
-    common = np.flatnonzero(starts[:, 1] - starts[:, 0] > len(keys) * FREQUENT)
+    term, weight = _numbers(rows.column("terms"), np.int32), _numbers(rows.column("weights"), np.float32)
+    example = np.repeat(np.arange(len(keys), dtype=np.int32), [len(b.as_buffer()) // 4 for b in rows.column("terms")])
+    del rows
+    ends = np.cumsum(np.bincount(term, minlength=len(vocabulary)))
+    starts = np.column_stack([np.append(0, ends[:-1]), ends]) if len(ends) else np.zeros((0, 2), np.int64)
+    order = np.argsort(term, kind="stable")
+    del term
+    example, weight = example[order], weight[order]
+    del order
+    size = starts[:, 1] - starts[:, 0]
+    common = np.argsort(-size, kind="stable")[:COLUMNS]
+    common = common[size[common] > len(keys) * FREQUENT]
     column = np.full(len(vocabulary), -1)
     column[common] = np.arange(len(common))
-    at = np.flatnonzero(column[term] >= 0)
-    frequent = np.zeros((len(keys), len(common)), np.float32)
-    frequent[example[at], column[term[at]]] = weight[at]
-    highest = np.zeros((len(common), -(-len(keys) // BLOCK)), np.float32)
-    np.maximum.at(highest, (column[term[at]], example[at] // BLOCK), weight[at])
-    index = Index(
-        vocabulary, worth, keys, labels_, votes_of, starts, example, weight, column, frequent, highest,
-        np.sqrt((frequent.astype(float) ** 2).sum(axis=1)),
-    )
-
-    votes, marks_, stand, alone = [], [], [], []
-    order = np.argsort(example, kind="stable")
-    cuts = np.searchsorted(example[order], np.arange(len(keys) + 1))
-    for number, mark in enumerate(labels_.tolist()):
-        own = order[cuts[number] : cuts[number + 1]]
-        near, cosine = index.nearest(term[own], weight[own], NEIGHBOURS, but=number) if len(own) else (empty, empty)
-        if len(near):
-            votes.append(index.vote(near, cosine))
-            marks_.append(mark)
-            stand.append(votes_of[number])
-        else:
-            alone.append((mark * votes_of[number], votes_of[number]))
+    index = Index(vocabulary, worth, keys, labels_, votes_of, starts, example, weight, column)
+
+    shared = documents.sparkSession.sparkContext.broadcast(index)
+    by_row = np.argsort(place)
+    place = place[by_row]
+
+    def leave_out(texts: grams.Texts, batch: pa.RecordBatch) -> tuple:
+        index = shared.value
+        of, term, count = vectors(texts, index.vocabulary)
+        cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+        number = by_row[np.searchsorted(place, batch.column(0).to_numpy())]
+        asked = [(term[i:j], index.unit(term[i:j], count[i:j]), int(own)) for i, j, own in zip(cuts, cuts[1:], number)]
+        return pa.array(number), [index.vote(*found) if len(found[0]) else None for found in index.search(asked, NEIGHBOURS)]
+
+    voted = grams.mapped(sample, "text", ["row"], {"number": "long", "vote": "double"}, leave_out).orderBy("number").toArrow()
+    shared.destroy()
+    vote = voted.column("vote").to_numpy()
+    known = ~np.isnan(vote)
     prior = counts[1] / (counts[0] + counts[1])
-    index.base = (sum(a for a, _ in alone) + prior) / (sum(b for _, b in alone) + 1.0)
-    if votes:
-        index.knots = _isotonic(np.array(votes), np.array(marks_, float), np.array(stand))
+    index.base = ((labels_ * votes_of)[~known].sum() + prior) / (votes_of[~known].sum() + 1.0)
+    if known.any():
+        index.knots = _isotonic(vote[known], labels_[known].astype(float), votes_of[known])
     return index
 
 
@@ -289,18 +331,20 @@ def predict(frame: DataFrame, index: Index, text: str = "text", keep: list[str]
         index = shared.value
         of, term, count = vectors(texts, index.vocabulary)
         cuts = np.searchsorted(of, np.arange(len(texts) + 1))
-        scores, evidence, known = [], [], {}
+        asked, same, known = [], [], {}
         for i, j in zip(cuts, cuts[1:]):
             here = (term[i:j].tobytes(), count[i:j].tobytes())
             if here not in known:
-                near, cosine = index.nearest(term[i:j], index.unit(term[i:j], count[i:j]), NEIGHBOURS) if j > i else ((), ())
-                score = index.calibrated(index.vote(near, cosine)) if len(near) else index.base
-                known[here] = score, [
-                    {"doc_id": int(index.keys[e]), "label": int(index.labels[e]), "cosine": float(min(c, 1.0))} for e, c in zip(near[:3], cosine[:3])
-                ]
-            score, why = known[here]
-            scores.append(score)
-            evidence.append(why)
+                known[here] = len(asked)
+                asked.append((term[i:j], index.unit(term[i:j], count[i:j]), -1))
+            same.append(known[here])
+        found = []
+        for near, cosine in index.search(asked, NEIGHBOURS):
+            score = index.calibrated(index.vote(near, cosine)) if len(near) else index.base
+            found.append((score, [
+                {"doc_id": int(index.keys[e]), "label": int(index.labels[e]), "cosine": float(min(c, 1.0))} for e, c in zip(near[:3], cosine[:3])
+            ]))
+        scores, evidence = [found[n][0] for n in same], [found[n][1] for n in same]
         return scores, evidence
 
     return grams.mapped(frame, text, keep, {"score": "double", "evidence": "array<struct<doc_id:long,label:int,cosine:double>>"}, work)

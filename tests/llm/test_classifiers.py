@@ -132,6 +132,27 @@ def test_block_max_search_is_exact(spark):
         assert np.allclose(cosine, best, atol=1e-8) and np.allclose(dense[near] @ dense[example], cosine)
 
 
+def test_many_texts_are_searched_as_one_is(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), " ".join(f"w{t}" for t in rng.zipf(1.3, 15) % 60) + (" bad" if i % 2 else " good"), None, None, 0.0, "", 0) for i in range(300)]
+    documents = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id long, toxic int")
+    index = toxicity.fit(documents, labels, documents)
+    pieces = list(toxicity.grams.pieces(toxicity.pa.array([r[1] for r in rows] + [""])))
+    of, term, count = toxicity.vectors(pieces[0], index.vocabulary)
+    asked = [(term[of == i], index.unit(term[of == i], count[of == i]), i % 3 - 1) for i in range(len(rows) + 1)]
+    whole = [index.nearest(*text[:2], 15, but=text[2]) for text in asked]
+    for columns in (0, 5, 4096):
+        monkeypatch.setattr(toxicity, "COLUMNS", columns)
+        other = toxicity.fit(documents, labels, documents)
+        assert (other.column >= 0).sum() <= columns
+        for (near, cosine), (one, its) in zip(other.search(asked, 15), whole, strict=True):
+            assert np.allclose(cosine, its, atol=1e-6) and len(near) == len(one)
+    # The matrix of the frequent terms is made where it is used: neither the driver nor the broadcast holds it.
+    fresh = toxicity.fit(documents, labels, documents)
+    assert "_dense" not in fresh.__dict__ and index.dense().size and "_dense" not in index.__getstate__()
+
+
 def test_isotonic_curve_rises():
     x, y = np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.5])
     knots, values = toxicity._isotonic(x, y, np.ones(6))
